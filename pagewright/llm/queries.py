@@ -6,13 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import quality
+from pagewright.llm import grouped_splits, pair_defects, quality, repeated_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_splits.record_groups(table(spark, sf_dir, "pairs_df"), table(spark, sf_dir, "doc_catalog"))
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its split, no group in two splits."""
+    pairs = table(spark, sf_dir, "pairs_df").select("pair_id", "doc_id", "chunk_id", "src")
+    grouped = p1_found(spark, sf_dir).join(pairs.select("pair_id", "src").dropDuplicates(["pair_id"]), "pair_id")
+    return grouped_splits.grouped_splits(grouped, table(spark, sf_dir, "split_targets"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "doc_sections"))
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines repeated in its source."""
+    return repeated_lines.clean_pages(table(spark, sf_dir, "pdf_pages"), p3_found(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.find_defects(table(spark, sf_dir, "pairs_df"), table(spark, sf_dir, "common_words"))
+
+
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its statistics, kind and the reason of a failure."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +48,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_splits": p1_splits,
+    "p3_found": p3_found,
+    "p3_pages": p3_pages,
+    "p6_found": p6_found,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }
