@@ -118,7 +118,9 @@ def place(units: list[tuple], targets: list[tuple[str, float]]) -> dict[tuple[st
     while waiting:
         stratum = min(waiting, key=lambda x: (outstanding[x], x))
         for unit, vector in sorted(waiting.pop(stratum), key=lambda x: (-sum(x[1].values()), x[0])):
-            name = max((n for n, _ in targets), key=lambda n: (need[n][stratum], overall[n], n))
+            # what no split needs any more in this label goes where most is lacking over all labels
+            open_to = [n for n, _ in targets if 2 * need[n][stratum] >= vector[stratum]]
+            name = max(open_to, key=lambda n: (need[n][stratum], overall[n], n)) if open_to else max((n for n, _ in targets), key=lambda n: (overall[n], n))
             out[stratum, unit] = name
             for label, n in vector.items():
                 need[name][label] -= n

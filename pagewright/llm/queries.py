@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import grouped_splits, pair_defects, quality, repeated_lines
+from pagewright.llm import cross_split, grouped_splits, pair_defects, quality, repeated_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,16 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.clean_pages(table(spark, sf_dir, "pdf_pages"), p3_found(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.cross_split_pairs(table(spark, sf_dir, "pairs_df")).select("pair_id_a", "pair_id_b")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping records and pairs per split and source."""
+    pairs = table(spark, sf_dir, "pairs_df")
+    return cross_split.overlap_report(pairs, p5_found(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.find_defects(table(spark, sf_dir, "pairs_df"), table(spark, sf_dir, "common_words"))
 
@@ -52,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": p1_splits,
     "p3_found": p3_found,
     "p3_pages": p3_pages,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
