@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import cross_split, grouped_splits, pair_defects, quality, repeated_lines
+from pagewright.llm import cross_split, grouped_splits, neighbours, pair_defects, quality, repeated_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.grouped_splits(grouped, table(spark, sf_dir, "split_targets"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "chunk_embeddings")).select("chunk_id_a", "chunk_id_b")
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar chunks of every vector whose id is divisible by 100, against all vectors."""
+    vectors = table(spark, sf_dir, "chunk_embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "doc_sections"))
 
@@ -60,6 +70,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p2_found": p2_found,
+    "p2_nearest": p2_nearest,
     "p3_found": p3_found,
     "p3_pages": p3_pages,
     "p5_found": p5_found,
