@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Content-defined chunking: a cut falls behind a letter whose rolling hash over the last WINDOW letters is 0 modulo MODULUS.
-WINDOW, MODULUS, SHORTEST = 6, 12, 8
+from pagewright.session import cut
+
+#: Content-defined chunking: a cut falls before the letter whose rolling hash over the WINDOW bytes that begin there is the least within SPREAD bytes on either side.
+WINDOW, SPREAD = 5, 7
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def source_of(path: Column) -> Column:
@@ -24,90 +28,97 @@ def letters_of(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"\P{L}+", "")
 
 
-def cuts(codes: np.ndarray, window: int = WINDOW, modulus: int = MODULUS, shortest: int = SHORTEST) -> list[int]:
-    """End positions of the chunks of one run of letters: a polynomial rolling hash over `window` letters decides, whatever stands before or behind."""
-    n = len(codes)
-    if n <= shortest:
-        return [n]
-    h = np.zeros(n, np.uint64)
-    for k in range(min(window, n)):
-        h[k:] += codes[: n - k] * np.uint64(pow(1_000_003, k + 1, 1 << 64))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    out, last = [], 0
-    for i in np.flatnonzero(h % np.uint64(modulus) == 0) + 1:
-        if i - last >= shortest and n - i >= shortest // 2:
-            out.append(int(i))
-            last = i
-    return [*out, n]
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
-def chunks_of(letters: str) -> list[str]:
-    """The content-defined chunks of one line's letters; joined they give the line again."""
-    ends = cuts(np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
-    return [letters[a:b] for a, b in zip([0, *ends], ends)]
+
+def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk hashes, offsets into them by line) for lines that stand one behind the other in `data`, all at once.
+
+    Cuts depend on nothing but the bytes around them and none is made near an end of a line, so equal lines give equal chunks whatever stands beside them.
+    """
+    n = len(data)
+    starts, ends = offsets[:-1], offsets[1:]
+    unit = data.astype(np.uint64) + np.uint64(1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(unit * powers(BASE, n), out=prefix[1:])
+    back = powers(INVERSE, n + 1)
+    rolling = np.full(n, np.iinfo(np.uint64).max)
+    if n >= WINDOW:
+        rolling[: n - WINDOW + 1] = mixed((prefix[WINDOW:] - prefix[:-WINDOW]) * back[: n - WINDOW + 1])
+    least = rolling.copy()
+    for k in range(1, SPREAD + 1):
+        if k < n:
+            np.minimum(least[k:], rolling[:-k], out=least[k:])
+            np.minimum(least[:-k], rolling[k:], out=least[:-k])
+    at = np.flatnonzero(least == rolling)
+    line = np.searchsorted(ends, at, side="right")
+    inside = (at - starts[np.minimum(line, len(starts) - 1)] >= SPREAD) & (ends[np.minimum(line, len(ends) - 1)] - at >= SPREAD + WINDOW) if len(starts) else np.zeros(0, bool)
+    begin = np.sort(np.concatenate([starts[ends > starts], at[inside]]))
+    begin = begin[np.concatenate([[True], begin[1:] != begin[:-1]])] if len(begin) else begin
+    of_line = np.searchsorted(ends, begin, side="right")
+    stop = np.minimum(np.append(begin[1:], n), ends[of_line]) if len(begin) else begin
+    hashes = mixed((prefix[stop] - prefix[begin]) * back[begin] + (stop - begin).astype(np.uint64))
+    counts = np.bincount(of_line, minlength=len(starts))
+    return hashes.view(np.int64), np.concatenate([[0], np.cumsum(counts)])
 
 
 def chunked(lines: DataFrame) -> DataFrame:
-    """(source, doc_id, page_id, line_no, letters) to the same with `chunks`, the list of 64-bit chunk hashes of each line."""
+    """(doc, page_id, line_no, key, letters) to the same with `chunks`, the chunk hashes of each line, for the letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
         for batch in batches:
-            out = []
-            for text in batch.column("letters").to_pylist():
-                found = known.get(text)
-                if found is None:
-                    if len(known) > 50_000:  # bounds the memory, not the result
-                        known.clear()
-                    found = known[text] = chunks_of(text)
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], names=[*batch.schema.names, "chunks"])
-
-    texts = lines.mapInArrow(run, "source string, doc_id string, page_id bigint, line_no int, letters string, chunks array<string>")
-    return texts.withColumn("chunks", F.transform("chunks", lambda c: F.xxhash64(c)))
-
-
-def page_lines(pages: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines with letters, documents with pages by source). A document whose sections name several folders takes the first in byte order."""
-    folders = sections.select("doc_id", source_of(F.col("source_pdf")).alias("source")).where("doc_id is not null and source is not null").groupBy("doc_id").agg(F.min("source").alias("source"))
-    documents = pages.select("doc_id").where("doc_id is not null").distinct().join(folders, "doc_id")
-    lines = (
-        pages.where("doc_id is not null and page_id is not null")
-        .select("page_id", "doc_id", F.posexplode("line_list").alias("pos", "line"))
-        .select("page_id", "doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), letters_of(F.col("line")).alias("letters"))
-        .where("letters <> ''")
-        .join(folders, "doc_id")
-        .select("source", "doc_id", "page_id", "line_no", "letters")
-    )
-    return lines, documents
+            text = batch.column("letters").cast(pa.large_binary())
+            if not len(text):
+                continue
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            hashes, at = chunk_hashes(data, offsets - offsets[0])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "page_id", "line_no", "key")), lists], names=["doc", "page_id", "line_no", "key", "chunks"])
+
+    return lines.mapInArrow(run, "doc long, page_id bigint, line_no int, key binary, chunks array<long>")
 
 
 def repeated_lines(pages: DataFrame, sections: DataFrame, least_documents: int = 3, least_share: float = 0.25) -> DataFrame:
     """(page_id, line_no) of every line of line_list that is repeated within its source.
 
     A line is repeated if its letters stand in at least `least_documents` documents and `least_share` of the source's documents that have pages.
-    Every document holding a line holds all chunks of the line, so a chunk in too few documents rules its lines out: distinct documents are
-    counted by chunk and source, lines with a rare chunk are dropped, and what is left is counted as whole lines, exactly.
+    Every document that holds a line holds all chunks of the line: distinct documents are counted by chunk and source, lines whose first chunk is
+    in too few documents are dropped, and what is left is counted as whole lines. Documents, sources and lines go by hashes (64 bits, lines 128).
 
-    Pages of documents without a known folder take part in nothing; null lines, lines without letters and null or empty lists never count;
-    a page delivered twice counts once. Empty tables give an empty result, further columns are ignored.
+    A document whose sections name several folders takes the first in byte order; pages of documents without a folder take part in nothing. Null
+    lines, lines without letters and null or empty lists never count; a page delivered twice counts once. Empty tables give an empty result,
+    further columns are ignored.
     """
-    lines, documents = page_lines(pages, sections)
-    totals = documents.groupBy("source").agg(F.count("*").alias("n_docs"))
+    folders = sections.select(F.xxhash64("doc_id").alias("doc"), source_of(F.col("source_pdf")).alias("folder"), "doc_id").where("doc_id is not null and folder is not null").groupBy("doc").agg(F.xxhash64(F.min("folder")).alias("source"))
+    documents = pages.where("doc_id is not null").select(F.xxhash64("doc_id").alias("doc")).distinct().join(folders, "doc")
     need = F.greatest(F.lit(least_documents), F.ceil(F.col("n_docs") * F.lit(least_share) - F.lit(1e-9))).cast("long")
-    needs = totals.select("source", need.alias("need"))
+    needs = documents.groupBy("source").agg(F.count("*").alias("n_docs")).select("source", need.alias("need"))
 
-    pieces = chunked(lines.dropDuplicates(["page_id", "line_no"]))
-    by_chunk = pieces.select("source", "doc_id", F.explode(F.array_distinct("chunks")).alias("chunk")).distinct().groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    frequent = by_chunk.join(needs, "source").where("n >= need").select("source", "chunk")
+    lines = (
+        pages.where("doc_id is not null and page_id is not null")
+        .select(F.xxhash64("doc_id").alias("doc"), "page_id", F.posexplode("line_list").alias("pos", "line"))
+        .select("doc", "page_id", (F.col("pos") + 1).cast("int").alias("line_no"), letters_of(F.col("line")).alias("letters"))
+        .where("letters <> ''")
+        .select("doc", "page_id", "line_no", F.unhex(F.md5("letters")).alias("key"), "letters")
+    )
+    pieces = cut(chunked(lines).join(folders, "doc"))
 
-    # one row per page line and chunk; a line survives if all its chunks are frequent
-    spread = pieces.select("source", "doc_id", "page_id", "line_no", "letters", F.size("chunks").alias("n_chunks"), F.explode("chunks").alias("chunk"))
-    survivors = spread.join(frequent, ["source", "chunk"], "left_semi").groupBy("source", "doc_id", "page_id", "line_no", "letters").agg(F.count("*").alias("n"), F.first("n_chunks").alias("n_chunks")).where("n = n_chunks")
-    exact = survivors.select("source", "letters", "doc_id").distinct().groupBy("source", "letters").agg(F.count("*").alias("n")).join(needs, "source").where("n >= need").select("source", "letters")
-    return survivors.join(exact, ["source", "letters"], "left_semi").select("page_id", "line_no")
+    counted = pieces.select("source", "doc", F.explode("chunks").alias("chunk")).distinct().groupBy("source", "chunk").agg(F.count("*").alias("n"))
+    frequent = counted.join(needs, "source").where("n >= need").select("source", "chunk")
+    survivors = cut(pieces.select("source", "doc", "page_id", "line_no", "key", F.element_at("chunks", 1).alias("chunk")).join(frequent, ["source", "chunk"], "left_semi").drop("chunk"))
+    exact = survivors.select("source", "key", "doc").distinct().groupBy("source", "key").agg(F.count("*").alias("n")).join(needs, "source").where("n >= need").select("source", "key")
+    return survivors.join(exact, ["source", "key"], "left_semi").select("page_id", "line_no").distinct()
 
 
 def clean_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
