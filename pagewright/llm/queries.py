@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import cross_split, grouped_splits, neighbours, pair_defects, quality, repeated_lines
+from pagewright.llm import cross_split, grouped_splits, neighbours, pair_defects, quality, repeated_lines, scan_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.clean_pages(table(spark, sf_dir, "pdf_pages"), p3_found(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.page_noise(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "doc_catalog"))
+
+
+def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as repaired, continuous paragraphs."""
+    return scan_repair.repaired_pages(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "doc_catalog"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "pairs_df")).select("pair_id_a", "pair_id_b")
 
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_nearest": p2_nearest,
     "p3_found": p3_found,
     "p3_pages": p3_pages,
+    "p4_found": p4_found,
+    "p4_pages": p4_pages,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
