@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import cross_split, grouped_splits, neighbours, pair_defects, quality, repeated_lines, scan_repair
+from pagewright.llm import cross_split, grouped_splits, mixing, neighbours, packing, pair_defects, quality, repeated_lines, scan_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,31 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.find_defects(table(spark, sf_dir, "pairs_df"), table(spark, sf_dir, "common_words"))
 
 
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document, or piece of one, lies in the windows of each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window with its number of items and fill."""
+    return packing.windows(p7_items(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, items, tokens and mean fill of each capacity."""
+    return packing.fill_report(p7_items(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their repeats."""
+    return mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its statistics, kind and the reason of a failure."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +113,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
+    "p7_items": p7_items,
+    "p7_windows": p7_windows,
+    "p7_fill": p7_fill,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }
