@@ -12,6 +12,8 @@ from pagewright.session import cut
 #: A level of the histogram parts a range of hashes into this many buckets; LEVELS levels resolve 60 bits.
 BUCKET_BITS, LEVELS = 12, 5
 MAX_SOURCES = 10_000
+#: A source is done when less than this part of its budget is left, at the latest after so many rounds.
+CLOSE, ROUNDS = 0.001, 12
 
 
 def source_key(name: Column) -> Column:
@@ -20,6 +22,37 @@ def source_key(name: Column) -> Column:
     return F.when(key != "", key)
 
 
+def boundaries(sized: DataFrame, asked: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int, int]]:
+    """(end, next, tokens) by source for (first hash, budget): from the first hash on, all documents no larger than the budget with hashes below `end` fit in it together and use these tokens; the document behind does not fit, and the search may go on at `next`.
+
+    Tokens are summed by source and bucket of hashes; only the bucket in which the budget ends is refined, until it holds one document.
+    """
+    spark, width = sized.sparkSession, 1 << BUCKET_BITS
+    low, used, behind, alive = dict.fromkeys(asked, 0), dict.fromkeys(asked, 0), {}, set(asked)
+    for level in range(LEVELS):
+        shift = BUCKET_BITS * (LEVELS - 1 - level)
+        if not alive:
+            break
+        bounds = F.broadcast(spark.createDataFrame([(s, low[s], asked[s][0], asked[s][1]) for s in sorted(alive)], "source string, low long, first long, cap long"))
+        inside = sized.join(bounds, "source").where((F.col("hash") >= F.greatest("low", "first")) & (F.col("tokens") <= F.col("cap"))).withColumn("bucket", F.shiftright(F.col("hash") - F.col("low"), shift)).where(F.col("bucket") < width)
+        found: dict[str, list[tuple[int, int, int]]] = {}
+        for r in inside.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect():
+            found.setdefault(r.source, []).append((r.bucket, r.n, r.docs))
+        for s in sorted(alive):
+            for bucket, n, docs in sorted(found.get(s, [])):
+                if used[s] + n > asked[s][1]:
+                    low[s] += bucket << shift
+                    if docs == 1:  # the document that does not fit: go on behind its bucket
+                        behind[s] = low[s] + (1 << shift)
+                        alive.discard(s)
+                    break
+                used[s] += n
+            else:
+                low[s] += width << shift
+                alive.discard(s)
+    return {s: (max(low[s], asked[s][0]), max(behind.get(s, low[s] + 1), asked[s][0]), used[s]) for s in asked}
+
+
 def draw(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer_folder: str = DEFAULT_FOLDER, tokenizer_file: str = DEFAULT_FILE, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(drawn, shares). drawn: (key, source, repeats, tokens), repeats >= 1; shares: (source, target_share, budget, drawn_tokens, share, max_repeats, available_tokens).
 
@@ -27,8 +60,8 @@ def draw(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     wanted one. The budget of a source is its scaled share of `total_tokens`, by default of the largest total that no source's repeats
     forbid. A source repeats all its documents as often as its budget holds them whole, and once more those whose hash lies under a threshold,
     found by summing tokens by source and hash bucket and refining only the bucket in which the budget ends. So nothing is sorted, at most
-    sources * 2^12 sums reach the driver a level, and a smaller total draws a subset of a larger one. What is drawn falls short of the
-    budget by less than one document.
+    sources * 2^12 sums reach the driver a level. Documents that do not fit in what is left are passed over, so a source falls short of its budget
+    by little where it has small documents.
 
     `targets` (source, target_share, max_repeats) may have at most MAX_SOURCES rows; sources are matched whatever their spelling, shares of the
     same source add up, repeats count from 1. Rows with a null or a share <= 0 are ignored, so are documents of other or null sources, without
@@ -53,32 +86,22 @@ def draw(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     whole = {r.source: min(int(budgets[r.source] // available[r.source]), r.repeats) for r in present}
     left = {r.source: 0.0 if whole[r.source] >= r.repeats else budgets[r.source] - whole[r.source] * available[r.source] for r in present}
 
-    # [low, low + 2^shift) is the range of hashes in which a source's remaining budget ends; all hashes under `low` are taken
-    low = dict.fromkeys(left, 0)
-    width = 1 << BUCKET_BITS
-    for level in range(LEVELS):
-        shift = BUCKET_BITS * (LEVELS - 1 - level)
-        alive = [(s, low[s]) for s in left if left[s] > 0]
-        if not alive:
+    # A source takes documents in the order of their hashes up to where its budget ends; the document there does not fit, so the next round goes on
+    # behind it with documents no larger than what is left, until that is next to nothing.
+    ranges: dict[str, list[tuple[int, int, int]]] = {s: [] for s in left}
+    start = dict.fromkeys(left, 0)
+    for _ in range(ROUNDS):
+        waiting = {s: int(left[s]) for s in left if left[s] >= 1 and left[s] > CLOSE * budgets[s] and start[s] < 1 << (BUCKET_BITS * LEVELS)}
+        if not waiting:
             break
-        bounds = F.broadcast(spark.createDataFrame(alive, "source string, low long"))
-        inside = sized.join(bounds, "source").withColumn("bucket", F.shiftright(F.col("hash") - F.col("low"), shift))
-        sums = inside.where((F.col("hash") >= F.col("low")) & (F.col("bucket") < width)).groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).collect()
-        by_source: dict[str, dict[int, int]] = {}
-        for r in sums:
-            by_source.setdefault(r.source, {})[r.bucket] = r.n
-        for s, _ in alive:
-            at = 0
-            for bucket in sorted(by_source.get(s, {})):
-                n = by_source[s][bucket]
-                if n > left[s]:
-                    at = bucket
-                    break
-                left[s] -= n
-                at = bucket + 1
-            low[s] += at << shift
-    plan = spark.createDataFrame([(r.source, whole[r.source], low[r.source] if left[r.source] > 0 or low[r.source] else 0) for r in present], "source string, whole int, under long")
-    extra = F.when(F.col("hash") < F.col("under"), 1).otherwise(0)
+        ends = boundaries(sized, {s: (start[s], cap) for s, cap in waiting.items()})
+        for s, (end, following, used) in ends.items():
+            if end > start[s]:
+                ranges[s].append((start[s], end, waiting[s]))
+            left[s] -= used
+            start[s] = following
+    plan = spark.createDataFrame([(r.source, whole[r.source], ranges[r.source]) for r in present], "source string, whole int, ranges array<struct<lo:long,hi:long,cap:long>>")
+    extra = F.exists("ranges", lambda r: (F.col("hash") >= r["lo"]) & (F.col("hash") < r["hi"]) & (F.col("tokens") <= r["cap"])).cast("int")
     drawn = sized.join(F.broadcast(plan), "source").select("key", "source", (F.col("whole") + extra).alias("repeats"), "tokens").where("repeats > 0")
     got = drawn.groupBy("source").agg(F.sum(F.col("repeats") * F.col("tokens")).alias("drawn_tokens"))
     meant = spark.createDataFrame([(r.source, float(r.share), float(budgets.get(r.source, 0.0)), int(r.repeats), int(available.get(r.source, 0))) for r in rows], T.StructType.fromDDL("source string, target_share double, budget double, max_repeats int, available_tokens long"))
