@@ -144,13 +144,14 @@ def near_classes(classes: DataFrame, least_overlap: float) -> DataFrame:
     """(c1, c2), c1 < c2: classes with near-same words of which one is in train and the other held out."""
     sketch, n = shingle_counts(classes)
     keys = banded(classes, sketch, n)
-    left = keys.where("trained").select("band", F.col("class").alias("x"))
-    right = keys.where("held").select("band", F.col("class").alias("y"))
-    candidates = left.join(right, "band").where("x <> y").select(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2")).distinct()
+    # both sides are the same rows, so that one shuffle serves both; which pairs cross the splits is decided behind it
+    other = keys.select("band", F.col("class").alias("c2"), F.col("trained").alias("trained2"), F.col("held").alias("held2"))
+    crossing = (F.col("trained") & F.col("held2")) | (F.col("held") & F.col("trained2"))
+    candidates = keys.join(other, "band").where((F.col("class") < F.col("c2")) & crossing).select(F.col("class").alias("c1"), "c2").distinct()
     # the words are fetched by class and shingled after the join, so that only texts with a candidate are shuffled as such
     words = classes.select("class", "words")
     met = candidates.join(words.select(F.col("class").alias("c1"), F.col("words").alias("w1")), "c1").join(words.select(F.col("class").alias("c2"), F.col("words").alias("w2")), "c2")
-    return met.where(overlap(shingle_arrays("w1"), shingle_arrays("w2")) >= least_overlap).select("c1", "c2")
+    return cut(met.where(overlap(shingle_arrays("w1"), shingle_arrays("w2")) >= least_overlap).select("c1", "c2"))
 
 
 def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("val", "test"), least_words: int = 30, least_overlap: float = 0.5) -> DataFrame:
@@ -166,17 +167,17 @@ def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[st
     """
     side = F.when(F.col("split_name") == train, "t").when(F.col("split_name").isin(*held_out), "h")
     records = pairs.where("pair_id is not null").select("pair_id", side.alias("side"), plain_words(F.col("passage")).alias("words"), "query").where("side is not null")
-    records = records.dropDuplicates(["pair_id"])
-    long = records.where(F.size(F.split("words", " ")) >= least_words).select("words", "pair_id", "side")
-    classes = cut(long.groupBy("words").agg(F.min("pair_id").alias("class"), F.max(F.col("side") == "t").alias("trained"), F.max(F.col("side") == "h").alias("held")))
-    members = long.join(classes.select("words", "class"), "words").select("class", "pair_id", "side")
+    # equal word sequences have equal 128-bit keys; the words themselves are shuffled once, combined by key before
+    long = records.where(F.size(F.split("words", " ")) >= least_words).select(F.unhex(F.md5("words")).alias("key"), "words", "pair_id", "side")
+    classes = cut(long.groupBy("key").agg(F.min("pair_id").alias("class"), F.first("words").alias("words"), F.max(F.col("side") == "t").alias("trained"), F.max(F.col("side") == "h").alias("held")))
+    members = cut(long.select("key", "pair_id", "side").join(classes.select("key", "class"), "key").select("class", "pair_id", "side").distinct())
     near = near_classes(classes, least_overlap)
     links = near.union(near.select("c2", "c1")).union(classes.where("trained and held").select("class", "class"))
     trained = members.where("side = 't'").select(F.col("class").alias("c1"), F.col("pair_id").alias("t"))
     kept = members.where("side = 'h'").select(F.col("class").alias("c2"), F.col("pair_id").alias("h"))
     by_passage = links.join(trained, "c1").join(kept, "c2").select("t", "h", F.lit(False).alias("same_query"), F.lit(True).alias("near_passage"))
 
-    asked = records.select("pair_id", "side", query_keys("query").alias("q")).where("q is not null")
+    asked = records.select("pair_id", "side", query_keys("query").alias("q")).where("q is not null").distinct()
     by_query = (
         asked.where("side = 't'").select("q", F.col("pair_id").alias("t")).join(asked.where("side = 'h'").select("q", F.col("pair_id").alias("h")), "q")
         .select("t", "h", F.lit(True).alias("same_query"), F.lit(False).alias("near_passage"))
