@@ -1 +1,434 @@
-QUERIES = {}
+"""The core queries by name: (spark, folder of tables) -> DataFrame. Each reads whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as tx
+from pagewright.functions import vectors as vx
+from pagewright.operators import analytics, chunks, embed, headers, index, pairs, reduce, sections, similarity, training
+from pagewright.plans.pipeline import pages_to_chunks
+from pagewright.streaming.ingest import windowed_timing
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Chunk sizes of the queries; small, so that sections give several chunks.
+SIZES = {"max_tokens": 96, "overlap_tokens": 16, "min_tokens": 32}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(s: SparkSession, d: str) -> DataFrame:
+    """Every page once, its text normalised."""
+    p = table(s, d, "pdf_pages").select("page_id", "doc_id", "page_number", "raw_text").dropDuplicates(["page_id"])
+    return p.select("page_id", "doc_id", "page_number", tx.normalize_text(F.col("raw_text")).alias("cleaned_text")).withColumn("line_list", tx.split_lines(F.col("cleaned_text")))
+
+
+def doc_sections(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "doc_sections").dropDuplicates(["doc_id", "section_idx"])
+
+
+def section_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.chunk_sections(doc_sections(s, d), **SIZES)
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return vectors(s, d).where("row_id % 100 = 0").withColumnRenamed("row_id", "query_id")
+
+
+def vector_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Even ids are anchors, the next odd ids their positives."""
+    v = vectors(s, d)
+    a = v.where("row_id % 2 = 0").select((F.col("row_id") / 2).cast("long").alias("pair_id"), F.col("embedding").alias("anchor"))
+    p = v.where("row_id % 2 = 1").select(((F.col("row_id") - 1) / 2).cast("long").alias("pair_id"), F.col("embedding").alias("positive"))
+    return a.join(p, "pair_id")
+
+
+def timing(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(F.col("event_type").alias("function_name"), F.col("value").alias("duration"), "ts")
+
+
+# -- text and documents
+
+
+@query
+def normalize_text(s, d):
+    return pages(s, d).select("page_id", F.col("cleaned_text").alias("text"))
+
+
+@query
+def split_lines(s, d):
+    return pages(s, d).select("page_id", F.posexplode("line_list").alias("pos", "line"))
+
+
+@query
+def heading_score(s, d):
+    return pages(s, d).select("page_id", F.posexplode("line_list").alias("pos", "line")).select("page_id", "pos", F.round(tx.heading_score(F.col("line")), 6).alias("score"))
+
+
+@query
+def detect_headings(s, d):
+    return sections.detect_headings(sections.numbered_lines(pages(s, d))).select("doc_id", "page_number", "pos", "line", F.round("score", 6).alias("score"))
+
+
+@query
+def header_footer_candidates(s, d):
+    return headers.edge_counts(pages(s, d))
+
+
+@query
+def strip_headers_footers(s, d):
+    return headers.strip_headers_footers(pages(s, d)).select("page_id", "cleaned_text")
+
+
+@query
+def strip_repeated_only(s, d):
+    """With the sparing of short documents and a lower threshold."""
+    return headers.strip_headers_footers(pages(s, d), threshold=0.3, min_repeat=2).select("page_id", "cleaned_text")
+
+
+@query
+def build_sections(s, d):
+    return sections.build_sections(pages(s, d))
+
+
+@query
+def page_sections_no_headings(s, d):
+    """Documents that give a section a page, for no line is a heading at this score."""
+    return sections.build_sections(pages(s, d), min_score=0.75).where("section_id like 'sec_page%' or section_id = 'sec_001' and title = 'Document'")
+
+
+@query
+def split_sentences(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query
+def pack_chunks(s, d):
+    packed = doc_sections(s, d).select("doc_id", "section_idx", chunks.pack_column(tx.split_sentences(F.col("text")), **SIZES).alias("c"))
+    return packed.select("doc_id", "section_idx", F.posexplode("c").alias("pos", "c")).select("doc_id", "section_idx", "pos", F.col("c.text").alias("text"), F.col("c.tokens").alias("tokens"))
+
+
+@query
+def chunk_table(s, d):
+    return section_chunks(s, d)
+
+
+@query
+def noise_filter(s, d):
+    """Lines with too few letters and digits."""
+    return pages(s, d).select("page_id", F.posexplode("line_list").alias("pos", "line")).where(tx.alnum_ratio(F.col("line")) < F.lit(0.6))
+
+
+@query
+def chunk_stats(s, d):
+    """Pages to cleaned pages to sections to chunks to one row of statistics."""
+    p = pages(s, d)
+    stripped = headers.strip_headers_footers(p, min_repeat=2)
+    sec = sections.build_sections(stripped)
+    counts = p.agg(F.count("*").alias("np")).crossJoin(sec.agg(F.count("*").alias("ns")))
+    made = chunks.chunk_stats(chunks.chunk_sections(sec, **SIZES), 0, 0).drop("num_pages", "num_sections")
+    return counts.crossJoin(made).select(F.col("np").alias("num_pages"), F.col("ns").alias("num_sections"), *made.columns)
+
+
+@query
+def pipeline_chunks(s, d):
+    """The composed plan over raw pages; agrees with the steps one by one."""
+    raw = table(s, d, "pdf_pages").dropDuplicates(["page_id"]).select("doc_id", "page_number", "raw_text")
+    return pages_to_chunks(raw, **SIZES, min_repeat=2).select("chunk_id", "token_count", "char_count", "text")
+
+
+@query
+def chunk_describe(s, d):
+    t = section_chunks(s, d)
+    q = F.percentile("token_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return t.agg(F.count("token_count").alias("count"), F.round(F.avg("token_count"), 6).alias("mean"), F.round(F.stddev_samp("token_count"), 6).alias("std"), F.min("token_count").alias("min"), q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), F.max("token_count").alias("max"))
+
+
+@query
+def chunk_distincts(s, d):
+    return table(s, d, "chunk_embeddings").agg(F.count_distinct("section_id").alias("sections"), F.count_distinct("chunk_id").alias("chunks"), F.min("page_start").alias("first_page"), F.max("page_start").alias("last_page"))
+
+
+@query
+def file_stems(s, d):
+    return table(s, d, "doc_sections").select("source_pdf").distinct().select("source_pdf", tx.file_stem(F.col("source_pdf")).alias("stem"))
+
+
+# -- analytics
+
+
+@query
+def timing_breakdown(s, d):
+    return analytics.timing_breakdown(timing(s, d))
+
+
+@query
+def timing_extremes(s, d):
+    return analytics.timing_extremes(timing(s, d)).select(F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "longest", "slowest")
+
+
+@query
+def events_datetime(s, d):
+    """Epoch seconds to a timestamp's parts and name stamp."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return table(s, d, "events").select("event_id", F.date_format(at, "yyyyMMdd_HHmmss").alias("stamp"))
+
+
+@query
+def windowed_events(s, d):
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_timing(e, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def loss_improvement(s, d):
+    """Daily means of the event values stand in for a loss log."""
+    days = table(s, d, "events").groupBy(F.datediff("ts", F.lit("2020-01-01")).alias("epoch")).agg(F.avg("value").alias("loss"))
+    return analytics.loss_improvement(days).select(*[F.round(c, 6).alias(c) for c in ("first_loss", "last_loss", "improvement", "improvement_pct")])
+
+
+@query
+def parameter_counts(s, d):
+    p = table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("numel"), (F.col("p_partkey") % 10 == 0).alias("trainable"))
+    return analytics.parameter_counts(p).withColumn("percent", F.round("percent", 6))
+
+
+# -- pairs and questions
+
+
+@query
+def pair_aliases(s, d):
+    p = table(s, d, "pairs_df").select("pair_id", "query", "passage").dropDuplicates(["pair_id"])
+    return pairs.resolve_pair_columns(p, ("query", "passage"))
+
+
+@query
+def validate_pairs(s, d):
+    return pairs.validate_pairs(pair_aliases(s, d))
+
+
+@query
+def key_terms(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.key_terms(F.col("text"))).alias("pos", "term"))
+
+
+@query
+def heuristic_questions(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.heuristic_questions(F.col("text"), 6)).alias("pos", "question"))
+
+
+@query
+def statement_to_question(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.long_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "section_idx", "pos", tx.statement_to_question(F.col("sentence")).alias("question"))
+
+
+@query
+def marked_questions(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.marked_questions(F.col("text"))).alias("pos", "question"))
+
+
+@query
+def parse_questions(s, d):
+    """Model answers are played by queries as JSON lists, numbered items or plain text, by pair_id."""
+    p = table(s, d, "pairs_df").select("pair_id", "query", "section_title").dropDuplicates(["pair_id"])
+    answer = F.when(F.col("pair_id") % 3 == 0, F.concat(F.lit("Sure: "), F.to_json(F.array("query", F.lower("query"), F.lit("Please go on?"))))).when(F.col("pair_id") % 3 == 1, F.concat(F.lit("1. "), "query", F.lit("\n2) What is the rest of it?\n- "), "query")).otherwise(F.concat("query", F.lit(" Can you say more?")))
+    return p.select("pair_id", F.posexplode(tx.parse_questions(answer, 3)).alias("pos", "question"))
+
+
+@query
+def build_pairs(s, d):
+    c = section_chunks(s, d)
+    return pairs.generate_pairs(c, 3).select("chunk_id", "query", "passage", "doc_id", "token_count", "char_count")
+
+
+@query
+def questions_per_chunk(s, d):
+    p = table(s, d, "pairs_df").dropDuplicates(["pair_id"])
+    return p.agg(F.round(F.try_divide(F.count("*"), F.count_distinct("chunk_id")), 6).alias("avg_questions"))
+
+
+@query
+def grouped_split(s, d):
+    p = table(s, d, "pairs_df").select("pair_id", "chunk_id").dropDuplicates(["pair_id"])
+    return pairs.grouped_split(p).select("pair_id", "split_name")
+
+
+@query
+def split_counts(s, d):
+    p = table(s, d, "pairs_df").select("pair_id", "chunk_id").dropDuplicates(["pair_id"])
+    return pairs.split_counts(pairs.grouped_split(p))
+
+
+@query
+def split_leak_check(s, d):
+    """Of the delivered splits: groups that stand in more than one."""
+    p = table(s, d, "pairs_df").select("pair_id", "chunk_id", "split_name").dropDuplicates(["pair_id"])
+    return pairs.split_leaks(p)
+
+
+@query
+def union_roles(s, d):
+    p = table(s, d, "pairs_df").select("pair_id", "query", "passage").dropDuplicates(["pair_id"])
+    return p.select("pair_id", F.lit("anchor").alias("role"), F.col("query").alias("text")).unionByName(p.select("pair_id", F.lit("positive").alias("role"), F.col("passage").alias("text")))
+
+
+# -- vectors and retrieval
+
+
+@query
+def unit_norm_check(s, d):
+    return vectors(s, d).agg(F.bool_and(vx.is_unit(F.col("embedding"))).alias("all_unit"), F.count_if(vx.is_unit(F.col("embedding"))).alias("n_unit"))
+
+
+@query
+def l2_normalize(s, d):
+    """Of the vectors doubled, so that there is something to scale."""
+    v = vectors(s, d).withColumn("embedding", F.transform("embedding", lambda x: x * 2 + 0.01))
+    return v.select("row_id", F.posexplode(vx.l2_normalize(F.col("embedding"))).alias("i", "x")).select("row_id", "i", F.round("x", 6).alias("x"))
+
+
+@query
+def mean_pool(s, d):
+    v = vectors(s, d).withColumn("mask", F.when(F.col("row_id") % 5 == 0, 0).otherwise(1))
+    return embed.mean_pool(v, "label", mask="mask").select("label", "i", F.round("value", 6).alias("value"))
+
+
+@query
+def similarity_two_sets(s, d):
+    return similarity.similarities(asked(s, d), vectors(s, d)).select("query_id", "row_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def similarity_pivot(s, d):
+    """The labelled matrix view of the query set with itself."""
+    q = asked(s, d)
+    m = similarity.similarities(q, q.withColumnRenamed("query_id", "row_id")).where("row_id < 500")
+    return m.groupBy("query_id").pivot("row_id", [0, 100, 200, 300, 400]).agg(F.round(F.first("similarity"), 3)).select("query_id", *[F.col(str(i)).alias(f"s{i}") for i in (0, 100, 200, 300, 400)])
+
+
+@query
+def rank_positives(s, d):
+    return similarity.ranked(similarity.similarities(asked(s, d), vectors(s, d).where("row_id % 2 = 1"))).select("query_id", "row_id", "rank")
+
+
+@query
+def accuracy_and_mrr(s, d):
+    scores = similarity.similarities(asked(s, d), vectors(s, d).where("row_id % 2 = 1"))
+    return similarity.accuracy_and_mrr(similarity.own_ranks(scores, F.col("row_id") == F.col("query_id") + 1)).select(F.round("accuracy", 6).alias("accuracy"), F.round("mrr", 6).alias("mrr"))
+
+
+@query
+def ranking_listing(s, d):
+    r = similarity.ranked(similarity.similarities(asked(s, d), vectors(s, d), k=10))
+    return r.select("query_id", "row_id", "rank", (F.col("row_id") == F.col("query_id")).alias("is_match"))
+
+
+@query
+def retrieve_top_k(s, d):
+    r = similarity.ranked(similarity.similarities(asked(s, d), vectors(s, d), k=5, not_self=True))
+    return r.select("query_id", "row_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def knn_cosine_distance(s, d):
+    scaled = vectors(s, d).withColumn("embedding", F.transform("embedding", lambda x: x * 3))
+    r = index.build_index("knn")(asked(s, d), scaled, k=10)
+    return r.select("query_id", "row_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query
+def evaluate_retrieval(s, d):
+    """A row is relevant to a query of the same label."""
+    q, v = asked(s, d), vectors(s, d)
+    top = similarity.ranked(similarity.similarities(q, v, k=5, not_self=True))
+    relevant = q.select("query_id", "label").join(v.select("row_id", "label"), "label").where("query_id <> row_id").select("query_id", "row_id")
+    return similarity.evaluate_retrieval(top, q, relevant).select(*[F.round(c, 6).alias(c) for c in ("precision_at_1", "precision_at_5", "mrr")])
+
+
+@query
+def hard_negatives(s, d):
+    scores = similarity.similarities(asked(s, d), vectors(s, d), least=0.2)
+    return similarity.hard_negatives(scores, 0.2).select("query_id", "row_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def mine_hard_negatives(s, d):
+    """Per query the three most similar rows of another label, as one row."""
+    q, v = asked(s, d), vectors(s, d)
+    scores = similarity.similarities(q, v)
+    other = scores.join(q.select("query_id", F.col("label").alias("ql")), "query_id").join(v.select("row_id", "label"), "row_id").where("ql <> label")
+    top = similarity.ranked(other.select("query_id", "row_id", "similarity")).where("rank <= 3")
+    return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"].cast("string")), ",").alias("hard_negatives"))
+
+
+@query
+def hash_embedding(s, d):
+    t = doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(embed.hash_embedding(F.col("text"))).alias("i", "x"))
+    return t.where("x <> 0").select("doc_id", "section_idx", "i", F.round("x", 6).alias("x"))
+
+
+@query
+def search_batch(s, d):
+    """Queries of the pairs whose id is divisible by 100 against all sections, by the offline embedder."""
+    p = table(s, d, "pairs_df").where("pair_id % 100 = 0").select("pair_id", "query").dropDuplicates(["pair_id"])
+    q = p.select(F.col("pair_id").alias("query_id"), embed.hash_embedding(F.col("query")).alias("embedding"))
+    r = doc_sections(s, d).select(F.format_string("%s/%03d", "doc_id", "section_idx").alias("row_id"), embed.hash_embedding(F.col("text")).alias("embedding"))
+    hits = similarity.ranked(similarity.similarities(q, r, k=5).withColumn("similarity", F.round("similarity", 9)))
+    return hits.where("rank = 1").select("query_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def ivf_top_k(s, d):
+    return index.ivf_top_k(asked(s, d), vectors(s, d), k=5).select("query_id", "row_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def pca_2d(s, d):
+    return reduce.pca(vectors(s, d), "row_id")
+
+
+@query
+def tsne_2d(s, d):
+    """A picture of at most 500 vectors, by nature of the method."""
+    return reduce.tsne_sample(vectors(s, d), "row_id", max_points=500)
+
+
+@query
+def plot_table(s, d):
+    p = reduce.pca(vectors(s, d), "row_id").select((F.col("row_id") / 2).cast("long").alias("pair"), F.when(F.col("row_id") % 2 == 0, "anchor").otherwise("positive").alias("role"), "x0", "x1")
+    return reduce.plot_table(p, "pair", "role")
+
+
+@query
+def batch_losses(s, d):
+    b = training.batch_numbers(vector_pairs(s, d), 16)
+    return training.contrastive_losses(b, 0.5).select("batch", F.round("loss", 6).alias("loss"))
+
+
+@query
+def epoch_loss(s, d):
+    return training.epoch_loss(training.contrastive_losses(training.batch_numbers(vector_pairs(s, d), 16), 0.5)).select(F.round("epoch_loss", 6).alias("epoch_loss"))
+
+
+@query
+def adapter_training(s, d):
+    """(epoch, loss) of a small adapter."""
+    config = training.AdapterConfig(r=4, epochs=3, batch_size=16, learning_rate=5e-3)
+    losses, _ = training.train_adapter(vector_pairs(s, d), config, steps_per_epoch=2)
+    return s.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
