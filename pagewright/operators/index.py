@@ -62,8 +62,11 @@ def ivf_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, probes: int = 8,
     centroids = fit_centroids(rows, cells, vector, row_id)
     indexed = assign(rows, centroids, vector, row_id)
     slices = indexed.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    parted = indexed.join(F.broadcast(slices), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    asked = assign(queries, centroids, vector, query_id, probes).join(F.broadcast(slices), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    # one row a cell, of at most 100 cells
+    n_slices = {r.cell: r.slices for r in slices.collect()}
+    per_cell = F.create_map(*[F.lit(x) for pair in sorted(n_slices.items()) for x in pair]) if n_slices else F.create_map().cast("map<int,int>")
+    parted = indexed.withColumn("part", F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]).cast("int"))
+    asked = assign(queries, centroids, vector, query_id, probes).withColumn("part", F.explode(F.sequence(F.lit(0), per_cell[F.col("cell")] - 1)))
 
     def visit(_key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

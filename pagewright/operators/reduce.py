@@ -101,7 +101,7 @@ def tsne_sample(rows: DataFrame, key: str, vector: str = "embedding", max_points
         y = tsne(_matrix(frame[vector]), perplexity)
         return pd.DataFrame({key: frame[key], "x0": y[:, 0], "x1": y[:, 1]})
 
-    return sample.groupBy(F.lit(1)).applyInPandas(run, f"{key} {kind}, x0 double, x1 double")
+    return sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, f"{key} {kind}, x0 double, x1 double")
 
 
 def plot_table(points: DataFrame, pair: str, role: str) -> DataFrame:

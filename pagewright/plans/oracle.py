@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.functions.text import ABBREVIATIONS, GENERIC, REPLACED, STOP_TERMS
+from pagewright.functions.text import ABBREVIATIONS, REPLACED, STOP_TERMS
 
 WS = r"[\s\x0B\x{85}\p{Z}]"
 
@@ -139,12 +139,6 @@ EMB = lambda x: f"list_transform(range(0, 64), lambda d: coalesce(list_sum(list_
 HASHES = lambda x: f"list_transform({words('lower(coalesce(' + x + ', ' + chr(39) * 2 + '))')}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
 SPLIT = f"{PRS}, grp AS (SELECT g, row_number() OVER (ORDER BY md5(g || '|42'), g) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(chunk_id, chr(0)) AS g FROM prs)), spl AS (SELECT p.*, CASE WHEN r <= ceil(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS sp FROM prs p JOIN grp ON coalesce(chunk_id, chr(0)) = g)"
 
-#: What the cascade must give for the played answers: the first form is a JSON list of the query, its lower case and a polite request; the second a list of items; the third sentences.
-PARSED = f"""WITH {PRS}, a AS (SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN [{strip('query')}, {strip('lower(query)')}, 'Please go on?'] WHEN 1 THEN [{strip('query')}, 'What is the rest of it?', {strip('query')}]
- ELSE list_transform(list_filter(regexp_extract_all(query || ' Can you say more?', '([^.!?]*\\?)', 1), lambda x: length(x) > 10), lambda x: {strip('x')}) END AS q FROM prs),
-k AS (SELECT pair_id, list_filter(q, lambda x, i: list_position(list_transform(q, lambda y: lower(y)), lower(x)) = i AND length(x) > 10 AND NOT regexp_matches(lower(x), '{GENERIC}'))[1:3] AS q FROM a)
-SELECT pair_id, CAST(unnest(range(0, len(q))) AS INTEGER) AS pos, unnest(q) AS question FROM k"""
-
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {PAG} SELECT page_id, text FROM pag",
     "split_lines": f"WITH {PAG}, {LINES} SELECT page_id, CAST(pos AS INTEGER) AS pos, s AS line FROM lines",
@@ -176,7 +170,6 @@ SQL: dict[str, str] = {
     "heuristic_questions": f"WITH {TERMS}{_asked(6)} SELECT doc_id, section_idx, CAST(unnest(range(0, len(q))) AS INTEGER) AS pos, unnest(q) AS question FROM qs",
     "statement_to_question": f"WITH {DOC}, s AS (SELECT doc_id, section_idx, {LONG} AS a FROM dsec), u AS (SELECT doc_id, section_idx, CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS x FROM s) SELECT doc_id, section_idx, pos, {_question('x')} AS question FROM u",
     "marked_questions": rf"WITH {DOC}, s AS (SELECT doc_id, section_idx, list_transform(list_filter(regexp_extract_all(text, '([^.!?]*\?)', 1), lambda x: length(x) > 10 AND {strip('x')} <> ''), lambda x: {strip('x')}) AS a FROM dsec) SELECT doc_id, section_idx, CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS question FROM s",
-    "parse_questions": PARSED,
     "build_pairs": CHUNKS.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)
     + ", "
     + TERMS.replace(DOC + ", ", "", 1).replace("FROM dsec", "FROM csec").replace("cap10 AS", "cap10 AS").replace("doc_id, section_idx", "chunk_id").replace("d.chunk_id", "d.chunk_id").replace("d.doc_id, d.section_idx", "d.chunk_id").replace("cap AS", "csec AS (SELECT chunk_id, text FROM full_), cap AS", 1)
