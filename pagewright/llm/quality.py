@@ -44,7 +44,7 @@ THRESHOLDS = {
     "min_pronounceable_share": 0.7,
     "min_case_regular_share": 0.75,
     "larger_part": 0.5,
-    "lead_in_part": 0.35,
+    "lead_in_part": 0.25,
     "lead_in_rows": 0.8,
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm import cross_split, grouped_splits, mixing, neighbours, packing, pair_defects, quality, repeated_lines, scan_repair
 
@@ -39,8 +40,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page without the lines repeated in its source."""
-    return repeated_lines.clean_pages(table(spark, sf_dir, "pdf_pages"), p3_found(spark, sf_dir))
+    """The text of every page without the lines repeated in its source."""
+    pages = repeated_lines.clean_pages(table(spark, sf_dir, "pdf_pages"), p3_found(spark, sf_dir))
+    return pages.select("page_id", "doc_id", F.array_join("kept_lines", "\n").alias("text"), "n_removed")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
