@@ -23,10 +23,16 @@ def build_sections(pages: DataFrame, min_score: float = 0.4, keep_preamble: bool
 
     A section is a heading with the lines up to the next; lines before the first are dropped unless `keep_preamble`. A document without
     headings gives one section a page (blank ones too), or a single one named Document if it has one page; one without any line gives none.
+    Page numbers must be unique within a document. No task holds or orders more of a document than its page numbers and one section.
     """
-    lines = numbered_lines(pages).withColumn("h", (heading_score(F.col("line")) >= F.lit(float(min_score))).cast("int"))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "pos")
-    marked = lines.withColumn("sec", F.sum("h").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # headings are counted within pages, and only these counts are ordered within documents: one narrow row a page
+    scored = pages.select("doc_id", "page_number", "line_list", F.transform("line_list", lambda x: heading_score(x) >= F.lit(float(min_score))).alias("flags"))
+    counted = scored.select("doc_id", "page_number", F.coalesce(F.size(F.filter("flags", lambda f: f)), F.lit(0)).alias("n"))
+    earlier = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("doc_id", "page_number", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    upto = lambda i: F.size(F.filter(F.slice("flags", F.lit(1), i + 1), lambda f: f))
+    placed = scored.join(before, ["doc_id", "page_number"]).select("doc_id", "page_number", F.explode(F.transform("line_list", lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.get("flags", i).cast("int").alias("h"), (F.col("before") + upto(i)).alias("sec")))).alias("x"))
+    marked = placed.select("doc_id", "page_number", "x.*")
     headed = (
         marked.groupBy("doc_id", "sec")
         .agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.max("h").alias("h"), F.array_sort(F.collect_list(F.struct("page_number", "pos", "line"))).alias("l"))
