@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,13 @@ ROWS, BANDS = 2, 56
 #: Size of the sketch that counts in how many distinct passages a shingle occurs; 4 MB whatever the data.
 SKETCH_BITS, BLOCKS = 20, 64
 SEED = 20_240_607
+#: Shingles weigh the logarithm of their rarity to this power: phrases that stand everywhere weigh next to nothing beside those that near copies share.
+POWER = 4
 
 
 def plain_words(text: Column) -> Column:
     """The runs of letters and digits, lower case, joined by single spaces."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def query_key(text: str | None) -> str | None:
@@ -119,7 +122,7 @@ def banded(classes: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
             for text in batch.column("words").to_pylist():
                 s = shingler(text)
                 seen = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                weight = np.log((n + 1.0) / np.maximum(seen, 1)).astype(np.float32) ** 2 + np.float32(1e-3)
+                weight = np.log((n + 1.0) / np.maximum(seen, 1)).astype(np.float32) ** POWER + np.float32(1e-3)
                 keys.append(band_keys(s, weight, factors))
             at = np.repeat(np.arange(batch.num_rows), BANDS)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
@@ -128,16 +131,16 @@ def banded(classes: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
     return classes.select("class", "trained", "held", "words").mapInArrow(run, "class long, trained boolean, held boolean, band long")
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Shingles in common divided by the larger number of shingles, over arrays of distinct hashes."""
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingle_arrays(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    shingler = Shingler()
-    for batch in batches:
-        yield pd.Series([shingler(x).view(np.int64) for x in batch])
+@F.pandas_udf(T.DoubleType())
+def overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Shingles in common divided by the larger number of shingles; a text's shingles are remembered, for it has several candidates in a row."""
+    shingles = lru_cache(maxsize=4096)(Shingler())
+    for one, other in batches:
+        out = []
+        for x, y in zip(one, other):
+            a, b = shingles(x), shingles(y)
+            out.append(len(np.intersect1d(a, b, assume_unique=True)) / max(len(a), len(b), 1))
+        yield pd.Series(out, dtype="float64")
 
 
 def near_classes(classes: DataFrame, least_overlap: float) -> DataFrame:
@@ -151,7 +154,7 @@ def near_classes(classes: DataFrame, least_overlap: float) -> DataFrame:
     # the words are fetched by class and shingled after the join, so that only texts with a candidate are shuffled as such
     words = classes.select("class", "words")
     met = candidates.join(words.select(F.col("class").alias("c1"), F.col("words").alias("w1")), "c1").join(words.select(F.col("class").alias("c2"), F.col("words").alias("w2")), "c2")
-    return cut(met.where(overlap(shingle_arrays("w1"), shingle_arrays("w2")) >= least_overlap).select("c1", "c2"))
+    return cut(met.where(overlaps("w1", "w2") >= least_overlap).select("c1", "c2"))
 
 
 def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("val", "test"), least_words: int = 30, least_overlap: float = 0.5) -> DataFrame:
@@ -168,7 +171,7 @@ def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[st
     side = F.when(F.col("split_name") == train, "t").when(F.col("split_name").isin(*held_out), "h")
     records = pairs.where("pair_id is not null").select("pair_id", side.alias("side"), plain_words(F.col("passage")).alias("words"), "query").where("side is not null")
     # equal word sequences have equal 128-bit keys; the words themselves are shuffled once, combined by key before
-    long = records.where(F.size(F.split("words", " ")) >= least_words).select(F.unhex(F.md5("words")).alias("key"), "words", "pair_id", "side")
+    long = records.where(F.char_length("words") - F.char_length(F.replace("words", F.lit(" "))) + 1 >= least_words).select(F.unhex(F.md5("words")).alias("key"), "words", "pair_id", "side")
     classes = cut(long.groupBy("key").agg(F.min("pair_id").alias("class"), F.first("words").alias("words"), F.max(F.col("side") == "t").alias("trained"), F.max(F.col("side") == "h").alias("held")))
     members = cut(long.select("key", "pair_id", "side").join(classes.select("key", "class"), "key").select("class", "pair_id", "side").distinct())
     near = near_classes(classes, least_overlap)
