@@ -52,19 +52,20 @@ def words_of(text: Column) -> Column:
 
 def heading_score(line: Column, trailing_dot: bool = False) -> Column:
     """0 to 1, by numbering, capitals, title case, missing full stop and length. `trailing_dot` also takes '1. Title' for numbered."""
-    s = strip_ws(line)
-    n = F.char_length(s)
-    words = words_of(s)
-    upper = F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}")))
-    numbered = s.rlike(rf"^[0-9]+(\.[0-9]+)*{r'\.?' if trailing_dot else ''}{WS}+[^\s]+")
-    score = (
-        F.when(numbered, F.lit(0.4)).otherwise(F.lit(0.0))
-        + F.when((F.upper(s) == s) & (F.lower(s) != s) & n.between(5, 120), F.lit(0.3)).otherwise(F.lit(0.0))
-        + F.when((upper * 2 > F.size(words)) & (n < 100), F.lit(0.2)).otherwise(F.lit(0.0))
-        + F.when(~s.endswith("."), F.lit(0.1)).otherwise(F.lit(0.0))
-    )
-    score = F.least(F.when(n > 150, score * 0.5).otherwise(score), F.lit(1.0))
-    return F.when(line.isNull() | (n < 3), F.lit(0.0)).otherwise(score)
+    dot = r"\.?" if trailing_dot else ""
+
+    def of(s: Column) -> Column:
+        n = F.char_length(s)
+        titled = let(words_of(s), lambda words: F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}"))) * 2 > F.size(words))
+        score = (
+            F.when(s.rlike(rf"^[0-9]+(\.[0-9]+)*{dot}{WS}+[^\s]+"), F.lit(0.4)).otherwise(F.lit(0.0))
+            + F.when(n.between(5, 120) & (F.upper(s) == s) & (F.lower(s) != s), F.lit(0.3)).otherwise(F.lit(0.0))
+            + F.when((n < 100) & titled, F.lit(0.2)).otherwise(F.lit(0.0))
+            + F.when(~s.endswith("."), F.lit(0.1)).otherwise(F.lit(0.0))
+        )
+        return F.when(n < 3, F.lit(0.0)).otherwise(let(score, lambda x: F.least(F.when(n > 150, x * 0.5).otherwise(x), F.lit(1.0))))
+
+    return F.when(line.isNull(), F.lit(0.0)).otherwise(let(strip_ws(line), of))
 
 
 def section_level(title: Column, deepest_first: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pagewright.functions import text as tx
 from pagewright.functions import vectors as vx
 from pagewright.operators import analytics, chunks, embed, headers, index, pairs, reduce, sections, similarity, training
 from pagewright.plans.pipeline import pages_to_chunks
+from pagewright.session import cut
 from pagewright.streaming.ingest import windowed_timing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,10 +139,10 @@ def noise_filter(s, d):
 @query
 def chunk_stats(s, d):
     """Pages to cleaned pages to sections to chunks to one row of statistics."""
-    p = pages(s, d)
-    stripped = headers.strip_headers_footers(p, min_repeat=2)
-    sec = sections.build_sections(stripped)
-    counts = p.agg(F.count("*").alias("np")).crossJoin(sec.agg(F.count("*").alias("ns")))
+    stripped = headers.strip_headers_footers(pages(s, d), min_repeat=2)
+    sec = cut(sections.build_sections(stripped))
+    n_pages = table(s, d, "pdf_pages").agg(F.count_distinct("page_id").alias("np"))
+    counts = n_pages.crossJoin(sec.agg(F.count("*").alias("ns")))
     made = chunks.chunk_stats(chunks.chunk_sections(sec, **SIZES), 0, 0).drop("num_pages", "num_sections")
     return counts.crossJoin(made).select(F.col("np").alias("num_pages"), F.col("ns").alias("num_sections"), *made.columns)
 
