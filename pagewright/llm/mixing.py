@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,6 @@ def draw(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     got = drawn.groupBy("source").agg(F.sum(F.col("repeats") * F.col("tokens")).alias("drawn_tokens"))
     meant = spark.createDataFrame([(r.source, float(r.share), float(budgets.get(r.source, 0.0)), int(r.repeats), int(available.get(r.source, 0))) for r in rows], T.StructType.fromDDL("source string, target_share double, budget double, max_repeats int, available_tokens long"))
     joined = meant.join(got, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
-    all_tokens = joined.agg(F.sum("drawn_tokens").alias("_all"))
-    shares = joined.crossJoin(F.broadcast(all_tokens)).select("source", "target_share", "budget", "drawn_tokens", F.coalesce(F.try_divide("drawn_tokens", "_all"), F.lit(0.0)).alias("share"), "max_repeats", "available_tokens")
+    all_tokens = F.sum("drawn_tokens").over(Window.partitionBy())  # of one row a source
+    shares = joined.withColumn("_all", all_tokens).select("source", "target_share", "budget", "drawn_tokens", F.coalesce(F.try_divide("drawn_tokens", "_all"), F.lit(0.0)).alias("share"), "max_repeats", "available_tokens")
     return drawn.withColumnRenamed("key", key), shares

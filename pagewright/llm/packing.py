@@ -72,8 +72,8 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer_folder: str = DE
     sized = cut(sized.where("tokens > 0").groupBy("key").agg(F.max("tokens").alias("tokens")))
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     n_streams = max(1, round(total / stream_tokens))
-    names = documents.sparkSession.createDataFrame(wanted, "container string, capacity int")
-    jobs = sized.select("key", "tokens", F.xxhash64("key", F.lit(17)).alias("order")).withColumn("stream", F.pmod(F.xxhash64("key"), F.lit(n_streams)).cast("int")).crossJoin(F.broadcast(names))
+    each = F.array(*[F.struct(F.lit(name).alias("container"), F.lit(capacity).alias("capacity")) for name, capacity in wanted or [("", 1)]])
+    jobs = sized.where(F.lit(bool(wanted))).select("key", "tokens", F.xxhash64("key", F.lit(17)).alias("order"), F.pmod(F.xxhash64("key"), F.lit(n_streams)).cast("int").alias("stream"), F.explode(each).alias("c")).select("key", "tokens", "order", "stream", "c.*")
     kind = dict(sized.dtypes)["key"]
     schema = f"container string, stream int, window long, key {kind}, piece int, start int, tokens int, token_offset long"
 
