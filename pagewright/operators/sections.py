@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import heading_score, section_level, strip_ws
+from pagewright.session import cut
 
 
 def numbered_lines(pages: DataFrame) -> DataFrame:
@@ -25,6 +26,8 @@ def build_sections(pages: DataFrame, min_score: float = 0.4, keep_preamble: bool
     headings gives one section a page (blank ones too), or a single one named Document if it has one page; one without any line gives none.
     Page numbers must be unique within a document. No task holds or orders more of a document than its page numbers and one section.
     """
+    # the pages are used four times below: written once, they are cleaned once
+    pages = cut(pages.select("doc_id", "page_number", "cleaned_text", "line_list"))
     # headings are counted within pages, and only these counts are ordered within documents: one narrow row a page
     scored = pages.select("doc_id", "page_number", "line_list", F.transform("line_list", lambda x: heading_score(x) >= F.lit(float(min_score))).alias("flags"))
     counted = scored.select("doc_id", "page_number", F.coalesce(F.size(F.filter("flags", lambda f: f)), F.lit(0)).alias("n"))

@@ -139,7 +139,7 @@ def noise_filter(s, d):
 @query
 def chunk_stats(s, d):
     """Pages to cleaned pages to sections to chunks to one row of statistics."""
-    stripped = headers.strip_headers_footers(pages(s, d), min_repeat=2)
+    stripped = headers.strip_headers_footers(cut(pages(s, d)), min_repeat=2)
     sec = cut(sections.build_sections(stripped))
     n_pages = table(s, d, "pdf_pages").agg(F.count_distinct("page_id").alias("np"))
     counts = n_pages.crossJoin(sec.agg(F.count("*").alias("ns")))
