@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: weighted minwise hashing in bands, exact verification (problem 5)."""
+"""Same or near-same records across splits: an inverted join of the rarest shingles of each passage, exact verification (problem 5)."""
 
 from __future__ import annotations
 
@@ -18,13 +18,10 @@ from pyspark.sql import types as T
 from pagewright.session import cut
 
 SHINGLE = 3
-#: 2 rows a band: at the least weighted Jaccard similarity of 1/3 (half of the larger set in common), 56 bands miss a pair with probability (8/9)^56 = 0.14 %.
-ROWS, BANDS = 2, 56
 #: Size of the sketch that counts in how many distinct passages a shingle occurs; 4 MB whatever the data.
 SKETCH_BITS, BLOCKS = 20, 64
-SEED = 20_240_607
-#: Shingles weigh the logarithm of their rarity to this power: phrases that stand everywhere weigh next to nothing beside those that near copies share.
-POWER = 4
+#: How many of their rarest shingles two passages must share to be compared; a higher number makes each prefix as much longer and the candidates fewer.
+SHARED = 6
 
 
 def plain_words(text: Column) -> Column:
@@ -98,37 +95,35 @@ def shingle_counts(classes: DataFrame) -> tuple[np.ndarray, int]:
     return sketch, max((r.n for r in rows), default=0)
 
 
-def band_keys(shingles: np.ndarray, weight: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One key per band. Hash j picks the shingle with the least exponential variate of rate `weight`, so two sets agree in it with the probability of
-    their weighted Jaccard similarity."""
-    mixed = shingles[None, :] * factors[:, None]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    unit = ((mixed >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    picked = shingles[np.argmax(np.log(unit) / weight[None, :], axis=1)].reshape(BANDS, ROWS)
-    keys = picked[:, 0] * np.uint64(0x9E3779B97F4A7C15) + (picked[:, 1] ^ (picked[:, 1] >> np.uint64(30))) * np.uint64(0x94D049BB133111EB) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+def needed(n: int | Column, least_overlap: float) -> int | Column:
+    """How many shingles a set of n must have in common with one that is not larger."""
+    return F.ceil(n * least_overlap - 1e-9) if isinstance(n, Column) else int(np.ceil(n * least_overlap - 1e-9))
 
 
-def banded(classes: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
-    """(class, trained, held, band) for each class of equal passages."""
+def prefixes(classes: DataFrame, sketch: np.ndarray, n: int, least_overlap: float) -> DataFrame:
+    """(class, size, left, shingle): the rarest shingles of each class of equal passages, with how many of its shingles follow in the order of rarity.
+
+    All sets follow one order: by the sketch's count, ties by hash. Of `needed` common shingles or more, the first SHARED have at least
+    `needed` - SHARED others behind them, so they stand among the first size - needed + SHARED of either set. No pair is missed, however
+    frequent its shingles are; counts that are too high by collisions only make the order a worse one.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(sketch.astype(np.int32) if n < 2**31 else sketch)  # 4 or 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shingler = shared.value, Shingler()
-        factors = np.random.default_rng(SEED).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            keys = []
-            for text in batch.column("words").to_pylist():
+            taken, at, size, left = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+            for k, text in enumerate(batch.column("words").to_pylist()):
                 s = shingler(text)
-                seen = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                weight = np.log((n + 1.0) / np.maximum(seen, 1)).astype(np.float32) ** POWER + np.float32(1e-3)
-                keys.append(band_keys(s, weight, factors))
-            at = np.repeat(np.arange(batch.num_rows), BANDS)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("class", "trained", "held")), flat], names=["class", "trained", "held", "band"])
+                first = s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: len(s) - needed(len(s), least_overlap) + SHARED]]
+                taken.append(first)
+                at.append(np.full(len(first), k))
+                size.append(np.full(len(first), len(s), np.int32))
+                left.append(np.arange(len(s) - 1, len(s) - 1 - len(first), -1, dtype=np.int32))
+            columns = [batch.column("class").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(size)), pa.array(np.concatenate(left)), pa.array(np.concatenate(taken).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "size", "left", "shingle"])
 
-    return classes.select("class", "trained", "held", "words").mapInArrow(run, "class long, trained boolean, held boolean, band long")
+    return classes.select("class", "words").mapInArrow(run, "class long, size int, left int, shingle long")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -146,11 +141,13 @@ def overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def near_classes(classes: DataFrame, least_overlap: float) -> DataFrame:
     """(c1, c2), c1 < c2: classes with near-same words of which one is in train and the other held out."""
     sketch, n = shingle_counts(classes)
-    keys = banded(classes, sketch, n)
-    # both sides are the same rows, so that one shuffle serves both; which pairs cross the splits is decided behind it
-    other = keys.select("band", F.col("class").alias("c2"), F.col("trained").alias("trained2"), F.col("held").alias("held2"))
-    crossing = (F.col("trained") & F.col("held2")) | (F.col("held") & F.col("trained2"))
-    candidates = keys.join(other, "band").where((F.col("class") < F.col("c2")) & crossing).select(F.col("class").alias("c1"), "c2").distinct()
+    one = prefixes(classes.where("trained"), sketch, n, least_overlap)
+    other = prefixes(classes.where("held"), sketch, n, least_overlap).select("shingle", F.col("class").alias("class2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
+    need = needed(F.greatest("size", "size2"), least_overlap)
+    # sizes that differ too much are out, and so are shingles behind which too few are left to be among the first SHARED of `need` common ones
+    within = (F.col("class") != F.col("class2")) & (F.least("size", "size2") >= need) & (F.least("left", "left2") + SHARED >= need)
+    met = one.join(other, "shingle").where(within).groupBy("class", "class2").agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+    candidates = met.where(F.col("shared") >= F.least(F.lit(SHARED), "need")).select(F.least("class", "class2").alias("c1"), F.greatest("class", "class2").alias("c2")).distinct()
     # the words are fetched by class and shingled after the join, so that only texts with a candidate are shuffled as such
     words = classes.select("class", "words")
     met = candidates.join(words.select(F.col("class").alias("c1"), F.col("words").alias("w1")), "c1").join(words.select(F.col("class").alias("c2"), F.col("words").alias("w2")), "c2")
@@ -161,9 +158,8 @@ def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[st
     """(pair_id_a, pair_id_b, same_query, near_passage): every record in train with one held out that has a near-same passage or the same query.
 
     Passages of at least `least_words` words are near-same if they share `least_overlap` of the three-word sequences of the one that has more
-    of them. Equal passages form a class, compared once and expanded at the end; candidates come from banded minwise hashes over shingles
-    weighted by their rarity in the whole corpus, so phrases that stand everywhere make no candidates; each is verified exactly. Queries are
-    the same if equal without case, accents, compatibility forms and all but letters and digits; queries with nothing left equal none.
+    of them. Equal passages form a class, compared once and expanded at the end; candidates share several of the rarest shingles of either,
+    which every such pair does, so phrases that stand everywhere seldom make candidates; each is verified exactly. Queries are the same if equal without case, accents, compatibility forms and all but letters and digits; queries with nothing left equal none.
 
     Null passages or queries match nothing, records of another or no split take no part, a pair_id delivered twice counts once and null ids are
     dropped. Empty tables give an empty result; further columns are ignored.

@@ -258,6 +258,22 @@ def test_cross_split(spark):
     assert cross_split.cross_split_pairs(df.where("false")).count() == 0
 
 
+def test_cross_split_in_a_large_group(spark):
+    """Near copies of one text: what they share is frequent, what each has of its own is rare, and every pair at the bound still counts."""
+    rng = random.Random(12)
+    word = iter(range(10**6))
+    rows = []
+    for own in (10, 30, 50):
+        base = [f"g{own}x{i}" for i in range(102 - own)]
+        for i in range(60):
+            rows.append((len(rows) + 1, None, " ".join([*base, *(f"o{next(word)}" for _ in range(own))]), rng.choice(("train", "val", "test"))))
+    rows += [(len(rows) + 1 + i, None, " ".join(f"u{next(word)}" for _ in range(40)), "train") for i in range(400)]
+    got = {(r.pair_id_a, r.pair_id_b) for r in cross_split.cross_split_pairs(spark.createDataFrame(rows, "pair_id long, query string, passage string, split_name string")).collect()}
+    sets = [(i, set(zip(w, w[1:], w[2:])), s == "train") for i, _, p, s in rows[:180] for w in [p.split()]]
+    want = {(i, j) for i, a, s in sets for j, b, t in sets if i < j and s != t and 2 * len(a & b) >= max(len(a), len(b))}
+    assert len(want) > 2000 and got == want
+
+
 def test_query_key():
     assert cross_split.query_key("Éa ﬁ-2?") == cross_split.query_key("EA FI 2") == "eafi2" and cross_split.query_key("?!") is None and cross_split.query_key(None) is None
 
