@@ -14,6 +14,8 @@ from pagewright.operators.similarity import _matrix, _scaled, ranked
 
 #: Rows of the sample on which centroids are fitted.
 FIT_ROWS = 20_000
+#: Queries on which the number of cells to visit is measured, and the share of their nearest rows that must lie in these cells.
+FIT_QUERIES, FIT_RECALL = 400, 0.95
 
 
 def n_cells(n: int) -> int:
@@ -21,13 +23,16 @@ def n_cells(n: int) -> int:
     return max(1, min(100, n // 10))
 
 
-def fit_centroids(rows: DataFrame, cells: int | None = None, vector: str = "embedding", row_id: str = "row_id", rounds: int = 15) -> np.ndarray:
-    """Spherical k-means on a bounded sample by hash of the id; the same data give the same centroids."""
+def sampled(rows: DataFrame, n: int, vector: str, row_id: str) -> np.ndarray:
+    """At most `n` vectors by hash of the id, of length one."""
     usable = rows.where(F.col(vector).isNotNull())
-    n = usable.count()
-    sample = usable.orderBy(F.xxhash64(row_id), row_id).limit(FIT_ROWS).select(vector).toPandas()
-    x = _scaled(_matrix(sample[vector]), True)
-    k = min(cells or n_cells(n), max(1, len(x)))
+    return _scaled(_matrix(usable.orderBy(F.xxhash64(row_id), row_id).limit(n).select(vector).toPandas()[vector]), True)
+
+
+def fit_centroids(rows: DataFrame, cells: int | None = None, vector: str = "embedding", row_id: str = "row_id", rounds: int = 15, sample: np.ndarray | None = None) -> np.ndarray:
+    """Spherical k-means on a bounded sample by hash of the id; the same data give the same centroids."""
+    x = sampled(rows, FIT_ROWS, vector, row_id) if sample is None else sample
+    k = min(cells or n_cells(rows.where(F.col(vector).isNotNull()).count()), max(1, len(x)))
     if not len(x):
         return np.zeros((1, 1))
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
@@ -39,6 +44,22 @@ def fit_centroids(rows: DataFrame, cells: int | None = None, vector: str = "embe
     return c
 
 
+def enough_probes(asked: np.ndarray, sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
+    """The least number of cells in which FIT_RECALL of the k nearest sample rows of these queries lie. Rows equal to the query, such as itself, are
+    always in its first cell and do not count. In more rows than the sample the nearest are nearer, so they lie in fewer cells."""
+    if not len(asked) or not len(sample):
+        return 1
+    s = asked @ sample.T
+    s[s > 1 - 1e-9] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    i, j = np.nonzero(np.isfinite(np.take_along_axis(s, top, axis=1)))
+    if not len(i):
+        return len(centroids)
+    cell = np.argmax(sample @ centroids.T, axis=1)[top[i, j]]
+    place = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")[i, cell]
+    return int(np.sort(place)[int(np.ceil(FIT_RECALL * len(place))) - 1]) + 1
+
+
 def assign(rows: DataFrame, centroids: np.ndarray, vector: str = "embedding", row_id: str = "row_id", probes: int = 1) -> DataFrame:
     """(id, v, cell): each vector under its `probes` nearest cells."""
     kind = dict(rows.dtypes)[row_id]
@@ -57,9 +78,12 @@ def assign(rows: DataFrame, centroids: np.ndarray, vector: str = "embedding", ro
     return source.mapInArrow(run, f"id {kind}, v array<double>, cell int")
 
 
-def ivf_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, probes: int = 8, cells: int | None = None, slice_rows: int = 50_000, query_id: str = "query_id", row_id: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, row_id, similarity, rank). Every row is indexed; the centroids are fitted on a bounded sample. A cell with more than `slice_rows` rows is searched in slices."""
-    centroids = fit_centroids(rows, cells, vector, row_id)
+def ivf_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, probes: int | None = None, cells: int | None = None, slice_rows: int = 50_000, query_id: str = "query_id", row_id: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, row_id, similarity, rank). Every row is indexed; the centroids are fitted on a bounded sample. A cell with more than `slice_rows` rows is searched in slices.
+    Without `probes`, as many cells are visited as a sample of the queries needs for a recall of FIT_RECALL."""
+    sample = sampled(rows, FIT_ROWS, vector, row_id)
+    centroids = fit_centroids(rows, cells, vector, row_id, sample=sample)
+    probes = probes or enough_probes(sampled(queries, FIT_QUERIES, vector, query_id), sample, centroids, k)
     indexed = assign(rows, centroids, vector, row_id)
     slices = indexed.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
     # one row a cell, of at most 100 cells

@@ -61,6 +61,19 @@ def test_ivf(spark):
         index.build_index("tree")
 
 
+def test_ivf_recall_by_default(spark):
+    """At the settings of the registered query, the query itself not counted."""
+    x = np.random.default_rng(7).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for step in (100, 10):  # as many queries as the registered one has, and more
+        own = range(0, 2000, step)
+        q = spark.createDataFrame([(i, x[i].tolist()) for i in own], "query_id long, embedding array<double>")
+        got = {(r.query_id, r.row_id) for r in index.ivf_top_k(q, rows(spark, x), k=5).collect()}
+        exact = {(i, int(j)) for i in own for j in np.argsort(-(x[i] @ x.T))[1:5]}
+        assert len(got & exact) >= 0.9 * len(exact)
+        assert len(got) == 5 * len(own)
+
+
 def test_empty_vectors(spark):
     none = rows(spark, []).where("false")
     assert similarity.similarities(none.withColumnRenamed("row_id", "query_id"), none).count() == 0
