@@ -315,12 +315,19 @@ def similarity_two_sets(s, d):
     return similarity.similarities(asked(s, d), vectors(s, d)).select("query_id", "row_id", F.round("similarity", 6).alias("similarity"))
 
 
+#: Columns that a matrix may have at most; beyond it, similarity_two_sets is the same in long form.
+PIVOT_COLUMNS = 4096
+
+
 @query
 def similarity_pivot(s, d):
-    """The labelled matrix view of the query set with itself."""
+    """The labelled matrix view of the query set with itself, a column for each of its ids."""
     q = asked(s, d)
-    m = similarity.similarities(q, q.withColumnRenamed("query_id", "row_id")).where("row_id < 500")
-    return m.groupBy("query_id").pivot("row_id", [0, 100, 200, 300, 400]).agg(F.round(F.first("similarity"), 3)).select("query_id", *[F.col(str(i)).alias(f"s{i}") for i in (0, 100, 200, 300, 400)])
+    ids = sorted(r.query_id for r in q.select("query_id").distinct().limit(PIVOT_COLUMNS + 1).collect())
+    if len(ids) > PIVOT_COLUMNS:
+        raise ValueError(f"more than {PIVOT_COLUMNS} vectors to pivot over; similarity_two_sets gives them in long form")
+    m = similarity.similarities(q, q.withColumnRenamed("query_id", "row_id"))
+    return m.groupBy("query_id").pivot("row_id", ids).agg(F.round(F.first("similarity"), 3)).select("query_id", *[F.col(str(i)).alias(f"s{i}") for i in ids])
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import vectors as vx
 from pagewright.operators import embed, index, reduce, similarity, training
+from pagewright.plans import queries
 
 
 def rows(spark, x, name="row_id"):
@@ -74,6 +75,19 @@ def test_ivf_recall_by_default(spark):
         assert len(got) == 5 * len(own)
 
 
+def test_pivot_of_the_whole_query_set(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(901, 4))
+    table = spark.createDataFrame([(i, [float(v) for v in r], "a") for i, r in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    ids = range(0, 901, 100)
+    got = {r.query_id: r for r in queries.similarity_pivot(spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids) and set(got[0].asDict()) == {"query_id", *(f"s{i}" for i in ids)}
+    assert all(got[i][f"s{j}"] == pytest.approx(x[i] @ x[j], abs=6e-4) for i in ids for j in ids)
+    monkeypatch.setattr(queries, "PIVOT_COLUMNS", 9)
+    with pytest.raises(ValueError):
+        queries.similarity_pivot(spark, str(tmp_path))
+
+
 def test_empty_vectors(spark):
     none = rows(spark, []).where("false")
     assert similarity.similarities(none.withColumnRenamed("row_id", "query_id"), none).count() == 0
