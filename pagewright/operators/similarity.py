@@ -22,12 +22,13 @@ def _scaled(x: np.ndarray, normalize: bool) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalize and x.size else x
 
 
-def similarities(queries: DataFrame, rows: DataFrame, least: float | None = None, k: int | None = None, normalize: bool = False, query_id: str = "query_id", row_id: str = "row_id", vector: str = "embedding", block: int = BLOCK, not_self: bool = False) -> DataFrame:
+def similarities(queries: DataFrame, rows: DataFrame, least: float | None = None, k: int | None = None, normalize: bool = False, query_id: str = "query_id", row_id: str = "row_id", vector: str = "embedding", block: int = BLOCK, not_self: bool = False, digits: int | None = None) -> DataFrame:
     """(query_id, row_id, similarity): dot products of all queries with all rows, in matrix blocks.
 
     `least` and `k` cut within each batch of rows already; with `k` the result holds the k best rows of each query, ties by row id. Up to `block`
     queries are sent to the tasks, their number being checked first; beyond that rows and blocks of queries are grouped. Rows and queries with
-    a null vector take no part. `not_self` leaves out rows whose id is the query's.
+    a null vector take no part. `not_self` leaves out rows whose id is the query's. With `digits` the similarities are rounded before any cut,
+    so that equal vectors tie whatever batch they are in.
     """
     spark = rows.sparkSession
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
@@ -39,6 +40,8 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float | None = None
         if not len(q_ids) or not len(r_ids):
             return pd.DataFrame({"query_id": q_ids[:0], "row_id": r_ids[:0], "similarity": np.empty(0)})
         s = _scaled(q_vectors, normalize) @ _scaled(r_vectors, normalize).T
+        if digits is not None:
+            s = np.round(s, digits)
         keep = np.ones(s.shape, bool) if least is None else s >= least
         if not_self:
             keep &= q_ids[:, None] != r_ids[None, :]

@@ -392,13 +392,19 @@ def hash_embedding(s, d):
 
 
 @query
-def search_batch(s, d):
-    """Queries of the pairs whose id is divisible by 100 against all sections, by the offline embedder."""
+def search_batch_hits(s, d):
+    """The five most similar of all sections, ranked, for the queries of the pairs whose id is divisible by 100, by the offline embedder; ties by row_id."""
     p = table(s, d, "pairs_df").where("pair_id % 100 = 0").select("pair_id", "query").dropDuplicates(["pair_id"])
     q = p.select(F.col("pair_id").alias("query_id"), embed.hash_embedding(F.col("query")).alias("embedding"))
     r = doc_sections(s, d).select(F.format_string("%s/%03d", "doc_id", "section_idx").alias("row_id"), embed.hash_embedding(F.col("text")).alias("embedding"))
-    hits = similarity.ranked(similarity.similarities(q, r, k=5).withColumn("similarity", F.round("similarity", 9)))
-    return hits.where("rank = 1").select("query_id", F.round("similarity", 6).alias("similarity"))
+    hits = similarity.ranked(similarity.similarities(q, r, k=5, digits=9))
+    return hits.select("query_id", "row_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def search_batch(s, d):
+    """Of search_batch_hits the similarity of the first hit, which is what its SQL gives."""
+    return search_batch_hits(s, d).where("rank = 1").select("query_id", "similarity")
 
 
 @query

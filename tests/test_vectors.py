@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -88,6 +89,26 @@ def test_pivot_of_the_whole_query_set(spark, tmp_path, monkeypatch):
         queries.similarity_pivot(spark, str(tmp_path))
 
 
+def test_all_hits_of_a_batch_search(spark, tmp_path):
+    """Five ranked sections for each query; of sections with equal text the one with the smaller id comes first."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(15)] * 2
+    asked = [(100 * i, " ".join(rng.choices(words, k=4))) for i in range(8)]
+    spark.createDataFrame([(i + j, q) for i, q in asked for j in (0, 0, 1)], "pair_id long, query string").write.parquet(str(tmp_path / "pairs_df.parquet"))
+    columns = "doc_id string, section_idx int, section_id string, title string, sec_level int, page_start int, page_end int, text string, source_pdf string"
+    spark.createDataFrame([(f"d{i % 7}", i, "", "", 1, 1, 1, t, "") for i, t in enumerate(texts)], columns).write.parquet(str(tmp_path / "doc_sections.parquet"))
+    got = {(r.query_id, r.rank): (r.row_id, r.similarity) for r in queries.QUERIES["search_batch_hits"](spark, str(tmp_path)).collect()}
+    named = [(f"d{i % 7}/{i:03d}", t) for i, t in enumerate(texts)]
+    both = spark.createDataFrame([(a, b) for a, b in [*asked, *named] for a in [str(a)]], "id string, t string").select("id", embed.hash_embedding(F.col("t")).alias("v"))
+    v = {r.id: np.array(r.v) for r in both.collect()}
+    want = {}
+    for i, _ in asked:
+        best = sorted((-round(float(v[str(i)] @ v[name]), 9), name) for name, _ in named)[:5]
+        want |= {(i, k): (name, pytest.approx(-s, abs=2e-6)) for k, (s, name) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_empty_vectors(spark):
     none = rows(spark, []).where("false")
     assert similarity.similarities(none.withColumnRenamed("row_id", "query_id"), none).count() == 0
