@@ -42,10 +42,14 @@ SAMPLE = 3000
 EDGE = 2
 #: How much more frequent a word must be than what is taken for its misreading.
 RATIO = 8
+#: Pages on which a word must stand to be what others are misreadings of, whatever the size of the corpus.
+TARGET = 5
 
 STRIP_LEFT = ".,;:()[]{}\"'“”„«»‚‘’¿¡?*|—–-_/…"
 STRIP_RIGHT = ".,;:()[]{}\"'“”„«»‚‘’¿¡?*|—–-_/…!"
 BREAK = re.compile(rf"(?<=[^\W\d_])[{MARKS}][ \t\f]*\r?\n\s*(?=[^\W_])")
+#: Stands for a line end within a word.
+SEAM = "\ue000"
 HAS_LETTER = re.compile(r"[^\W\d_]")
 LIGATURE = re.compile("[ﬀ-ﬆ]")
 ROMAN = re.compile(r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -57,10 +61,12 @@ def plain(text: str) -> str:
     return LIGATURE.sub(lambda m: LIGATURES[m[0]], text) if not text.isascii() else text
 
 
-def tokens_of(text: str) -> Counter[str]:
-    """Words of a text after joining words divided over line ends, lower case, stripped of punctuation, with at least one letter."""
+def tokens_of(text: str, divided_too: bool = True) -> Counter[str]:
+    """Words of a text after joining words divided over line ends, lower case, stripped of punctuation, with at least one letter; those divided can be left out."""
     out: Counter[str] = Counter()
-    for token, n in Counter(BREAK.sub("", plain(text)).split()).items():
+    for token, n in Counter(BREAK.sub("" if divided_too else SEAM, plain(text)).split()).items():
+        if SEAM in token and not divided_too:
+            continue
         word = token.lstrip(STRIP_LEFT).rstrip(STRIP_RIGHT).lower()
         if word and len(word) <= 40 and (word.isalpha() or HAS_LETTER.search(word) and len(word) > 1):
             out[word] += n
@@ -240,34 +246,37 @@ def body_lines(text: str) -> list[tuple[int, str]]:
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, n): on how many pages each word stands."""
+    """(word, n, solid): on how many pages each word stands, and on how many of them undivided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+        solid: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([solid[w] for w in total], pa.int64())], names=["word", "n", "solid"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(tokens_of(text or "").keys())
+                words = tokens_of(text or "").keys()
+                total.update(words)
+                solid.update(words & tokens_of(text, False).keys() if text and BREAK.search(text) else words)
             if len(total) > 200_000:  # combined before the shuffle, within a bound
                 yield rows()
                 total.clear()
+                solid.clear()
         yield rows()
 
-    return pages.select("raw_text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return pages.select("raw_text").mapInArrow(run, "word string, n long, solid long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("solid").alias("solid"))
 
 
 def corrections(words: DataFrame, ranker: Boosted, n_pages: int) -> DataFrame:
     """(word, meant): rare words that are frequent ones misread. Both meet by q-grams (bigrams with the ends marked) through an inverted join."""
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(2))))
-    frequent = F.greatest(F.lit(5), F.lit(n_pages // 5000))
     sized = words.withColumn("size", F.length("word")).where("size between 2 and 30")
     # a word of letters only is suspicious if it is rare, one with digits or symbols in it however frequent it is
     rare = sized.where((F.col("n") < n_pages * COMMON_SHARE + 2) | ~F.col("word").rlike(r"^[\p{L}-]+$")).select("word", "n", "size", F.explode(grams).alias("gram"))
-    known = sized.where((F.col("n") >= frequent) & F.col("word").rlike(r"^[\p{L}-]+$")).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("size").alias("meant_size"), F.explode(grams).alias("gram"))
+    known = sized.where((F.col("n") >= TARGET) & F.col("word").rlike(r"^[\p{L}-]+$")).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("size").alias("meant_size"), F.explode(grams).alias("gram"))
     met = rare.join(known, "gram").where((F.abs(F.col("size") - F.col("meant_size")) <= 2) & (F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("meant")))
     shared = met.groupBy("word", "meant", "n", "m").agg(F.count("*").alias("shared"))
     # one misreading breaks two or three grams, two break up to six
@@ -292,35 +301,36 @@ def corrections(words: DataFrame, ranker: Boosted, n_pages: int) -> DataFrame:
     return best.join(onward, "meant", "left").select("word", F.coalesce("further", "meant").alias("meant"))
 
 
-OUTLINE = "page_id long, doc_id string, page_number int, rare array<string>, breaks int, edges array<struct<line_no:int,place:int,line:string>>"
+ENDS = "array<struct<line_no:int,left:string,right:string,mark:string>>"
+ENDS_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("mark", pa.string())]))
+OUTLINE = f"page_id long, doc_id string, page_number int, rare array<string>, ends {ENDS}, edges array<struct<line_no:int,place:int,line:string>>"
 
 
-def outlines(pages: DataFrame, common: frozenset[str], joins: Boosted, counts: dict[str, int]) -> DataFrame:
-    """One row a page: its words that are not common, the number of words divided over line ends, and its head and foot lines."""
+def outlines(pages: DataFrame, common: frozenset[str]) -> DataFrame:
+    """One row a page: its words that are not common, its line ends with a hyphen, and its head and foot lines."""
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast((common, counts))  # bounded by COMMON_SHARE and SAMPLE
+    shared = spark.sparkContext.broadcast(common)  # bounded by COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        get = lambda w: counts.get(w, 0)
+        common = shared.value
         for batch in batches:
-            rare, breaks, edges = [], [], []
+            rare, ends, edges = [], [], []
             for text in batch.column("raw_text").to_pylist():
                 text = text or ""
                 rare.append([w for w in tokens_of(text) if w not in common])
                 lines = body_lines(text)
-                breaks.append(len(divided(lines, joins, get)))
+                ends.append(line_ends(lines))
                 n = len(lines)
                 edges.append([{"line_no": i, "place": min(k, n - 1 - k), "line": line} for k, (i, line) in enumerate(lines) if min(k, n - 1 - k) < EDGE and len(line) <= 90])
             kind = pa.list_(pa.struct([("line_no", pa.int32()), ("place", pa.int32()), ("line", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "doc_id", "page_number")), pa.array(rare, pa.list_(pa.string())), pa.array(breaks, pa.int32()), pa.array(edges, kind)], names=["page_id", "doc_id", "page_number", "rare", "breaks", "edges"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "doc_id", "page_number")), pa.array(rare, pa.list_(pa.string())), pa.array(ends, ENDS_ARROW), pa.array(edges, kind)], names=["page_id", "doc_id", "page_number", "rare", "ends", "edges"])
 
     return pages.select("page_id", "doc_id", "page_number", "raw_text").mapInArrow(run, OUTLINE)
 
 
-def divided(lines: list[tuple[int, str]], joins: Boosted, count) -> list[tuple[int, str]]:
-    """(line number, joined word) of each line whose last word goes on in the next line, by the join classifier; a hyphen behind the last letters of a page counts too."""
-    found, x = [], []
+def line_ends(lines: list[tuple[int, str]]) -> list[dict]:
+    """Line number, last piece, next piece and mark of each line that ends with a hyphen behind a letter and is followed by another piece."""
+    found = []
     for k, (i, line) in enumerate(lines):
         if line[-1] not in MARKS or len(line) < 2 or not line[-2].isalpha():
             continue
@@ -328,16 +338,56 @@ def divided(lines: list[tuple[int, str]], joins: Boosted, count) -> list[tuple[i
         after = lines[k + 1][1] if k + 1 < len(lines) else ""
         right = re.split(r"[^\w!+-]", after)[0] if after[:1].isalnum() else ""
         if left and right:
-            found.append((i, left, right))
-            x.append(join_features(left, right, line[-1], count))
-    if not x:
+            found.append({"line_no": i, "left": left, "right": right, "mark": line[-1]})
+    return found
+
+
+def divided_word(left: str, right: str, count) -> str:
+    whole, hyphened = left + right, f"{left}-{right}"
+    return hyphened if count(hyphened.lower()) > count(whole.lower()) else whole
+
+
+def divided(lines: list[tuple[int, str]], joins: Boosted, count) -> list[tuple[int, str]]:
+    """(line number, joined word) of each line whose last word goes on in the next line, by the join classifier; a hyphen behind the last letters of a page counts too."""
+    found = line_ends(lines)
+    if not found:
         return []
-    out = []
-    for (i, left, right), p in zip(found, joins.predict(np.array(x))):
-        if p >= 0.5:
-            whole, hyphened = left + right, f"{left}-{right}"
-            out.append((i, hyphened if count(hyphened.lower()) > count(whole.lower()) else whole))
-    return out
+    p = joins.predict(np.array([join_features(e["left"], e["right"], e["mark"], count) for e in found]))
+    return [(e["line_no"], divided_word(e["left"], e["right"], count)) for e, q in zip(found, p) if q >= 0.5]
+
+
+def divided_words(ends: DataFrame, words: DataFrame, joins: Boosted) -> DataFrame:
+    """(page_id, line_no, joined) of the line ends (page_id, ends) where a word is divided: `divided` with the frequencies of the whole vocabulary.
+
+    Each distinct pair of pieces meets the vocabulary by its four forms. Only undivided occurrences count, or else every line end would be evidence for itself.
+    """
+    each = ends.select("page_id", F.explode("ends").alias("e")).select("page_id", "e.*")
+    pairs = each.select("left", "right", "mark").distinct()
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("left", "right", "mark"))))
+            keys = [form for a, b, _ in rows for form in (f"{a}{b}".lower(), a.lower(), b.lower(), f"{a}-{b}".lower())]
+            at = pa.array(np.repeat(np.arange(len(rows)), 4))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("left", "right", "mark")), pa.array(keys, pa.string())], names=["left", "right", "mark", "word"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, out = [], []
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("left", "right", "mark", "counts"))))
+            counts = [{k: n for k, n in c} for *_, c in rows]
+            get = [lambda w, c=c: c.get(w, 0) for c in counts]
+            x = [join_features(a, b, m, g) for (a, b, m, _), g in zip(rows, get)]
+            for k, p in enumerate(joins.predict(np.array(x)) if x else ()):
+                if p >= 0.5:
+                    kept.append(k)
+                    out.append(divided_word(rows[k][0], rows[k][1], get[k]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in ("left", "right", "mark")), pa.array(out, pa.string())], names=["left", "right", "mark", "joined"])
+
+    piece = "left string, right string, mark string"
+    counted = pairs.mapInArrow(forms, f"{piece}, word string").join(words.where("solid > 0").select("word", "solid"), "word", "left")
+    known = counted.groupBy("left", "right", "mark").agg(F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("solid", F.lit(0)).alias("n")))).alias("counts"))
+    return each.join(known.mapInArrow(judge, f"{piece}, joined string"), ["left", "right", "mark"]).select("page_id", "line_no", "joined")
 
 
 def furniture(outline: DataFrame, catalog: DataFrame, titles: Boosted) -> DataFrame:
@@ -392,9 +442,9 @@ class Reader:
         titles = [r.title for r in catalog.where("title is not null").select("title").distinct().orderBy(F.xxhash64("title"), "title").limit(SAMPLE // 15).collect()]
         texts = self.pages.where("raw_text is not null").select("raw_text").orderBy(F.xxhash64("page_id")).limit(SAMPLE // 10).collect()
         body = [line for r in texts for _, line in body_lines(r.raw_text)[EDGE:-EDGE]][:SAMPLE]
-        self.joins, self.counts = train_joins(sample), dict(sample)
+        self.joins, self.words = train_joins(sample), words
         self.corrections = cut(corrections(words, train_ranker(sample), n_pages))
-        outline = outlines(self.pages, frozenset(common), self.joins, self.counts)
+        outline = outlines(self.pages, frozenset(common))
         self.outline = cut(outline.dropDuplicates(["page_id"]))
         self.furniture = cut(furniture(self.outline, catalog, train_titles(titles, body)))
         self.spark = spark
@@ -412,7 +462,7 @@ def page_noise(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     r = Reader(pages, catalog)
     kinds = [
-        r.outline.where("breaks > 0").select("page_id", F.lit("hyphen_break").alias("noise_kind")),
+        divided_words(r.outline, r.words, r.joins).select("page_id", F.lit("hyphen_break").alias("noise_kind")).distinct(),
         r.misread().select("page_id", F.lit("misread").alias("noise_kind")).distinct(),
         r.furniture.where("is_header").select("page_id", F.lit("running_header").alias("noise_kind")).distinct(),
         r.furniture.where("is_number").select("page_id", F.lit("page_number").alias("noise_kind")).distinct(),
@@ -423,11 +473,13 @@ def page_noise(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     return out
 
 
-def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], joins: Boosted, count) -> list[str]:
-    """The repaired paragraphs of a page: furniture dropped, divided words joined, misread words replaced; a blank line ends a paragraph, as do items and headings."""
-    lines = [(i, x.replace("\f", " ").strip()) for i, x in enumerate(text.split("\n"), 1)]
-    kept = [(i, x) for i, x in lines if i not in dropped]
-    whole = dict(divided([(i, x) for i, x in kept if x], joins, count))
+def kept_lines(text: str, dropped: set[int]) -> list[tuple[int, str]]:
+    return [(i, x.replace("\f", " ").strip()) for i, x in enumerate(text.split("\n"), 1) if i not in dropped]
+
+
+def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], whole: dict[int, str]) -> list[str]:
+    """The repaired paragraphs of a page: furniture dropped, divided words joined, misread words replaced; `whole` gives the joined word by line; a blank line ends a paragraph, as do items and headings."""
+    kept = kept_lines(text, dropped)
     out: list[str] = []
     current, pending = "", None
 
@@ -476,15 +528,22 @@ def repaired_pages(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     r = Reader(pages, catalog)
     fixes = r.misread().groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("meant"))
     cuts = r.furniture.groupBy("page_id").agg(F.collect_set("line_no").alias("cuts"))
-    shared, joins = r.spark.sparkContext.broadcast(r.counts), r.joins
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def build(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        counts = shared.value
-        for text, dropped, meant in batches:
-            yield pd.Series([paragraphs_of(t or "", set(d) if d is not None else set(), dict(m) if m is not None else {}, joins, lambda w: counts.get(w, 0)) for t, d, m in zip(text, dropped, meant)])
+    @F.pandas_udf(ENDS)
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, dropped in batches:
+            yield pd.Series([line_ends([(i, x) for i, x in kept_lines(t or "", set(d) if d is not None else set()) if x]) for t, d in zip(text, dropped)], dtype=object)
 
-    joined = r.pages.dropDuplicates(["page_id"]).join(cuts, "page_id", "left").join(fixes, "page_id", "left")
-    built = joined.select("page_id", "doc_id", "page_number", build.asNondeterministic()("raw_text", "cuts", "meant").alias("parts"))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def build(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, dropped, meant, whole in batches:
+            yield pd.Series([paragraphs_of(t or "", set(d) if d is not None else set(), dict(m) if m is not None else {}, dict(w) if w is not None else {}) for t, d, m, w in zip(text, dropped, meant, whole)])
+
+    # which pieces meet at a line end depends on the furniture between them
+    pages_cut = r.pages.dropDuplicates(["page_id"]).join(cuts, "page_id", "left")
+    divided_at = divided_words(pages_cut.select("page_id", find("raw_text", "cuts").alias("ends")), r.words, r.joins)
+    wholes = divided_at.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "joined"))).alias("wholes"))
+    joined = pages_cut.join(fixes, "page_id", "left").join(wholes, "page_id", "left")
+    built = joined.select("page_id", "doc_id", "page_number", build.asNondeterministic()("raw_text", "cuts", "meant", "wholes").alias("parts"))
     rows = built.select("page_id", "doc_id", "page_number", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "paragraph"))
     return rows.select("page_id", "doc_id", "page_number", (F.col("pos") + 1).alias("paragraph_no"), "paragraph", ((F.col("pos") + 1 == F.col("n")) & ~F.col("paragraph").rlike(r"[.!?:…][\"'”’»)\]]*$")).alias("continues"))

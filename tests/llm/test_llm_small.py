@@ -211,6 +211,27 @@ def test_page_noise(spark):
     assert "harbour stays" in text[12] and "committee and the solvent and Kamusega" in text[23] and "Market Handbook" not in text[1] and "41" not in text[1]
 
 
+def test_rare_words_at_line_ends(spark, monkeypatch):
+    """Compounds keep their hyphen though they are on few pages and beyond the words that the classifiers learn from."""
+    monkeypatch.setattr(scan_repair, "SAMPLE", 60)
+    letters = random.Random(13)
+    made = ["".join(letters.choices("abcdeghiklmnoprstu", k=8)) for _ in range(60)]
+    rows = [(p, f"d{p}", 1, "\n".join(" ".join(made[(p + k) % 60 : (p + k) % 60 + 6]) + "." for k in range(12)), None) for p in range(60)]
+    rows += [(100 + p, "e", p, "They saw the river-bank there.\nIt is a landmark too.", None) for p in range(3)]
+    rows += [(200, "f", 1, "They stood on the river-\nbank at noon. The old land-\nmark stood too.", None)]
+    pages, catalog = spark.createDataFrame(rows, PAGES), spark.createDataFrame([("f", "A Title", None)], CATALOG)
+    text = {r.page_id: r.paragraph for r in scan_repair.repaired_pages(pages, catalog).collect()}
+    assert text[200] == "They stood on the river-bank at noon. The old landmark stood too."
+    assert (200, "hyphen_break") in {(r.page_id, r.noise_kind) for r in scan_repair.page_noise(pages, catalog).collect()}
+
+
+def test_targets_in_a_large_corpus(spark):
+    """A word on five pages is what its misreading means, however many pages there are."""
+    words = spark.createDataFrame([("glacier", 20), ("g1acier", 1)], "word string, n long")
+    ranker = scan_repair.train_ranker([("council", 50), ("harbour", 40), ("glacier", 20), ("committee", 30), ("battery", 20)])
+    assert [tuple(r) for r in scan_repair.corrections(words, ranker, 10**6).collect()] == [("g1acier", "glacier")]
+
+
 def test_empty_pages(spark):
     pages, catalog = spark.createDataFrame([], PAGES), spark.createDataFrame([], CATALOG)
     assert scan_repair.page_noise(pages, catalog).count() == 0 and scan_repair.repaired_pages(pages, catalog).count() == 0
