@@ -74,8 +74,6 @@ def is_empty(passage: str | None) -> bool:
     """Nothing, nothing visible, markup without text, or a mere placeholder."""
     if passage is None:
         return True
-    if len(passage) > 400 and not MARKUP.search(passage):
-        return not INVISIBLE.sub("", passage[:400]) and not INVISIBLE.sub("", passage)
     bare = MARKUP.sub(" ", INVISIBLE.sub(" ", passage)).strip()
     if not WORDS.search(bare):
         return True
@@ -84,8 +82,6 @@ def is_empty(passage: str | None) -> bool:
 
 def is_refusal(passage: str) -> bool:
     """The passage as a whole declines, by the refusal grammar; one that goes on with an answer does not."""
-    if len(passage) > 600:
-        return False
     text = " ".join(passage.replace("’", "'").casefold().split()).strip(" \"'“”«»*_()[]")
     for mark in ("answer:", "a:", "response:", "assistant:"):
         text = text.removeprefix(mark).lstrip()
@@ -102,7 +98,7 @@ def tiled(passage: list[str], query: list[str], least: int = 3) -> list[bool]:
     for j, w in enumerate(query):
         places.setdefault(w, []).append(j)
     while True:
-        best = (0, 0)
+        size, starts = 0, []
         for i, w in enumerate(passage):
             if covered[i]:
                 continue
@@ -110,12 +106,14 @@ def tiled(passage: list[str], query: list[str], least: int = 3) -> list[bool]:
                 n = 0
                 while i + n < len(passage) and j + n < len(query) and not covered[i + n] and passage[i + n] == query[j + n]:
                     n += 1
-                best = max(best, (n, -i))
-        size, start = best[0], -best[1]
+                if n > size:
+                    size, starts = n, []
+                if n == size and n and (not starts or i >= starts[-1] + n):
+                    starts.append(i)
         if size < min(least, len(query)) or size == 0:
             return covered
-        for k in range(start, start + size):
-            covered[k] = True
+        for start in starts:
+            covered[start : start + size] = [True] * size
 
 
 def plain_words(text: str) -> list[str]:
@@ -124,13 +122,12 @@ def plain_words(text: str) -> list[str]:
 
 def is_copy(query: str | None, passage: str) -> bool:
     """Only the query again: the tiles cover all of the passage but lead-in words, and all of the query's words occur."""
-    if not query or len(passage) > 6 * len(query) + 80:
+    if not query:
         return False
     asked, said = plain_words(query), plain_words(passage)
-    if not asked or not said or len(said) > 4 * len(asked) + 8:
+    if not asked or not said:
         return False
-    loose = Counter(said) - Counter(asked * 4)
-    if any(w not in LEAD_INS for w in loose):
+    if not set(said) - set(asked) <= LEAD_INS:
         return False
     missing = Counter(asked) - Counter(said)
     if sum(missing.values()) > 0.15 * len(asked):

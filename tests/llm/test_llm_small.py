@@ -323,6 +323,16 @@ def test_defects(query, passage, defect):
     assert pair_defects.Judge({k: frozenset(v) for k, v in lists.items()})(query, passage) == defect
 
 
+def test_defects_of_long_passages():
+    query = "Who met the old council?"
+    assert pair_defects.is_copy(query, f"{query} " * 60) and pair_defects.is_copy(query, f"You asked: {query * 9}")
+    assert not pair_defects.is_copy(query, f"{query} " * 60 + "The mayor.")
+    for blank in ("." * 900, "- " * 500, "\u2014 \u2026" * 300):
+        assert pair_defects.is_empty(blank) and not pair_defects.is_empty(blank + " Nobody.")
+    refusal = "I'm sorry, but I can't help with that. " + "Let me know if you have other questions. " * 30
+    assert pair_defects.is_refusal(refusal) and not pair_defects.is_refusal(refusal + "The council met in the hall.")
+
+
 def test_defect_table(spark, common):
     rows = [(1, "q", None), (1, "q", None), (2, "q", "A sound answer."), (3, None, "x " * 200_000 + "."), (None, "q", None)]
     df = spark.createDataFrame(rows, "pair_id long, query string, passage string").withColumn("defect", F.lit("clash"))
