@@ -28,7 +28,6 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 VOWEL = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøœùúûüýÿ]", re.I)
 CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}", re.I)
 BREAK = re.compile(r"\r\n|[\n\r\f\v\u2028\u2029]")
-FAST = re.compile(r"[\t|;{}=<>\[\]]|\.\.\.\.|\d\s+\d|,\S|[»›│…•]")
 STOP = re.compile(r"[.!?][\"'”’»)]*$")
 CAPTION = re.compile(r"^(?:table|tabelle|tableau|tabla|tabella)\s+\d+\b", re.I)
 BULLET_START = frozenset("-*+•–—·▪◦‣●○■□☐☑✓➢→»([0123456789")
@@ -79,8 +78,6 @@ def split_cells(line: str) -> list[str]:
 
 def line_kind(line: str, common: frozenset[str]) -> str:
     """item, table, code or prose for one stripped, non-empty line."""
-    if len(line) >= 48 and "  " not in line and line.count(" ") >= 7 and line.count(",") <= 4 + len(line) // 40 and line[0] not in BULLET_START and line[1] not in ".)" and not FAST.search(line):
-        return "prose"
     if RULE.match(line):
         return "table"
     if BULLET.match(line):

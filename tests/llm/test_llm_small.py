@@ -419,6 +419,17 @@ def test_kinds(spark, common, text, kind):
     assert [r.kind for r in got] == [kind, kind] and (got[0].reason is None) == (kind == "prose")
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("Table 17. The number of the boats in the old harbour of the town", "table"), ("The introduction to the methods of the old town . . . . . . . . 12", "item"),
+        ("$12.50 $13.75 $14.20 $15.90 $16.10 $17.35 $18.45 $19.99 $20.05", "table"), ("The council of the town met in the hall and spoke of the harbour.", "prose"),
+    ],
+)
+def test_kinds_of_long_lines(line, kind):
+    assert len(line) >= 48 and quality.line_kind(line, frozenset(["the", "of", "in", "and", "to"])) == kind
+
+
 def test_statistics_against_plain(spark, common):
     text = "The mayor is in the hall.\nIt is 12 o'clock.\n- item"
     r = quality.quality_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string"), common).first()
