@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,8 @@ from pagewright.session import cut
 AUTHOR_MARK = "\U0010ffff"
 CHUNK = r"(?is)^\s*(.*?)\s*:+\s*sec\w*\s*:+.*$"
 
-# Entries that name nobody, and words that are no part of a name.
-NOBODY = frozenset("unknown|various|anonymous|anon|editorial staff|editorial team|editorial|staff|editor|editors|n a|na|none|null|nan|no author|author unknown|not given|not known|misc|tba|tbd|various authors|multiple|multiple authors|others|et al|author|authors|the authors|unbekannt|anonyme|anonimo|collective|staff writer".split("|"))
+# An entry made of such words alone names nobody; words that are no part of a name.
+NOBODY = frozenset("unknown various anonymous anon editorial staff team board editor editors writer writers author authors no not n a na none null nan given known available listed misc tba tbd multiple several others other et al the collective unbekannt verfasser anonyme inconnu anonimo desconocido sconosciuto autor auteur autore".split())
 TITLES = frozenset("dr prof professor mr mrs ms miss sir by von phd md jr sr ed eds editor edited written".split())
 
 
@@ -37,10 +37,8 @@ def people_of(author: str | None) -> list[str]:
     out = set()
     for part in re.split(r"[;&/|+]|\b(?:and|und|et|with)\b", author, flags=re.I):
         plain = "".join(c for c in unicodedata.normalize("NFKD", part.casefold()) if not unicodedata.combining(c))
-        if " ".join(re.findall(r"[^\W\d_]+", plain)) in NOBODY:
-            continue
         words = [w for w in re.findall(r"[^\W\d_]+", plain) if w not in TITLES]
-        if words and " ".join(words) not in NOBODY and any(len(w) > 1 for w in words):
+        if any(len(w) > 1 for w in words) and not NOBODY.issuperset(words):
             out.add(" ".join(sorted(words)))
     return sorted(out)
 
@@ -101,58 +99,114 @@ def record_groups(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return records.join(by_doc, "dk", "left").join(by_chunk, "ck", "left").select("pair_id", F.coalesce("g1", "g2").alias("group_doc"))
 
 
-def place(units: list[tuple], targets: list[tuple[str, float]]) -> dict[tuple[str, str], str]:
-    """Iterative stratification of (stratum, unit, {label: records}): the label with the fewest outstanding records first, its largest units first, each into the split that needs the label most."""
-    total: dict[str, float] = defaultdict(float)
-    for _, _, vector in units:
-        for label, n in vector.items():
-            total[label] += n
-    shares = sum(x for _, x in targets)
-    need = {name: {label: n * share / shares for label, n in total.items()} for name, share in targets}
-    overall = {name: sum(x.values()) for name, x in need.items()}
-    waiting: dict[str, list[tuple]] = defaultdict(list)
-    for stratum, unit, vector in units:
-        waiting[stratum].append((unit, vector))
-    outstanding = dict(total)
-    out = {}
-    while waiting:
-        stratum = min(waiting, key=lambda x: (outstanding[x], x))
-        for unit, vector in sorted(waiting.pop(stratum), key=lambda x: (-sum(x[1].values()), x[0])):
-            # what no split needs any more in this label goes where most is lacking over all labels
-            open_to = [n for n, _ in targets if 2 * need[n][stratum] >= vector[stratum]]
-            name = max(open_to, key=lambda n: (need[n][stratum], overall[n], n)) if open_to else max((n for n, _ in targets), key=lambda n: (overall[n], n))
-            out[stratum, unit] = name
-            for label, n in vector.items():
-                need[name][label] -= n
-                outstanding[label] -= n
-            overall[name] -= sum(vector.values())
-    return out
-
-
-def grouped_splits(records: DataFrame, targets: DataFrame, key: str = "pair_id", group: str = "group_doc", label: str = "src", heavy: int = 64, buckets: int = 64, max_labels: int = 256) -> DataFrame:
-    """(key, split_name) of every record, all records of a group in one split, near the shares of `targets` (split_name, target_share) by label.
-
-    Groups are ranged under the rarest label they hold. Groups that hold at least 1/`heavy` of their stratum are placed one by one; the others go
-    by hash into `buckets` lots per stratum, each placed as one. So at most max_labels * (heavy + buckets) lots reach the driver whatever the
-    number of groups. `label` must have at most `max_labels` values (ValueError beyond). A null group is a group of its own per record, a
-    null label a label; null keys are dropped, a key delivered twice counts once; empty records give an empty result, empty targets a ValueError.
+def place(units: list[tuple[str, int, int]], need: list[float], target: list[float], overall: list[float], overall_target: list[float]) -> tuple[dict[str, int], list[float]]:
+    """({group: split number}, what each split still needs of the label) for (group, records of the label, records): the largest first, each where most is lacking.
+
+    What is lacking is measured behind the placement and relative to the split's target, of the label and of all records together.
+    """
+    need, overall, out = list(need), list(overall), {}
+    for group, n, size in sorted(units, key=lambda x: (-x[1], -x[2], x[0])):
+        best = max(range(len(need)), key=lambda i: ((need[i] - n) / target[i] + (overall[i] - size) / overall_target[i], -i))
+        out[group] = best
+        need[best] -= n
+        overall[best] -= size
+    return out, need
+
+
+def spread(rows: DataFrame, by: str, weight: str) -> DataFrame:
+    """`rows` (with _g) with `before`, the weight of the rows of the same `by` that stand before in the order of their hashes. Only sums by 4096 ranges of hashes are ordered; within a range it is taken in proportion."""
+    hashed = rows.withColumn("_h", F.xxhash64("_g", F.lit(5))).withColumn("_range", F.shiftrightunsigned("_h", 52).cast("int")).withColumn("_part", F.shiftrightunsigned(F.shiftleft("_h", 12), 12) / F.lit(float(1 << 52)))
+    sums = hashed.groupBy(by, "_range").agg(F.sum(weight).alias("_mass"))
+    running = sums.withColumn("_before", F.sum("_mass").over(Window.partitionBy(by).orderBy("_range")) - F.col("_mass"))
+    return hashed.join(running, [by, "_range"]).withColumn("before", F.col("_before") + F.col("_part") * F.col("_mass")).drop("_h", "_range", "_part", "_mass", "_before")
+
+
+def grouped_splits(records: DataFrame, targets: DataFrame, key: str = "pair_id", group: str = "group_doc", label: str = "src", heavy: int = 64, close: float = 0.001) -> DataFrame:
+    """(key, split_name) of every record, all records of a group in one split, near the shares of `targets` (split_name, target_share) over all records and by label.
+
+    Groups are ranged under the label with the fewest outstanding records that they hold, and the rarest labels go first: those within a factor
+    of two of each other side by side, so that there are at most as many passes as the number of records has bits, whatever the number of
+    labels. Under a label, groups that hold at least 1/`heavy` of what is ranged there are placed one by one, the largest first, where most is
+    lacking; the others go each by its place in the order of hashes, so that every split gets what it still needs. In the end whole groups
+    are moved from splits with too much to those with too little until none is off by more than `close` of all records or no move helps.
+
+    Counts by group, label and split stay distributed; a task holds at most `heavy` groups of a label, the driver one number a split. A null group
+    is a group of its own per record, a null label a label; null keys are dropped, a key delivered twice counts once; empty records give an
+    empty result, empty targets or more than 1000 a ValueError. A group larger than a split's share goes where it does least harm.
     """
     wanted = [(r[0], float(r[1])) for r in targets.select("split_name", "target_share").where("split_name is not null and target_share > 0").orderBy("split_name").limit(1001).collect()]
     if not wanted or len(wanted) > 1000:
         raise ValueError("targets must name between 1 and 1000 splits")
+    shares = [x / sum(x for _, x in wanted) for _, x in wanted]
+    spark = records.sparkSession
     base = records.where(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key), F.coalesce(F.concat(F.lit("g"), F.col(group)), F.concat(F.lit("r"), F.col(key).cast("string"))).alias("_g"), F.coalesce(F.col(label), F.lit("")).alias("_label"))
     counts = cut(base.groupBy("_g", "_label").agg(F.count("*").alias("n")))
-    totals = counts.groupBy("_label").agg(F.sum("n").alias("total")).limit(max_labels + 1)
-    if totals.count() > max_labels:
-        raise ValueError(f"{label} has more than {max_labels} values")
-    ranged = counts.join(F.broadcast(totals), "_label").groupBy("_g").agg(F.min_by("_label", F.struct("total", "_label")).alias("stratum"), F.sum("n").alias("size"))
-    mass = ranged.groupBy("stratum").agg(F.sum("size").alias("mass"))
-    unit = F.when(F.col("size") * heavy >= F.col("mass"), F.col("_g")).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64("_g"), F.lit(buckets)).cast("string")))
-    unit_of = cut(ranged.join(F.broadcast(mass), "stratum").select("_g", "stratum", unit.alias("unit")))
-    rows = counts.join(unit_of, "_g").groupBy("stratum", "unit", "_label").agg(F.sum("n").alias("n")).collect()
-    vectors: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)
-    for r in rows:
-        vectors[r["stratum"], r["unit"]][r["_label"]] = r["n"]
-    placed = place([(s, u, v) for (s, u), v in vectors.items()], wanted)
-    chosen = records.sparkSession.createDataFrame([(s, u, name) for (s, u), name in placed.items()], "stratum string, unit string, split_name string")
-    return base.join(unit_of.join(F.broadcast(chosen), ["stratum", "unit"]).select("_g", "split_name"), "_g").select(key, "split_name")
+    sizes = counts.groupBy("_g").agg(F.sum("n").alias("size"))
+    totals = counts.groupBy("_label").agg(F.sum("n").alias("total"))
+    n_records = totals.agg(F.sum("total")).first()[0] or 0
+    aims = [n_records * x for x in shares]
+
+    def held(placed: DataFrame) -> list[int]:
+        got = {r.split: r.n for r in placed.groupBy("split").agg(F.sum("size").alias("n")).collect()}
+        return [got.get(i, 0) for i in range(len(shares))]
+
+    def of_stratum(overall: list[float]):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            first = rows[rows._g.isna()].iloc[0]
+            given = {int(g["split"]): float(g["n"]) for g in first.given} if first.given is not None else {}
+            target = [float(first.total) * x for x in shares]
+            units = rows[rows._g.notna()]
+            chosen, left = place(list(zip(units["_g"], units["n"].astype(int), units["size"].astype(int))), [t - given.get(i, 0.0) for i, t in enumerate(target)], target, overall, aims)
+            lacking = np.maximum(left, 0)
+            ends = np.cumsum(lacking / lacking.sum() if lacking.sum() else shares)
+            return pd.DataFrame({"stratum": first.stratum, "_g": [*chosen, None], "split": [*chosen.values(), -1], "ends": [*[None] * len(chosen), ends.tolist()]})
+
+        return run
+
+    placed = spark.createDataFrame([], "_g string, split int, size long")
+    waiting, bits = counts, 0
+    while True:
+        outstanding = waiting.groupBy("_label").agg(F.sum("n").alias("open"))
+        least = outstanding.agg(F.min("open")).first()[0]
+        if least is None:
+            break
+        bits = max(bits + 1, int(least).bit_length())
+        now = outstanding.where(F.col("open") < F.lit(1 << bits))
+        ranged = waiting.join(now, "_label").groupBy("_g").agg(F.min_by(F.struct("_label", "n"), F.struct("open", "_label")).alias("s")).select("_g", F.col("s._label").alias("stratum"), "s.n").join(sizes, "_g")
+        ranged = cut(ranged)
+        given = counts.join(placed.select("_g", "split"), "_g").groupBy("_label", "split").agg(F.sum("n").alias("n")).groupBy("_label").agg(F.collect_list(F.struct("split", "n")).alias("given"))
+        strata = ranged.groupBy("stratum").agg(F.sum("n").alias("mass")).join(totals.withColumnRenamed("_label", "stratum"), "stratum").join(given.withColumnRenamed("_label", "stratum"), "stratum", "left")
+        judged = ranged.join(strata.select("stratum", "mass"), "stratum")
+        big = judged.where(F.col("n") * heavy >= F.col("mass")).select("stratum", "_g", "n", "size", F.lit(None).cast("long").alias("total"), F.lit(None).cast("array<struct<split:int,n:long>>").alias("given"))
+        heads = strata.select("stratum", F.lit(None).cast("string").alias("_g"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), "total", "given")
+        lacking = [a - h for a, h in zip(aims, held(placed))]
+        one_by_one = cut(big.union(heads).groupBy("stratum").applyInPandas(of_stratum(lacking), "stratum string, _g string, split int, ends array<double>"))
+        small = spread(judged.where(F.col("n") * heavy < F.col("mass")).drop("mass"), "stratum", "n")
+        of_small = small.groupBy("stratum").agg(F.sum("n").alias("small_mass")).join(one_by_one.where("split < 0").select("stratum", "ends"), "stratum")
+        at = F.least(F.size(F.filter("ends", lambda e: e <= F.col("before") / F.col("small_mass"))), F.lit(len(shares) - 1))
+        by_place = small.join(of_small, "stratum").select("_g", at.cast("int").alias("split"), "size")
+        new = cut(one_by_one.where("split >= 0").select("_g", "split").join(ranged.select("_g", "size"), "_g").select("_g", "split", "size").union(by_place))
+        placed, waiting = placed.union(new), cut(waiting.join(new.select("_g"), "_g", "left_anti"))
+
+    placed, have = cut(placed), None
+    for _ in range(8):
+        now = held(placed)
+        if have is not None and sum(abs(x - a) for x, a in zip(now, aims)) >= sum(abs(x - a) for x, a in zip(have, aims)):
+            placed = before  # the last moves did not help
+            break
+        have, before = now, placed
+        over = [x - a for x, a in zip(have, aims)]
+        if max(map(abs, over), default=0) <= close * n_records:
+            break
+        # surpluses and lacks laid end to end: what is moved from a place of the one goes to the split at that place of the other
+        givers, takers = [(i, x) for i, x in enumerate(over) if x > 0], [(i, -x) for i, x in enumerate(over) if x < 0]
+        starts = np.cumsum([0.0, *(x for _, x in givers)])
+        ends = np.cumsum([x for _, x in takers])
+        plan = spark.createDataFrame([(i, float(x), float(a)) for (i, x), a in zip(givers, starts)], "split int, surplus double, start double")
+        candidates = placed.join(F.broadcast(plan), "split").where(F.col("size") <= F.greatest(F.lit(1.0), F.col("surplus") / 4))
+        moved = spread(candidates, "split", "size").where(F.col("before") + F.col("size") / 2 < F.col("surplus"))
+        index = F.least(F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("start") + F.col("before"))), F.lit(len(takers) - 1))
+        goal = F.element_at(F.array(*[F.lit(i) for i, _ in takers]), index + 1)
+        placed = cut(placed.join(moved.select("_g", goal.cast("int").alias("goal")), "_g", "left").select("_g", F.coalesce("goal", "split").alias("split"), "size"))
+    names = F.element_at(F.array(*[F.lit(name) for name, _ in wanted]), F.col("split") + 1)
+    return base.join(placed.select("_g", names.alias("split_name")), "_g").select(key, "split_name")

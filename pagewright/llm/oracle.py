@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from pagewright.llm.grouped_splits import NOBODY, TITLES
-
-
 def _key(x: str) -> str:
     stem = rf"regexp_replace(regexp_replace(lower(trim({x})), '^.*[/\\]', ''), '\.(?:pdf|txt|docx?|html?|epub)$', '')"
     return rf"nullif(regexp_replace(regexp_replace({stem}, '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
 
 
-def _list(words: frozenset[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
-
-
 P1 = rf"""WITH RECURSIVE cat AS (SELECT doc_id AS node, {_key('doc_id')} AS k, author FROM doc_catalog WHERE doc_id IS NOT NULL),
 rec AS (SELECT DISTINCT ON (pair_id) pair_id, {_key('doc_id')} AS dk, {_key(r"regexp_extract(chunk_id, '(?is)^\s*(.*?)\s*:+\s*sec\w*\s*:+.*$', 1)")} AS ck FROM pairs_df),
-par AS (SELECT node, unnest(regexp_split_to_array(author, '(?i)[;&/|+]|\b(?:and|und|et|with)\b')) AS part FROM cat WHERE author IS NOT NULL),
-wor AS (SELECT node, regexp_extract_all(lower(strip_accents(part)), '\p{{L}}+') AS w FROM par),
-who AS (SELECT node, list_sort(list_filter(w, lambda x: NOT list_contains({_list(TITLES)}, x))) AS w, array_to_string(w, ' ') AS whole, array_to_string(list_filter(w, lambda x: NOT list_contains({_list(TITLES)}, x)), ' ') AS bare FROM wor),
-aut AS (SELECT node, chr(1114111) || array_to_string(w, ' ') AS person FROM who WHERE len(w) > 0 AND NOT list_contains({_list(NOBODY)}, whole) AND NOT list_contains({_list(NOBODY)}, bare) AND len(list_filter(w, lambda x: length(x) > 1)) > 0),
+par AS (SELECT node, lower(strip_accents(unnest(string_split_regex(author, '\s+and\s+|[;&/]')))) AS part FROM cat WHERE author IS NOT NULL),
+wor AS (SELECT node, list_sort(string_split_regex(trim(regexp_replace(regexp_replace(part, '^\s*(by\s+|dr\.\s*)*', ''), '[^a-z]+', ' ', 'g')), '\s+')) AS w FROM par WHERE NOT regexp_matches(part, '^\W*$|unknown|various|anonymous|editorial|^\s*(n|a|none|staff)\s*$')),
+aut AS (SELECT node, chr(1114111) || array_to_string(w, ' ') AS person FROM wor WHERE len(w) >= 2),
 edg AS (SELECT DISTINCT a.node AS a, b.node AS b FROM rec JOIN cat a ON a.k = dk JOIN cat b ON b.k = ck WHERE a.node <> b.node UNION SELECT node, person FROM aut),
 two AS (SELECT a, b FROM edg UNION SELECT b, a FROM edg),
 rea AS (SELECT node AS a, node AS b FROM cat UNION SELECT r.a, t.b FROM rea r JOIN two t ON r.b = t.a),
