@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from pagewright.session import cut
 
-#: Projected dimensions, admitted chance that the stopping test misses a neighbour at the bound, rows per block and per leaf, and rows of the sample that places the cells.
-DIMENSIONS, MISS, BLOCK_ROWS, LEAF_ROWS, SAMPLE_ROWS, MAX_CELLS = 16, 0.05, 24_000, 192, 16_384, 1024
+#: Projected dimensions of the search within a cell, admitted chance that its stopping test misses a neighbour at the bound, and rows per leaf.
+DIMENSIONS, MISS, LEAF_ROWS = 16, 0.05, 192
+#: Rows of a cell at about; rows or queries that a task takes on at most; rows of the sample that places the cuts, and cuts it places by node.
+CELL_ROWS, TASK_ROWS, SAMPLE_ROWS, SAMPLE_LEVELS = 3_000, 24_000, 16_384, 10
+#: Trees over which near pairs are sought, and the chance per tree to miss one at the bound; all of them miss it with a chance of TREE_MISS ** TREES at most.
+TREES, TREE_MISS = 4, 0.35
 SEED = 77
 
 
@@ -134,42 +138,85 @@ def unit_vectors(vectors: DataFrame, dim: int, embedding: str = "embedding") ->
     return vectors.where("chunk_id is not null").select("chunk_id", embedding).mapInArrow(run, "chunk_id string, unit binary")
 
 
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    """Of the standard normal distribution, by the rational approximation of Hastings (error below 1e-7)."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    tail = np.exp(-0.5 * z * z) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z > 0, 1 - tail, tail)
+
+
 class Cells:
-    """Cells of a kd-tree over a bounded sample of projected vectors; the outer cells reach to infinity."""
-
-    def __init__(self, sample: np.ndarray, n_cells: int):
-        cells = [(np.arange(len(sample)), np.full(sample.shape[1], -np.inf), np.full(sample.shape[1], np.inf))]
-        while len(cells) < n_cells:
-            split = []
-            for rows, low, high in cells:
-                box = sample[rows]
-                axis = int(np.argmax(box.std(0))) if len(rows) > 1 else 0
-                cut_at = float(np.median(box[:, axis])) if len(rows) else 0.0
-                up, down = high.copy(), low.copy()
-                up[axis] = down[axis] = cut_at
-                side = box[:, axis] < cut_at
-                split += [(rows[side], low, up), (rows[~side], down, high)]
-            cells = split
-        self.low = np.array([c[1] for c in cells], np.float32)
-        self.high = np.array([c[2] for c in cells], np.float32)
-
-    def of(self, points: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(points), np.int64)
-        for c in range(len(self.low)):
-            out[((points >= self.low[c]) & (points < self.high[c])).all(1)] = c
-        return out
-
-    def reached(self, points: np.ndarray, squared: np.ndarray) -> np.ndarray:
-        """points x cells: whether a cell begins within a squared projected distance of a point."""
-        far = np.empty((len(points), len(self.low)), np.float32)
-        for c in range(len(self.low)):
-            far[:, c] = box_distances_of(points, self.low[c], self.high[c])
-        return far <= squared[:, None]
-
-
-def box_distances_of(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    gap = np.maximum(0, np.maximum(low - points, points - high))
-    return (gap * gap).sum(1)
+    """The cells of a kd-tree of 2 ** bits leaves. Level d cuts along stable projection d, at the medians of a bounded sample.
+
+    The first SAMPLE_LEVELS levels have a cut by node, so regions that are full of vectors are parted as often as they are full; below, a node
+    keeps the medians of its own sample along the further projections, so the tree grows with the data while what is kept of it does not.
+    """
+
+    def __init__(self, sample: np.ndarray, bits: int, seed: int):
+        self.bits, self.top = bits, min(bits, SAMPLE_LEVELS)
+        self.directions = np.random.default_rng(SEED + 1 + seed).standard_normal((sample.shape[1], bits)).astype(np.float32)
+        points = sample @ self.directions
+        node = np.zeros(len(points), np.int64)
+        self.cuts = []
+        for d in range(self.top):
+            self.cuts.append(medians(points[:, d], node, 1 << d))
+            node = 2 * node + (points[:, d] >= self.cuts[d][node])
+        self.deep = [medians(points[:, d], node, 1 << self.top) for d in range(self.top, bits)]
+
+    def cut(self, level: int, node: np.ndarray) -> np.ndarray:
+        return self.cuts[level][node] if level < self.top else self.deep[level - self.top][node >> (level - self.top)]
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        points, node = vectors @ self.directions, np.zeros(len(vectors), np.int64)
+        for d in range(self.bits):
+            node = 2 * node + (points[:, d] >= self.cut(d, node))
+        return node
+
+    def reached(self, vectors: np.ndarray, squared: np.ndarray, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector number, cell): the cells in the order of the chance that a neighbour at a squared distance lies in them, until those left hold it with a chance of `miss` or less.
+
+        Along a stable projection the neighbour lies normally distributed about the vector, so the chance of a cell is a product over its cuts.
+        Branches with next to no chance are dropped, and vectors for which too little is left then go on with a lower bar.
+        """
+        points, deviation = (vectors @ self.directions).astype(np.float64), np.sqrt(np.maximum(squared, 1e-12)).astype(np.float64)
+        rows, bar, out = np.arange(len(vectors)), 0.02, []
+        while len(rows):
+            late = []
+            for some in np.array_split(rows, int(np.ceil(len(rows) * min(1 / bar, 2.0**self.bits) / 2_000_000))):
+                who, node, chance = some, np.zeros(len(some), np.int64), np.ones(len(some))
+                for d in range(self.bits):
+                    below = normal_cdf((self.cut(d, node) - points[who, d]) / deviation[who])
+                    who, node, chance = np.concatenate([who, who]), np.concatenate([2 * node, 2 * node + 1]), np.concatenate([chance * below, chance * (1 - below)])
+                    kept = chance >= bar
+                    who, node, chance = who[kept], node[kept], chance[kept]
+                order = np.lexsort((node, -chance, who))
+                who, node, chance = who[order], node[order], chance[order]
+                running = np.cumsum(chance)
+                start = np.searchsorted(who, some)
+                stop = np.searchsorted(who, some, side="right")
+                before = np.concatenate([[0.0], running])
+                whole = before[stop] - before[start]
+                short = whole < 1 - miss - 1e-9
+                if bar < 1e-12:
+                    short[:] = False
+                late.append(some[short])
+                ahead = running - chance - np.repeat(before[start], stop - start)
+                kept = (ahead < 1 - miss - 1e-9) & ~np.repeat(short, stop - start)
+                out.append((who[kept], node[kept]))
+            rows, bar = np.concatenate(late), bar / 8
+        return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def medians(values: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
+    """The median of the values of each node, that of all where a node has none."""
+    out = np.full(n, np.median(values) if len(values) else 0.0)
+    order = np.lexsort((values, node))
+    starts = np.searchsorted(node[order], np.arange(n + 1))
+    sizes = np.diff(starts)
+    held = np.flatnonzero(sizes)
+    out[held] = values[order[starts[held] + sizes[held] // 2]]
+    return out
 
 
 def stacked(column) -> np.ndarray:
@@ -177,9 +224,9 @@ def stacked(column) -> np.ndarray:
 
 
 class Index:
-    """Distinct unit vectors with an id each, ranged in blocks of at most about BLOCK_ROWS within kd-tree cells."""
+    """Distinct unit vectors with an id each, and kd-trees that range them in cells of about `cell_rows`."""
 
-    def __init__(self, vectors: DataFrame, dim: int, block_rows: int = BLOCK_ROWS):
+    def __init__(self, vectors: DataFrame, dim: int, trees: int, cell_rows: int | None = None):
         self.dim = dim
         rows = unit_vectors(vectors, dim)
         # equal vectors are one; the name first in byte order stands for them
@@ -188,65 +235,101 @@ class Index:
         self.vectors = cut(classes.select("name", "unit", F.xxhash64("name").alias("hash")).withColumn("id", F.monotonically_increasing_id()))
         self.n = self.vectors.count()
         sample = self.vectors.orderBy("hash", "name").limit(SAMPLE_ROWS).select("unit").toPandas().unit
-        n_cells = 1
-        while n_cells * block_rows < self.n and n_cells < MAX_CELLS:
-            n_cells *= 2
-        r = projection(dim, DIMENSIONS)
-        cells = self.cells = Cells(stacked(sample) @ r if len(sample) else np.zeros((0, DIMENSIONS), np.float32), n_cells)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = stacked(batch.column("unit").to_pylist())
-                cell = cells.of(x @ r) if len(x) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(cell)], names=["id", "unit", "cell"])
+        x = stacked(sample) if len(sample) else np.zeros((0, dim), np.float32)
+        bits = max(0, int(np.ceil(np.log2(max(1, self.n) / (cell_rows or CELL_ROWS)))))
+        self.trees = [Cells(x, bits, t) for t in range(trees)]
 
-        placed = self.vectors.select("id", "unit").mapInArrow(place, "id long, unit binary, cell long")
-        sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        # a cell that holds more than a block, however that comes, is parted by hash
-        parts = [max(1, -(-sizes.get(c, 0) // block_rows)) for c in range(n_cells)]
-        first = np.cumsum([0, *parts])
-        self.parts, self.first = parts, first
-        lookup = F.create_map(*[F.lit(x) for c in range(n_cells) for x in (c, int(first[c]))]), F.create_map(*[F.lit(x) for c in range(n_cells) for x in (c, parts[c])])
-        cell = F.col("cell").cast("int")
-        self.placed = placed.select("id", "unit", (lookup[0][cell] + F.pmod(F.xxhash64("id"), lookup[1][cell])).cast("int").alias("block"))
-        self.n_blocks = int(first[-1])
 
-    def blocks_reached(self, points: np.ndarray, squared: np.ndarray) -> np.ndarray:
-        return np.repeat(self.cells.reached(points, squared), self.parts, axis=1)
+ROW, ASKED, BOTH = 1, 2, 3
+MEETING = "cell long, role int, id long, own long, unit binary, bound float"
 
 
-def similar_classes(index: Index, k: int, least: float) -> DataFrame:
-    """(id, other, cosine): for every distinct vector its up to k most similar others with cosine >= least. Blocks meet in pairs, both ways at once."""
-    r, reach = projection(index.dim, DIMENSIONS), chi_square_quantile(1 - MISS, DIMENSIONS) * (2 - 2 * least) + 1e-4
-    cells, parts, n_blocks = index.cells, index.parts, index.n_blocks
+def meetings(sides: DataFrame, k: int, least: float) -> DataFrame:
+    """(id, other, cosine): for each asked row the up to k most similar others of the rows in its cells with cosine >= `least`, in all `sides` (see MEETING) that share a cell.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A cell with more rows or queries than a task takes on is parted by hash into a grid, each part of its rows against each part of its queries.
+    """
+    row, asked = F.col("role").bitwiseAND(ROW) != 0, F.col("role").bitwiseAND(ASKED) != 0
+    counts = sides.groupBy("cell").agg(F.count_if(row).alias("rows"), F.count_if(asked).alias("queries"))
+    crowded = cut(counts.where((F.col("rows") > TASK_ROWS) | (F.col("queries") > TASK_ROWS)).select("cell", F.ceil(F.col("rows") / TASK_ROWS).cast("int").alias("across"), F.ceil(F.col("queries") / TASK_ROWS).cast("int").alias("down")))
+    if crowded.isEmpty():
+        placed = sides.withColumn("part", F.lit(0))
+    else:
+        known = sides.join(crowded, "cell", "left")
+        plain = known.where("across is null").drop("across", "down").withColumn("part", F.lit(0))
+        full = known.where("across is not null")
+        at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+        steps = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        as_rows = full.where(row & (F.col("across") > 0) & (F.col("down") > 0)).withColumn("role", F.lit(ROW)).withColumn("j", steps(F.col("down"))).withColumn("part", at(F.col("across"), 1) * F.col("down") + F.col("j"))
+        as_asked = full.where(asked & (F.col("across") > 0)).withColumn("role", F.lit(ASKED)).withColumn("j", steps(F.col("across"))).withColumn("part", F.col("j") * F.col("down") + at(F.col("down"), 2))
+        placed = plain.union(as_rows.drop("across", "down", "j")).union(as_asked.drop("across", "down", "j"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        role = group.role.to_numpy()
+        x, q = group[(role & ROW) != 0], group[(role & ASKED) != 0]
+        if not len(x) or not len(q):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+        i, j, c = search(stacked(q.unit), q.own.to_numpy(np.int64), stacked(x.unit), x.id.to_numpy(), k, least, start=q.bound.to_numpy(np.float32))
+        return pd.DataFrame({"id": q.id.to_numpy()[i], "other": j, "cosine": c.astype(np.float64)})
+
+    return placed.groupBy("cell", "part").applyInPandas(meet, "id long, other long, cosine double")
+
+
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """The k most similar of each id, each other one once, with their place; what a task has cut to k is combined before."""
+    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    return found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def homes(index: Index, rows: DataFrame, role: int, trees: int) -> DataFrame:
+    """MEETING rows of (id, own, unit, bound) in their own cells of the first `trees` trees."""
+    cells = index.trees[:trees]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = stacked(batch.column("unit").to_pylist())
+                for t, tree in enumerate(cells):
+                    cell = pa.array(tree.of(x) * len(index_trees) + t)
+                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(len(x), role, np.int32)), *(batch.column(c) for c in ("id", "own", "unit", "bound"))], names=["cell", "role", "id", "own", "unit", "bound"])
+
+    index_trees = index.trees
+    return rows.select("id", "own", "unit", "bound").mapInArrow(run, MEETING)
+
+
+def visits(index: Index, rows: DataFrame, miss: float) -> DataFrame:
+    """MEETING rows of (id, own, unit, bound) in the cells they visit by the stopping test, without their own ones."""
+    trees = index.trees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = stacked(batch.column("unit").to_pylist())
-            mine = np.asarray(batch.column("block"))
-            near = np.repeat(cells.reached(x @ r, np.full(len(x), reach, np.float32)), parts, axis=1)
-            near[np.arange(len(x)), mine] = True
-            i, other = np.nonzero(near)
-            own = mine[i]
-            tile = np.minimum(own, other).astype(np.int64) * n_blocks + np.maximum(own, other)
-            taken = batch.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([pa.array(tile), taken.column("id"), taken.column("unit"), taken.column("block")], names=["tile", "id", "unit", "block"])
-
-    def tile(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, b = divmod(int(key[0]), n_blocks)
-        x, ids, block = stacked(group.unit), group.id.to_numpy(), group.block.to_numpy()
-        sides = [(block == a, block == b)] if a == b else [(block == a, block == b), (block == b, block == a)]
-        found = []
-        for s, t in sides:
-            i, j, c = search(x[s], ids[s], x[t], ids[t], k, least)
-            found.append(pd.DataFrame({"id": ids[s][i], "other": j, "cosine": c.astype(np.float64)}))
-        return pd.concat(found)
-
-    tiles = index.placed.mapInArrow(meet, "tile long, id long, unit binary, block int").groupBy("tile").applyInPandas(tile, "id long, other long, cosine double")
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return tiles.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+            x, bound = stacked(batch.column("unit").to_pylist()), np.asarray(batch.column("bound"), np.float32)
+            for t, tree in enumerate(trees):
+                i, cell = tree.reached(x, bound, miss)
+                other = tree.of(x)[i] != cell
+                i, cell = i[other], cell[other]
+                taken = batch.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([pa.array(cell * len(trees) + t), pa.array(np.full(len(i), ASKED, np.int32)), *(taken.column(c) for c in ("id", "own", "unit", "bound"))], names=["cell", "role", "id", "own", "unit", "bound"])
+
+    return rows.select("id", "own", "unit", "bound").mapInArrow(run, MEETING)
+
+
+def similar_classes(index: Index, k: int, least: float) -> DataFrame:
+    """(id, other, cosine): for every distinct vector its up to k most similar others with cosine >= least.
+
+    Every vector first searches its own cell of one tree; the distance of the k-th found there, or that of `least`, is the bound at which it
+    then visits cells of all trees. So a vector amid many near copies goes no further than they lie, and what is shuffled per vector depends
+    on the stopping test and the depth of the trees, not on the number of cells.
+    """
+    widest = 2 - 2 * least
+    rows = index.vectors.select("id", F.col("id").alias("own"), "unit", F.lit(widest).cast("float").alias("bound"))
+    first = first_k(meetings(homes(index, rows, BOTH, 1), k, least), k)
+    bounds = first.where(F.col("place") == k).select("id", (2 - 2 * F.col("cosine")).cast("float").alias("nearer"))
+    bounded = cut(rows.join(bounds, "id", "left").select("id", "own", "unit", F.least(F.when(F.col("nearer").isNotNull(), F.greatest("nearer", F.lit(1e-6))), "bound").cast("float").alias("bound")))
+    sides = homes(index, bounded, BOTH, len(index.trees)).union(visits(index, bounded, TREE_MISS))
+    return first_k(meetings(sides, k, least), k).drop("place")
 
 
 def expand(index: Index, near: DataFrame, k: int) -> DataFrame:
@@ -268,10 +351,10 @@ def similar_pairs(vectors: DataFrame, dim: int = 96, k: int = 5, least: float =
 
     Vectors are scaled to length one; null, all-zero and non-finite vectors and those of another length than `dim` take no part, nor do null
     chunk_ids; a vector delivered twice counts once. Of more than k equally similar ones those first by chunk_id are taken. An empty table gives
-    an empty result; further columns are ignored. The search is approximate: a pair at the bound is missed with a chance of at most MISS, a
-    nearer one with far less; cosines are exact to float32.
+    an empty result; further columns are ignored. The search is approximate: a pair at the bound is missed with a chance of about
+    TREE_MISS ** TREES + MISS at most, a nearer one with far less; cosines are exact to float32.
     """
-    index = Index(vectors, dim)
+    index = Index(vectors, dim, TREES)
     found = expand(index, similar_classes(index, k, least), k).where(F.col("cosine") >= least)
     return found.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b"), "cosine").groupBy("chunk_id_a", "chunk_id_b").agg(F.max("cosine").alias("cosine"))
 
@@ -279,50 +362,21 @@ def similar_pairs(vectors: DataFrame, dim: int = 96, k: int = 5, least: float =
 def nearest(vectors: DataFrame, queries: DataFrame, dim: int = 96, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, cosine, place): the k most similar other chunks of each query chunk, against all rows.
 
-    `queries` has the columns of `vectors`. A query searches its own block first; the k-th distance found there bounds, by the chi-square test,
-    which other blocks and how much of them it visits. Unusable vectors are treated as in similar_pairs; fewer than k others give fewer rows.
+    `queries` has the columns of `vectors`. A query searches its own cell first; the k-th distance found there is the bound at which it visits
+    further cells of the same tree, until the chance that those left hold a neighbour at the bound is at most MISS. Unusable vectors are treated
+    as in similar_pairs; fewer than k others give fewer rows.
     """
-    index = Index(vectors, dim)
+    index = Index(vectors, dim, 1)
     asked = unit_vectors(queries, dim).distinct().withColumn("qid", F.monotonically_increasing_id())
     asked = cut(asked.select("qid", "chunk_id", "unit"))
-    cells, parts, n_blocks = index.cells, index.parts, index.n_blocks
-    r, factor = projection(dim, DIMENSIONS), chi_square_quantile(1 - MISS, DIMENSIONS)
-    classes = index.vectors.select(F.col("unit"), F.col("id").alias("own"))
-    with_own = asked.join(classes, "unit", "left")
-
-    def route(home: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = stacked(batch.column("unit").to_pylist())
-                bound = np.nan_to_num(np.asarray(batch.column("bound").fill_null(4.0), np.float32), nan=4.0)
-                p = x @ r
-                near = np.repeat(cells.reached(p, np.zeros(len(x), np.float32) if home else factor * bound + 1e-4), parts, axis=1)
-                if home:  # one block of the cell is enough for a first bound
-                    near = np.arange(n_blocks)[None, :] == near.argmax(1)[:, None]
-                i, block = np.nonzero(near)
-                taken = batch.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), taken.column("qid"), taken.column("own"), taken.column("unit"), pa.array(bound[i])], names=["block", "qid", "own", "unit", "bound"])
-
-        return run
-
-    def visit(key: tuple, group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(group) or not len(rows):
-            return pd.DataFrame({"qid": [], "other": [], "cosine": []}).astype({"qid": "int64", "other": "int64", "cosine": "float64"})
-        i, j, c = search(stacked(group.unit), group.own.fillna(-1).to_numpy(np.int64), stacked(rows.unit), rows.id.to_numpy(), k, -1.0, start=group.bound.to_numpy(np.float32))
-        return pd.DataFrame({"qid": group.qid.to_numpy()[i], "other": j, "cosine": c.astype(np.float64)})
-
-    schema = "block int, qid long, own long, unit binary, bound float"
-    blocks = index.placed.groupBy("block")
-    def hits(q: DataFrame, home: bool) -> DataFrame:
-        return q.mapInArrow(route(home), schema).groupBy("block").cogroup(blocks).applyInPandas(visit, "qid long, other long, cosine double")
-
-    first = hits(with_own.withColumn("bound", F.lit(4.0).cast("float")), True)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "other"))
-    bounds = first.withColumn("place", place).where(F.col("place") == k).select("qid", (2 - 2 * F.col("cosine")).cast("float").alias("bound"))
-    second = hits(with_own.join(bounds, "qid", "left"), False)
-    near = second.withColumn("place", place).where(F.col("place") <= k)
+    with_own = cut(asked.join(index.vectors.select("unit", F.col("id").alias("own")), "unit", "left").select("qid", "own", "unit"))
+    far = F.lit(4.0).cast("float")
+    queried = with_own.select(F.col("qid").alias("id"), F.coalesce("own", F.lit(-1)).alias("own"), "unit", far.alias("bound"))
+    rows = homes(index, index.vectors.select("id", F.col("id").alias("own"), "unit", far.alias("bound")), ROW, 1)
+    first = cut(first_k(meetings(rows.union(homes(index, queried, ASKED, 1)), k, -1.0), k))
+    bounds = first.where(F.col("place") == k).select("id", (2 - 2 * F.col("cosine")).cast("float").alias("nearer"))
+    bounded = cut(queried.join(bounds, "id", "left").select("id", "own", "unit", F.coalesce("nearer", "bound").alias("bound")))
+    near = first_k(first.drop("place").union(meetings(rows.union(visits(index, bounded, MISS)), k, -1.0)), k).withColumnRenamed("id", "qid")
     own = with_own.select("qid", F.col("own").alias("other"), F.lit(1.0).alias("cosine")).where("other is not null")
     first_members = index.members.join(index.vectors.select("unit", "id"), "unit").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("chunk_id"))).where(F.col("n") <= k + 1).select(F.col("id").alias("other"), F.col("chunk_id").alias("other_chunk"))
     met = near.select("qid", "other", "cosine").union(own).join(first_members, "other").join(asked.select("qid", "chunk_id"), "qid").where("chunk_id <> other_chunk")

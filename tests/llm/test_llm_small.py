@@ -99,11 +99,11 @@ def test_similar_pairs_against_brute_force(spark):
 
 def test_many_copies_and_blocks(spark, monkeypatch):
     """A third of all rows are one vector; small blocks, so that cells and slices are many."""
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 50)
     rng = np.random.default_rng(4)
     x = np.concatenate([np.tile(rng.normal(size=(1, 24)), (120, 1)), rng.normal(size=(120, 24))])
     x = np.concatenate([x, x[120:180] + 0.05 * rng.normal(size=(60, 24))])
-    index = neighbours.Index(vectors(spark, x), 24, block_rows=64)
+    index = neighbours.Index(vectors(spark, x), 24, neighbours.TREES, cell_rows=64)
     near = neighbours.expand(index, neighbours.similar_classes(index, 5, 0.85), 5).where("cosine >= 0.85").collect()
     per = {}
     for r in near:
@@ -112,6 +112,37 @@ def test_many_copies_and_blocks(spark, monkeypatch):
     assert all(f"c{i + 120:04d}" in per.get(f"c{i:04d}", []) for i in range(120, 180)) or sum(f"c{i + 120:04d}" in per.get(f"c{i:04d}", []) for i in range(120, 180)) >= 58
 
 
+def test_cells_hold_what_their_test_admits():
+    """Neighbours at the bound lie in the cells reached about as often as the test says, and a tree below the sample's levels stays even."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 48))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells = neighbours.Cells(x[:2000], 12, 0)
+    assert np.bincount(np.bincount(cells.of(x), minlength=4096)).argmax() <= 2
+    step = rng.normal(size=x.shape)
+    y = x + (0.5 * step / np.linalg.norm(step, axis=1, keepdims=True)).astype(np.float32)
+    for miss in (0.5, 0.1):
+        i, cell = cells.reached(x, np.full(len(x), 0.25, np.float32), miss)
+        found = set(i[cells.of(y)[i] == cell].tolist())
+        assert abs(len(found) / len(x) - (1 - miss)) < 0.1
+        assert len(set(zip(i.tolist(), cell.tolist()))) == len(i)
+
+
+def test_a_third_near_copies(spark, monkeypatch):
+    """Near copies that are not equal: their cells are crowded, and every one still finds its nearest."""
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 60)
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=(1, 24)) + 0.02 * rng.normal(size=(150, 24))
+    x = np.concatenate([hot, rng.normal(size=(300, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {tuple(sorted((f"c{i:04d}", f"c{j:04d}"))) for i in range(450) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.85}
+    index = neighbours.Index(vectors(spark, x), 24, neighbours.TREES, cell_rows=30)
+    got = {tuple(sorted((r.chunk_id, r.other))) for r in neighbours.expand(index, neighbours.similar_classes(index, 5, 0.85), 5).where("cosine >= 0.85").collect()}
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 32))
