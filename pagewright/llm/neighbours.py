@@ -240,10 +240,21 @@ class Index:
         self.trees = [Cells(x, bits, t) for t in range(trees)]
 
 
+#: What cells exchange are vectors in half precision, which moves a distance by less than SLACK; the SPARE further candidates and the exact cosines at the end make up for it.
+SLACK, SPARE = 5e-4, 3
 ROW, ASKED, BOTH = 1, 2, 3
 MEETING = "cell long, role int, id long, own long, unit binary, bound float"
 
 
+def halves(x: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
+
+
+def unpacked(column) -> np.ndarray:
+    x = np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def meetings(sides: DataFrame, k: int, least: float) -> DataFrame:
     """(id, other, cosine): for each asked row the up to k most similar others of the rows in its cells with cosine >= `least`, in all `sides` (see MEETING) that share a cell.
 
@@ -269,7 +280,7 @@ def meetings(sides: DataFrame, k: int, least: float) -> DataFrame:
         x, q = group[(role & ROW) != 0], group[(role & ASKED) != 0]
         if not len(x) or not len(q):
             return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
-        i, j, c = search(stacked(q.unit), q.own.to_numpy(np.int64), stacked(x.unit), x.id.to_numpy(), k, least, start=q.bound.to_numpy(np.float32))
+        i, j, c = search(unpacked(q.unit), q.own.to_numpy(np.int64), unpacked(x.unit), x.id.to_numpy(), k, least, start=q.bound.to_numpy(np.float32))
         return pd.DataFrame({"id": q.id.to_numpy()[i], "other": j, "cosine": c.astype(np.float64)})
 
     return placed.groupBy("cell", "part").applyInPandas(meet, "id long, other long, cosine double")
@@ -281,6 +292,19 @@ def first_k(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def exact(found: DataFrame, asked: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
+    """The candidates (id, other) with their cosines in full precision, cut to the k most similar with at least `least`; `asked` and `rows` are (id, unit)."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = np.einsum("ij,ij->i", stacked(batch.column("a").to_pylist()), stacked(batch.column("b").to_pylist())) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("other"), pa.array(c.astype(np.float64))], names=["id", "other", "cosine"])
+
+    met = found.select("id", "other").join(asked.select("id", F.col("unit").alias("a")), "id").join(rows.select(F.col("id").alias("other"), F.col("unit").alias("b")), "other")
+    scored = met.select("id", "other", "a", "b").mapInArrow(score, "id long, other long, cosine double")
+    return first_k(scored.where(F.col("cosine") >= least - 1e-6), k)
+
+
 def homes(index: Index, rows: DataFrame, role: int, trees: int) -> DataFrame:
     """MEETING rows of (id, own, unit, bound) in their own cells of the first `trees` trees."""
     cells = index.trees[:trees]
@@ -289,9 +313,10 @@ def homes(index: Index, rows: DataFrame, role: int, trees: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = stacked(batch.column("unit").to_pylist())
+                short = halves(x)
                 for t, tree in enumerate(cells):
                     cell = pa.array(tree.of(x) * len(index_trees) + t)
-                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(len(x), role, np.int32)), *(batch.column(c) for c in ("id", "own", "unit", "bound"))], names=["cell", "role", "id", "own", "unit", "bound"])
+                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(len(x), role, np.int32)), batch.column("id"), batch.column("own"), short, batch.column("bound")], names=["cell", "role", "id", "own", "unit", "bound"])
 
     index_trees = index.trees
     return rows.select("id", "own", "unit", "bound").mapInArrow(run, MEETING)
@@ -306,6 +331,7 @@ def visits(index: Index, rows: DataFrame, miss: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, bound = stacked(batch.column("unit").to_pylist()), np.asarray(batch.column("bound"), np.float32)
+            batch = batch.set_column(batch.schema.get_field_index("unit"), "unit", halves(x))
             for t, tree in enumerate(trees):
                 i, cell = tree.reached(x, bound, miss)
                 other = tree.of(x)[i] != cell
@@ -325,11 +351,12 @@ def similar_classes(index: Index, k: int, least: float) -> DataFrame:
     """
     widest = 2 - 2 * least
     rows = index.vectors.select("id", F.col("id").alias("own"), "unit", F.lit(widest).cast("float").alias("bound"))
-    first = first_k(meetings(homes(index, rows, BOTH, 1), k, least), k)
-    bounds = first.where(F.col("place") == k).select("id", (2 - 2 * F.col("cosine")).cast("float").alias("nearer"))
+    first = first_k(meetings(homes(index, rows, BOTH, 1), k, least - SLACK), k)
+    bounds = first.where(F.col("place") == k).select("id", F.pow(F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))) + SLACK, 2.0).cast("float").alias("nearer"))
     bounded = cut(rows.join(bounds, "id", "left").select("id", "own", "unit", F.least(F.when(F.col("nearer").isNotNull(), F.greatest("nearer", F.lit(1e-6))), "bound").cast("float").alias("bound")))
     sides = homes(index, bounded, BOTH, len(index.trees)).union(visits(index, bounded, TREE_MISS))
-    return first_k(meetings(sides, k, least), k).drop("place")
+    candidates = first_k(meetings(sides, k + SPARE, least - SLACK), k + SPARE)
+    return exact(candidates, index.vectors, index.vectors, k, least).drop("place")
 
 
 def expand(index: Index, near: DataFrame, k: int) -> DataFrame:
@@ -373,10 +400,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, dim: int = 96, k: int = 10)
     far = F.lit(4.0).cast("float")
     queried = with_own.select(F.col("qid").alias("id"), F.coalesce("own", F.lit(-1)).alias("own"), "unit", far.alias("bound"))
     rows = homes(index, index.vectors.select("id", F.col("id").alias("own"), "unit", far.alias("bound")), ROW, 1)
-    first = cut(first_k(meetings(rows.union(homes(index, queried, ASKED, 1)), k, -1.0), k))
+    first = cut(first_k(meetings(rows.union(homes(index, queried, ASKED, 1)), k + SPARE, -1.0), k + SPARE))
     bounds = first.where(F.col("place") == k).select("id", (2 - 2 * F.col("cosine")).cast("float").alias("nearer"))
     bounded = cut(queried.join(bounds, "id", "left").select("id", "own", "unit", F.coalesce("nearer", "bound").alias("bound")))
-    near = first_k(first.drop("place").union(meetings(rows.union(visits(index, bounded, MISS)), k, -1.0)), k).withColumnRenamed("id", "qid")
+    candidates = first_k(first.drop("place").union(meetings(rows.union(visits(index, bounded, MISS)), k + SPARE, -1.0)), k + SPARE)
+    near = exact(candidates, with_own.select(F.col("qid").alias("id"), "unit"), index.vectors, k, -1.0).withColumnRenamed("id", "qid")
     own = with_own.select("qid", F.col("own").alias("other"), F.lit(1.0).alias("cosine")).where("other is not null")
     first_members = index.members.join(index.vectors.select("unit", "id"), "unit").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("chunk_id"))).where(F.col("n") <= k + 1).select(F.col("id").alias("other"), F.col("chunk_id").alias("other_chunk"))
     met = near.select("qid", "other", "cosine").union(own).join(first_members, "other").join(asked.select("qid", "chunk_id"), "qid").where("chunk_id <> other_chunk")
