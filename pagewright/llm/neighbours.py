@@ -27,9 +27,9 @@ def chi_square_quantile(p: float, m: int) -> float:
     return m * (1 - 2 / (9 * m) + NormalDist().inv_cdf(p) * (2 / (9 * m)) ** 0.5) ** 3
 
 
-def projection(dim: int, m: int) -> np.ndarray:
+def projection(dim: int, m: int, seed: int = 0) -> np.ndarray:
     """Independent normal (2-stable) directions: a squared projected distance divided by the squared distance is chi-square with m degrees."""
-    return np.random.default_rng(SEED).standard_normal((dim, m)).astype(np.float32)
+    return np.random.default_rng([SEED, seed]).standard_normal((dim, m)).astype(np.float32)
 
 
 class Tree:
@@ -59,14 +59,14 @@ def box_distances(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np
     return (gap * gap).sum(1)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, least: float, start: np.ndarray | None = None, m: int = DIMENSIONS, miss: float = MISS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, least: float, start: np.ndarray | None = None, m: int = DIMENSIONS, miss: float = MISS, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row id, cosine) of up to k most similar rows per query with cosine >= `least`, by unit vectors.
 
     Leaves are taken in the order of their least projected distance; the rows whose projected distance passes the test are verified by their
     cosine; a query's search ends when the next projected distance exceeds the chi-square quantile times its bound: the squared distance of its
     k-th neighbour so far (`start` gives a first one by query), or of `least` if that is nearer. Rows of the query's own id are left out.
     """
-    r = projection(queries.shape[1], m)
+    r = projection(queries.shape[1], m, seed)
     p, q = rows @ r, queries @ r
     tree, asked = Tree(p, LEAF_ROWS), Tree(q, LEAF_ROWS)
     p, x, ids = p[tree.order], rows[tree.order], row_ids[tree.order]
@@ -255,10 +255,10 @@ def unpacked(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def meetings(sides: DataFrame, k: int, least: float) -> DataFrame:
+def meetings(sides: DataFrame, k: int, least: float, trees: int) -> DataFrame:
     """(id, other, cosine): for each asked row the up to k most similar others of the rows in its cells with cosine >= `least`, in all `sides` (see MEETING) that share a cell.
 
-    A cell with more rows or queries than a task takes on is parted by hash into a grid, each part of its rows against each part of its queries.
+    Each tree has projections of its own, so what the test of one misses another may find. A cell with more rows or queries than a task takes on is parted by hash into a grid, each part of its rows against each part of its queries.
     """
     row, asked = F.col("role").bitwiseAND(ROW) != 0, F.col("role").bitwiseAND(ASKED) != 0
     counts = sides.groupBy("cell").agg(F.count_if(row).alias("rows"), F.count_if(asked).alias("queries"))
@@ -280,7 +280,7 @@ def meetings(sides: DataFrame, k: int, least: float) -> DataFrame:
         x, q = group[(role & ROW) != 0], group[(role & ASKED) != 0]
         if not len(x) or not len(q):
             return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
-        i, j, c = search(unpacked(q.unit), q.own.to_numpy(np.int64), unpacked(x.unit), x.id.to_numpy(), k, least, start=q.bound.to_numpy(np.float32))
+        i, j, c = search(unpacked(q.unit), q.own.to_numpy(np.int64), unpacked(x.unit), x.id.to_numpy(), k, least, start=q.bound.to_numpy(np.float32), seed=int(group.cell.iat[0]) % trees)
         return pd.DataFrame({"id": q.id.to_numpy()[i], "other": j, "cosine": c.astype(np.float64)})
 
     return placed.groupBy("cell", "part").applyInPandas(meet, "id long, other long, cosine double")
@@ -351,11 +351,11 @@ def similar_classes(index: Index, k: int, least: float) -> DataFrame:
     """
     widest = 2 - 2 * least
     rows = index.vectors.select("id", F.col("id").alias("own"), "unit", F.lit(widest).cast("float").alias("bound"))
-    first = first_k(meetings(homes(index, rows, BOTH, 1), k, least - SLACK), k)
+    first = first_k(meetings(homes(index, rows, BOTH, 1), k, least - SLACK, len(index.trees)), k)
     bounds = first.where(F.col("place") == k).select("id", F.pow(F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))) + SLACK, 2.0).cast("float").alias("nearer"))
     bounded = cut(rows.join(bounds, "id", "left").select("id", "own", "unit", F.least(F.when(F.col("nearer").isNotNull(), F.greatest("nearer", F.lit(1e-6))), "bound").cast("float").alias("bound")))
     sides = homes(index, bounded, BOTH, len(index.trees)).union(visits(index, bounded, TREE_MISS))
-    candidates = first_k(meetings(sides, k + SPARE, least - SLACK), k + SPARE)
+    candidates = first_k(meetings(sides, k + SPARE, least - SLACK, len(index.trees)), k + SPARE)
     return exact(candidates, index.vectors, index.vectors, k, least).drop("place")
 
 
@@ -400,10 +400,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, dim: int = 96, k: int = 10)
     far = F.lit(4.0).cast("float")
     queried = with_own.select(F.col("qid").alias("id"), F.coalesce("own", F.lit(-1)).alias("own"), "unit", far.alias("bound"))
     rows = homes(index, index.vectors.select("id", F.col("id").alias("own"), "unit", far.alias("bound")), ROW, 1)
-    first = cut(first_k(meetings(rows.union(homes(index, queried, ASKED, 1)), k + SPARE, -1.0), k + SPARE))
+    first = cut(first_k(meetings(rows.union(homes(index, queried, ASKED, 1)), k + SPARE, -1.0, 1), k + SPARE))
     bounds = first.where(F.col("place") == k).select("id", (2 - 2 * F.col("cosine")).cast("float").alias("nearer"))
     bounded = cut(queried.join(bounds, "id", "left").select("id", "own", "unit", F.coalesce("nearer", "bound").alias("bound")))
-    candidates = first_k(first.drop("place").union(meetings(rows.union(visits(index, bounded, MISS)), k + SPARE, -1.0)), k + SPARE)
+    candidates = first_k(first.drop("place").union(meetings(rows.union(visits(index, bounded, MISS)), k + SPARE, -1.0, 1)), k + SPARE)
     near = exact(candidates, with_own.select(F.col("qid").alias("id"), "unit"), index.vectors, k, -1.0).withColumnRenamed("id", "qid")
     own = with_own.select("qid", F.col("own").alias("other"), F.lit(1.0).alias("cosine")).where("other is not null")
     first_members = index.members.join(index.vectors.select("unit", "id"), "unit").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("chunk_id"))).where(F.col("n") <= k + 1).select(F.col("id").alias("other"), F.col("chunk_id").alias("other_chunk"))
