@@ -27,3 +27,17 @@ def parameter_counts(parameters: DataFrame) -> DataFrame:
     """One row: trainable and all parameters and the percentage, 0 without any."""
     both = parameters.agg(F.coalesce(F.sum(F.when(F.col("trainable"), F.col("numel"))), F.lit(0)).alias("trainable"), F.coalesce(F.sum("numel"), F.lit(0)).alias("total"))
     return both.select("trainable", "total", F.when(F.col("total") > 0, 100.0 * F.col("trainable") / F.col("total")).otherwise(F.lit(0.0)).alias("percent"))
+
+
+def environment_report(spark) -> DataFrame:
+    """(component, version) of what a run depends on; null for optional packages that are not there."""
+    from importlib import metadata
+    from platform import python_version
+
+    rows = [("python", python_version()), ("spark", spark.version), ("java", spark._jvm.System.getProperty("java.version"))]
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "xxhash", "tiktoken", "regex"):
+        try:
+            rows.append((name, metadata.version(name)))
+        except metadata.PackageNotFoundError:
+            rows.append((name, None))
+    return spark.createDataFrame(rows, "component string, version string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import import_module
 
 import numpy as np
 import pandas as pd
@@ -107,6 +108,19 @@ def ivf_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, probes: int | Non
     return ranked(found).where(F.col("rank") <= k)
 
 
+def available_index(*kinds: str):
+    """The search of the first of these kinds that is at hand, None if none is. A kind `module:name` is the function `name` of an optional module."""
+    for kind in kinds:
+        module, _, name = kind.partition(":")
+        if not name:
+            return build_index(kind)
+        try:
+            return getattr(import_module(module), name)
+        except (ImportError, AttributeError):
+            continue
+    return None
+
+
 def build_index(kind: str):
     """The search of an index kind: flat (exact), ivf, or knn (exact, cosine distance); another kind is a ValueError."""
     from pagewright.operators.similarity import similarities

@@ -43,19 +43,20 @@ class ModelGenerator(QuestionGenerator):
         self.make, self.config = make, config
 
     def questions(self, text: Column, n: int) -> Column:
-        make = self.make
+        make, c = self.make, self.config
+        settings = {"max_new_tokens": c.max_new_tokens, "temperature": c.temperature, "top_p": c.top_p, "device": c.device}
 
         @F.pandas_udf("string")
         def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = make()
             for batch in batches:
                 try:
-                    yield pd.Series(model(batch.tolist()), dtype=object)
+                    yield pd.Series(model(batch.tolist(), **settings), dtype=object)
                 except Exception:  # isolate the text that fails
                     out = []
                     for x in batch:
                         try:
-                            out.append(model([x])[0])
+                            out.append(model([x], **settings)[0])
                         except Exception:
                             out.append("")
                     yield pd.Series(out, dtype=object)

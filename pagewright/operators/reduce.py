@@ -107,3 +107,14 @@ def tsne_sample(rows: DataFrame, key: str, vector: str = "embedding", max_points
 def plot_table(points: DataFrame, pair: str, role: str) -> DataFrame:
     """(pair, role, x, y, colour): paired points for a plot, colours repeat after eight pairs."""
     return points.select(F.col(pair).alias("pair"), F.col(role).alias("role"), F.col("x0").alias("x"), F.col("x1").alias("y"), F.pmod(F.col(pair), F.lit(COLOURS)).cast("int").alias("colour"))
+
+
+def scatter_table(points: DataFrame, label: str | None = None, marker: str | None = None) -> DataFrame:
+    """(label, x, y, colour, marker): unpaired points for a plot; colours follow the order of the labels' hashes and repeat, a point without a marker gets a dot."""
+    name = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    return points.select(name.alias("label"), F.col("x0").alias("x"), F.col("x1").alias("y"), F.pmod(F.xxhash64(name), F.lit(COLOURS)).cast("int").alias("colour"), (F.coalesce(F.col(marker).cast("string"), F.lit("o")) if marker else F.lit("o")).alias("marker"))
+
+
+def split_roles(points: DataFrame, role: str = "role", roles: tuple[str, str] = ("anchor", "positive")) -> tuple[DataFrame, DataFrame]:
+    """The rows of the two roles that were stacked before, without the role."""
+    return tuple(points.where(F.col(role) == r).drop(role) for r in roles)  # type: ignore[return-value]

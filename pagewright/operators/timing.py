@@ -9,10 +9,18 @@ from collections.abc import Callable
 
 
 def append_row(path: str, name: str, seconds: float) -> None:
-    """One headerless CSV row: name, duration, epoch seconds."""
+    """One headerless CSV row: name, duration, epoch seconds; appended to a local file, a file of its own in the folder that a URI names."""
+    row = f'"{name.replace(chr(34), chr(34) * 2)}",{seconds:.6f},{time.time():.6f}\n'
+    if "://" in path:
+        from pyspark.sql import SparkSession
+
+        from pagewright.sources.files import write_text
+
+        write_text(SparkSession.active(), f"{path.rstrip('/')}/{time.time_ns()}.csv", row)
+        return
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "a", encoding="utf-8") as out:
-        out.write(f'"{name.replace(chr(34), chr(34) * 2)}",{seconds:.6f},{time.time():.6f}\n')
+        out.write(row)
 
 
 def timed(path: str) -> Callable:

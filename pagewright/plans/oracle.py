@@ -139,6 +139,10 @@ EMB = lambda x: f"list_transform(range(0, 64), lambda d: coalesce(list_sum(list_
 HASHES = lambda x: f"list_transform({words('lower(coalesce(' + x + ', ' + chr(39) * 2 + '))')}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
 SPLIT = f"{PRS}, grp AS (SELECT g, row_number() OVER (ORDER BY md5(g || '|42'), g) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(chunk_id, chr(0)) AS g FROM prs)), spl AS (SELECT p.*, CASE WHEN r <= ceil(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS sp FROM prs p JOIN grp ON coalesce(chunk_id, chr(0)) = g)"
 
+DOWN = "[" + ", ".join("[" + ", ".join(f"{((i + 2) * (j + 1) % 7 - 3) / 10}::DOUBLE" for j in range(64)) + "]" for i in range(2)) + "]"
+UP = "[" + ", ".join("[" + ", ".join(f"{((i + 3) * (j + 1) % 5 - 2) / 10}::DOUBLE" for i in range(2)) + "]" for j in range(64)) + "]"
+HITS = f"WITH {DOC}, {PRS}, qh AS (SELECT pair_id, {HASHES('query')} AS h FROM prs WHERE pair_id % 100 = 0), q AS (SELECT pair_id, {EMB('h')} AS v FROM qh), rh AS (SELECT printf('%s/%03d', doc_id, section_idx) AS row_id, text AS document, {HASHES('text')} AS h FROM dsec), r AS (SELECT row_id, document, {EMB('h')} AS v FROM rh), sim AS (SELECT pair_id AS query_id, row_id, document, round(list_dot_product(q.v, r.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-12) * greatest(sqrt(list_dot_product(r.v, r.v)), 1e-12)), 9) AS similarity FROM q, r), hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) AS rank FROM sim)"
+
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {PAG} SELECT page_id, text FROM pag",
     "split_lines": f"WITH {PAG}, {LINES} SELECT page_id, CAST(pos AS INTEGER) AS pos, s AS line FROM lines",
@@ -197,4 +201,34 @@ SQL: dict[str, str] = {
     "search_batch": f"WITH {DOC}, {PRS}, qh AS (SELECT pair_id, {HASHES('query')} AS h FROM prs WHERE pair_id % 100 = 0), q AS (SELECT pair_id, {EMB('h')} AS v FROM qh), rh AS (SELECT doc_id, section_idx, {HASHES('text')} AS h FROM dsec), r AS (SELECT {EMB('h')} AS v FROM rh) SELECT pair_id AS query_id, round(max(list_dot_product(q.v, r.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-12) * greatest(sqrt(list_dot_product(r.v, r.v)), 1e-12))), 6) AS similarity FROM q, r GROUP BY 1",
     "batch_losses": f"WITH {LOSS} SELECT CAST(batch AS BIGINT) AS batch, round(loss, 6) AS loss FROM bl",
     "epoch_loss": f"WITH {LOSS} SELECT round(avg(loss), 6) AS epoch_loss FROM bl",
+    "search_batch_hits": f"{HITS} SELECT query_id, row_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM hit WHERE rank <= 5",
+    "search_documents": f"{HITS} SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(similarity, 6) AS similarity, md5(document) AS document FROM hit WHERE rank <= 5",
+    "adapter_first_loss": f"WITH {LOSS.replace('list_dot_product', 'list_cosine_similarity')} SELECT round(avg(loss), 6) AS loss FROM bl",
+    "apply_adapter": f"WITH {VEC}, down AS (SELECT unnest({DOWN}) AS w, unnest(range(0, 2)) AS k), up AS (SELECT {UP} AS u), h AS (SELECT row_id, e, list(list_dot_product(e, w) ORDER BY k) AS h FROM vec, down GROUP BY ALL), v AS (SELECT row_id, list_transform(e, lambda x, i: x + 2 * list_dot_product(u[i], h)) AS v FROM h, up) SELECT row_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS i, round(unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS x FROM v",
+    "batch_tokens": f"WITH {PRS}, b AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 64 AS batch, CAST(least(128, {tokens('coalesce(query, chr(32))')}) AS INTEGER) AS a, CAST(least(128, {tokens('coalesce(passage, chr(32))')}) AS INTEGER) AS p FROM prs) SELECT CAST(batch AS BIGINT) AS batch, pair_id, a AS n_anchor, max(a) OVER (PARTITION BY batch) AS anchor_width, p AS n_positive, max(p) OVER (PARTITION BY batch) AS positive_width FROM b",
+    "chunk_lookup": "SELECT DISTINCT ON (chunk_id) chunk_id, vec_id, doc_id, page_start FROM chunk_embeddings WHERE chunk_id IN (SELECT chunk_id FROM pairs_df WHERE chunk_id IS NOT NULL) ORDER BY chunk_id, vec_id",
+    "index_fallback": f"WITH {VEC}, s AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, row_id) AS rank FROM qry q, vec v) SELECT query_id, row_id, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 3",
+    "ivf_all_cells": f"WITH {VEC}, s AS (SELECT query_id, row_id, list_cosine_similarity(q.e, v.e) AS c FROM qry q, vec v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, row_id) AS rank FROM s) SELECT query_id, row_id, CAST(rank AS INTEGER) AS rank, round(c, 6) AS similarity FROM r WHERE rank <= 5",
+    "pca_moments": "SELECT count(*) AS n, true AS centred0, true AS centred1, true AS uncorrelated, true AS ordered FROM embeddings",
+    "plot_roles": "SELECT CAST(vec_id // 2 AS BIGINT) AS pair, CASE WHEN vec_id % 2 = 0 THEN 'anchor' ELSE 'positive' END AS role, CAST((vec_id // 2) % 8 AS INTEGER) AS colour FROM embeddings",
+    "scatter_table": "SELECT CAST(label AS VARCHAR) AS label, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y, 'o' AS marker FROM embeddings",
+    "split_back": f"WITH {PRS} SELECT pair_id, query AS anchor, passage AS positive FROM prs",
+    "parse_questions": rf"""WITH {PRS}, q AS (SELECT pair_id, pair_id % 3 AS k, coalesce(query, '') AS q FROM prs WHERE query IS NOT NULL),
+c AS (SELECT pair_id, 1 AS n, {strip('q')} AS x, k FROM q WHERE k = 0 UNION ALL SELECT pair_id, 2, {strip('lower(q)')}, k FROM q WHERE k = 0 UNION ALL SELECT pair_id, 3, 'Please go on?', k FROM q WHERE k = 0
+ UNION ALL SELECT pair_id, 1, {strip("regexp_extract(q, '^[^\n]*')")}, k FROM q WHERE k = 1 UNION ALL SELECT pair_id, 2, 'What is the rest of it?', k FROM q WHERE k = 1 UNION ALL SELECT pair_id, 3, {strip("regexp_extract(q, '^[^\n]*')")}, k FROM q WHERE k = 1
+ UNION ALL SELECT pair_id, unnest(range(1, 999)), unnest(list_resize(list_transform(list_filter(regexp_extract_all(q || ' Can you say more?', '([^.!?]*\?)', 1), lambda x: length(x) > 10 AND {strip('x')} <> ''), lambda x: {strip('x')}), 998)), k FROM q WHERE k = 2 AND NOT regexp_matches(q, '(?:^|\n)\s*(?:\d+[.)]|-|\*)')
+ UNION ALL SELECT pair_id, 1, {strip(r"regexp_extract(q || ' Can you say more?', '^\s*(?:\d+[.)]|-|\*)\s*(.*)$', 1)")}, k FROM q WHERE k = 2 AND regexp_matches(q, '(?:^|\n)\s*(?:\d+[.)]|-|\*)')),
+d AS (SELECT pair_id, n, x, row_number() OVER (PARTITION BY pair_id, lower({strip('x')}) ORDER BY n) AS again FROM c WHERE x IS NOT NULL AND x <> ''),
+e AS (SELECT pair_id, x, row_number() OVER (PARTITION BY pair_id ORDER BY n) - 1 AS pos FROM d WHERE again = 1 AND length({strip('x')}) > 10 AND NOT regexp_matches(lower({strip('x')}), '^(?:what is the|what are the|can you|please|tell me)'))
+SELECT pair_id, CAST(pos AS INTEGER) AS pos, x AS question FROM e WHERE pos < 3""",
+    "toy_pairs": "SELECT * FROM (VALUES (0, 'How do plants make food?'), (1, 'What keeps ships afloat?'), (2, 'Why is the sky blue?'), (3, 'How is bread made to rise?')) t(pair_id, anchor)",
+    "csv_round_trip": f"WITH {PRS} SELECT pair_id, coalesce(query, '') AS query, coalesce(passage, '') AS passage FROM prs",
+    "read_query_passages": f"WITH {PRS} SELECT count(*) AS n, CAST(sum(length(coalesce(query, ''))) AS BIGINT) AS anchor_chars, CAST(sum(length(coalesce(passage, ''))) AS BIGINT) AS positive_chars FROM prs",
+    "timing_log": "SELECT event_type AS function_name, count(*) AS n, round(sum(value), 4) AS seconds, strftime(min(ts), '%Y%m%d_%H%M%S') AS first FROM events GROUP BY 1",
+    "losses_csv": "SELECT date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1",
+    "capped_rows": "SELECT count(*) AS n FROM (SELECT * FROM nation LIMIT 7)",
+    "latest_file": "SELECT 'log_20260109_182752.csv' AS name",
+    "saved_chunks": f"{CHUNKS} SELECT 'a.pdf' AS pdf_path, 96 AS max_tokens, count(*) AS num_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens, count(*) AS rows FROM full_",
+    "saved_embeddings": "SELECT doc_id, chunk_id, section_id, page_start, token_count, char_count, CAST(len(embedding) AS INTEGER) AS dim FROM (SELECT DISTINCT ON (vec_id) * FROM chunk_embeddings WHERE embedding IS NOT NULL)",
+    "saved_questions": f"WITH {SPLIT} SELECT unnest(['full_parquet', 'full_csv', 'train_csv', 'val_csv']) AS file, unnest([count(*), count(*), count(*) FILTER (sp = 'train'), count(*) FILTER (sp = 'val')]) AS n FROM spl",
 }

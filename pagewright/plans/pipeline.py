@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pagewright.operators.chunks import chunk_sections, chunk_stats
 from pagewright.operators.headers import clean_pages
 from pagewright.operators.pairs import generate_pairs, grouped_split
 from pagewright.operators.questions import QuestionGenerator, get_generator
 from pagewright.operators.sections import build_sections
+from pagewright.session import cut
 
 
 def pages_to_chunks(pages: DataFrame, max_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 128, min_heading_score: float = 0.4, **cleaning) -> DataFrame:
@@ -24,25 +26,23 @@ def chunks_to_pairs(chunks: DataFrame, n: int = 3, val_ratio: float = 0.2, seed:
     return grouped_split(made, val_ratio, seed)
 
 
-def build_dataset(spark: SparkSession, pdf_path: str, out: str, max_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 128, questions: int = 3, val_ratio: float = 0.2, with_embeddings: bool = True) -> dict[str, str]:
-    """PDF files to chunks, vectors, pairs and splits under `out`; returns the paths."""
+def build_dataset(spark: SparkSession, pdf_path: str, out: str, max_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 128, questions: int = 3, val_ratio: float = 0.2, with_embeddings: bool = True, min_heading_score: float = 0.4, generator: QuestionGenerator | None = None, embed: Callable[[Column], Column] | None = None, strict: bool = True) -> dict[str, str]:
+    """PDF files to chunks, vectors, pairs and splits under `out`; returns the paths. `generator` makes the questions (heuristics without one), `embed` the vectors (the hash embedding without one)."""
     from pyspark.sql import functions as F
 
     from pagewright.operators.embed import hash_embedding
     from pagewright.sources.files import save_chunks, save_embeddings, save_questions
     from pagewright.sources.pdf import read_pdf_pages
 
-    pages = read_pdf_pages(spark, pdf_path, strict=True)
-    sections = build_sections(clean_pages(pages, min_repeat=2))
-    chunks = chunk_sections(sections, max_tokens, overlap_tokens, min_tokens).persist()
-    config = {"max_tokens": max_tokens, "overlap_tokens": overlap_tokens, "min_tokens": min_tokens}
+    pages = cut(read_pdf_pages(spark, pdf_path, strict=strict))
+    sections = cut(build_sections(clean_pages(pages, min_repeat=2), min_heading_score))
+    chunks = cut(chunk_sections(sections, max_tokens, overlap_tokens, min_tokens))
+    config = {"max_tokens": max_tokens, "overlap_tokens": overlap_tokens, "min_tokens": min_tokens, "min_heading_score": min_heading_score}
     paths = save_chunks(chunks, f"{out}/chunks.parquet", config, chunk_stats(chunks, pages.count(), sections.count()), pdf_path)
     if with_embeddings:
-        paths["embeddings"] = save_embeddings(chunks.withColumn("embedding", hash_embedding(F.col("text"))), f"{out}/embeddings.parquet")
-    pairs = chunks_to_pairs(chunks, questions, val_ratio).persist()
+        paths["embeddings"] = save_embeddings(chunks.withColumn("embedding", (embed or hash_embedding)(F.col("text"))), f"{out}/embeddings.parquet")
+    pairs = cut(chunks_to_pairs(chunks, questions, val_ratio, generator=generator))
     paths |= save_questions(pairs, f"{out}/pairs", pairs.where("split_name = 'train'"), pairs.where("split_name = 'val'"))
-    chunks.unpersist()
-    pairs.unpersist()
     return paths
 
 
@@ -80,6 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     for name, default in (("max-tokens", 512), ("overlap-tokens", 64), ("min-tokens", 128), ("questions", 3)):
         build.add_argument(f"--{name}", type=int, default=default)
     build.add_argument("--val-ratio", type=ratio, default=0.2)
+    build.add_argument("--min-heading-score", type=float, default=0.4)
     build.add_argument("--no-embeddings", action="store_true")
     fit = sub.add_parser("train", help="pairs to an adapter")
     fit.add_argument("--csv")
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     spark = build_session()
     if a.command == "build":
-        print(build_dataset(spark, a.pdf_path, a.out, a.max_tokens, a.overlap_tokens, a.min_tokens, a.questions, a.val_ratio, not a.no_embeddings))
+        print(build_dataset(spark, a.pdf_path, a.out, a.max_tokens, a.overlap_tokens, a.min_tokens, a.questions, a.val_ratio, not a.no_embeddings, a.min_heading_score))
     else:
         print(train(spark, a.csv, a.out, a.rank, a.epochs, a.batch_size, a.rate))
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.functions import vectors as vx
-from pagewright.operators import analytics, chunks, embed, headers, index, pairs, reduce, sections, similarity, training
+from pagewright.operators import analytics, chunks, embed, headers, index, pairs, reduce, search, sections, similarity, training
 from pagewright.plans.pipeline import pages_to_chunks
-from pagewright.session import cut
+from pagewright.session import cut, scratch
+from pagewright.sources import files
 from pagewright.streaming.ingest import windowed_timing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,10 +379,7 @@ def hard_negatives(s, d):
 @query
 def mine_hard_negatives(s, d):
     """Per query the three most similar rows of another label, as one row."""
-    q, v = asked(s, d), vectors(s, d)
-    scores = similarity.similarities(q, v)
-    other = scores.join(q.select("query_id", F.col("label").alias("ql")), "query_id").join(v.select("row_id", "label"), "row_id").where("ql <> label")
-    top = similarity.ranked(other.select("query_id", "row_id", "similarity")).where("rank <= 3")
+    top = similarity.ranked(similarity.similarities(asked(s, d), vectors(s, d), k=3, unlike="label"))
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"].cast("string")), ",").alias("hard_negatives"))
 
 
@@ -446,3 +444,178 @@ def adapter_training(s, d):
     config = training.AdapterConfig(r=4, epochs=3, batch_size=16, learning_rate=5e-3)
     losses, _ = training.train_adapter(vector_pairs(s, d), config, steps_per_epoch=2)
     return s.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+
+
+@query
+def adapter_first_loss(s, d):
+    """The loss of the first epoch in one step over batches in order, before the adapter has moved: that of the bare vectors."""
+    config = training.AdapterConfig(r=2, epochs=1, batch_size=16, temperature=0.5, lora_dropout=0.0)
+    losses, _ = training.train_adapter(vector_pairs(s, d), config, steps_per_epoch=1, sequential=True)
+    return s.createDataFrame([(round(losses[0], 6),)], "loss double")
+
+
+#: A small adapter of fixed values over 64 dimensions, for apply_adapter and its twin.
+FIXED_ADAPTER = {"down": [[((i + 2) * (j + 1) % 7 - 3) / 10 for j in range(64)] for i in range(2)], "up": [[((i + 3) * (j + 1) % 5 - 2) / 10 for i in range(2)] for j in range(64)]}
+FIXED_SETTINGS = {"r": 2, "lora_alpha": 4}
+
+
+@query
+def apply_adapter(s, d):
+    """Every vector through an adapter that was saved and loaded again."""
+    path = files.save_adapter(s, scratch(s, "adapter"), FIXED_ADAPTER, FIXED_SETTINGS)
+    matrices, settings = files.load_adapter(s, path)
+    t = training.apply_adapter(vectors(s, d), matrices, settings)
+    return t.select("row_id", F.posexplode("adapted").alias("i", "x")).select("row_id", "i", F.round("x", 6).alias("x"))
+
+
+@query
+def batch_tokens(s, d):
+    """Tokens of queries and passages in batches of 64, cut at 128 and padded within the batch."""
+    p = table(s, d, "pairs_df").select("pair_id", F.col("query").alias("anchor"), F.col("passage").alias("positive")).dropDuplicates(["pair_id"])
+    t = training.batch_tokens(training.batch_numbers(p, 64))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return t.select("batch", "pair_id", total("anchor_mask").alias("n_anchor"), F.size("anchor_tokens").alias("anchor_width"), total("positive_mask").alias("n_positive"), F.size("positive_tokens").alias("positive_width"))
+
+
+@query
+def search_documents(s, d):
+    """The five best sections with their texts, by the search operator, for the queries of the pairs whose id is divisible by 100."""
+    q = table(s, d, "pairs_df").where("pair_id % 100 = 0").select(F.col("pair_id").alias("query_id"), "query").dropDuplicates(["query_id"])
+    r = doc_sections(s, d).select(F.format_string("%s/%03d", "doc_id", "section_idx").alias("row_id"), F.col("text").alias("document"))
+    hits = search.search_batch(q, r, 5, digits=9)
+    return hits.select("query_id", "rank", "row_id", F.round("similarity", 6).alias("similarity"), F.md5("document").alias("document"))
+
+
+@query
+def chunk_lookup(s, d):
+    """The first delivered vector row of every chunk that a pair names."""
+    rows = table(s, d, "chunk_embeddings").select("chunk_id", "vec_id", "doc_id", "page_start")
+    return search.lookup(rows, table(s, d, "pairs_df").select("chunk_id"), "chunk_id", "vec_id")
+
+
+@query
+def index_fallback(s, d):
+    """The first index at hand: the optional module is not there, so the exact one."""
+    find = index.available_index("module_that_is_not_there:search", "flat")
+    return find(asked(s, d), vectors(s, d), k=3).select("query_id", "row_id", "rank")
+
+
+@query
+def ivf_all_cells(s, d):
+    """With as many probes as there are cells the approximate index is exact."""
+    return index.ivf_top_k(asked(s, d), vectors(s, d), k=5, probes=100).select("query_id", "row_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def pca_moments(s, d):
+    """What must hold of the components whatever their signs: as many rows as vectors, means and covariance of nought, the first no narrower than the second."""
+    p = pca_2d(s, d)
+    return p.agg(F.count("*").alias("n"), (F.abs(F.avg("x0")) < 1e-6).alias("centred0"), (F.abs(F.avg("x1")) < 1e-6).alias("centred1"), (F.abs(F.covar_pop("x0", "x1")) < 1e-6).alias("uncorrelated"), (F.var_pop("x0") >= F.var_pop("x1")).alias("ordered"))
+
+
+@query
+def plot_roles(s, d):
+    """The paired plot's table without its coordinates."""
+    return plot_table(s, d).select("pair", "role", "colour")
+
+
+@query
+def scatter_table(s, d):
+    """The unpaired plot's table of two raw coordinates."""
+    v = vectors(s, d).select("label", F.col("embedding")[0].alias("x0"), F.col("embedding")[1].alias("x1"))
+    return reduce.scatter_table(v, "label").select("label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "marker")
+
+
+@query
+def split_back(s, d):
+    """The two roles of union_roles apart again and side by side."""
+    a, p = reduce.split_roles(union_roles(s, d))
+    return a.withColumnRenamed("text", "anchor").join(p.withColumnRenamed("text", "positive"), "pair_id")
+
+
+# -- files
+
+
+@query
+def toy_pairs(s, d):
+    return files.toy_pairs(s).select("pair_id", "anchor")
+
+
+@query
+def csv_round_trip(s, d):
+    """Questions, with quotes and line ends in them, written as CSV and read again; missing cells are empty strings."""
+    p = table(s, d, "pairs_df").select("pair_id", "query", "passage").dropDuplicates(["pair_id"])
+    path = files.write_csv(p.orderBy("pair_id"), scratch(s, "pairs"))
+    got = files.read_csv(s, path, "pair_id bigint, query string, passage string")
+    return got.select("pair_id", F.coalesce("query", F.lit("")).alias("query"), F.coalesce("passage", F.lit("")).alias("passage"))
+
+
+@query
+def read_query_passages(s, d):
+    """The same file by the reader that finds the two columns."""
+    p = table(s, d, "pairs_df").dropDuplicates(["pair_id"]).select("pair_id", "query", "passage")
+    got = files.read_query_passages(s, files.write_csv(p, scratch(s, "pairs")))
+    return got.agg(F.count("*").alias("n"), F.sum(F.length("anchor")).alias("anchor_chars"), F.sum(F.length("positive")).alias("positive_chars"))
+
+
+@query
+def timing_log(s, d):
+    """Events as a headerless timing log, read again with names and date."""
+    e = table(s, d, "events").select("event_type", "value", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
+    path = scratch(s, "timing")
+    e.write.option("header", False).csv(path)
+    return files.read_timing(s, path).groupBy("function_name").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("seconds"), F.date_format(F.min("datetime"), "yyyyMMdd_HHmmss").alias("first"))
+
+
+@query
+def losses_csv(s, d):
+    """Daily means as a loss log with a header, read again."""
+    days = table(s, d, "events").groupBy(F.datediff("ts", F.lit("2020-01-01")).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return files.read_losses(s, files.write_csv(days, scratch(s, "losses")))
+
+
+@query
+def capped_rows(s, d):
+    """The caller's own cap on the rows of a file."""
+    n = table(s, d, "nation").select("n_nationkey", "n_name")
+    return files.read_csv(s, files.write_csv(n, scratch(s, "nations")), nrows=7).agg(F.count("*").alias("n"))
+
+
+@query
+def latest_file(s, d):
+    """Of files with a timestamp in the name the latest, whatever was written last."""
+    base = scratch(s, "logs")
+    for stamp in ("20250301_120000", "20260109_182752", "20251231_235959"):
+        files.write_text(s, f"{base}/log_{stamp}.csv", "a,1,2\n")
+    return s.createDataFrame([(files.latest_file(s, f"{base}/*.csv").rsplit("/", 1)[1],)], "name string")
+
+
+@query
+def saved_chunks(s, d):
+    """Chunks saved with their sidecar; the statistics as the sidecar holds them and the rows as the table does."""
+    base = scratch(s, "chunks")
+    made = cut(section_chunks(s, d))
+    paths = files.save_chunks(made, f"{base}/chunks.parquet", SIZES, chunks.chunk_stats(made, 1, 2), "a.pdf", "a")
+    side = s.read.option("multiLine", True).json(paths["metadata"])
+    n = s.read.parquet(paths["parquet"]).agg(F.count("*").alias("rows"))
+    return side.select("pdf_path", "config.max_tokens", "statistics.num_chunks", "statistics.total_tokens").crossJoin(n)
+
+
+@query
+def saved_embeddings(s, d):
+    """One table of the metadata that exist and the vectors."""
+    rows = table(s, d, "chunk_embeddings").where("embedding is not null").dropDuplicates(["vec_id"])
+    path = files.save_embeddings(rows, f"{scratch(s, 'vectors')}/embeddings.parquet")
+    return s.read.parquet(path).select("doc_id", "chunk_id", "section_id", "page_start", "token_count", "char_count", F.size("embedding").alias("dim"))
+
+
+@query
+def saved_questions(s, d):
+    """Pairs saved whole and by split, as parquet and CSV; rows of each file."""
+    p = cut(grouped_split(s, d).withColumn("query", F.lit("q")).withColumn("passage", F.lit("p")))
+    paths = files.save_questions(p, scratch(s, "questions") + "/pairs", p.where("split_name = 'train'"), p.where("split_name = 'val'"))
+    one = lambda name, df: df.agg(F.lit(name).alias("file"), F.count("*").alias("n"))
+    out = one("full_parquet", s.read.parquet(paths["full_parquet"]))
+    for name in ("full_csv", "train_csv", "val_csv"):
+        out = out.union(one(name, files.read_csv(s, paths[name])))
+    return out

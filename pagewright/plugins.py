@@ -30,7 +30,7 @@ class PageParser(ABC):
 
 
 class LanguageModel(ABC):
-    """Prompts to answers; there is none offline."""
+    """Prompts to answers, under the settings max_new_tokens, temperature, top_p and device; there is none offline."""
 
     @abstractmethod
-    def __call__(self, prompts: list[str]) -> list[str]: ...
+    def __call__(self, prompts: list[str], **settings) -> list[str]: ...

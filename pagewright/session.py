@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pagewright-checkpoints"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the checkpoint folder, so shared wherever that is."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and go on from the written copy, so a lost executor costs no recomputation of the lineage."""
     ensure_checkpoint_dir(df.sparkSession)

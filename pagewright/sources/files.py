@@ -60,10 +60,32 @@ def timestamp(at: datetime | None = None) -> str:
 
 
 def timestamped_path(base: str, name: str, ext: str = "", at: datetime | None = None) -> str:
-    """base/name_YYYYmmdd_HHMMSS.ext in a folder that exists; no dot without a suffix."""
-    os.makedirs(base, exist_ok=True)
+    """base/name_YYYYmmdd_HHMMSS.ext, no dot without a suffix; a local folder is made, one of a URI comes with the first file in it."""
+    if "://" not in base:
+        os.makedirs(base, exist_ok=True)
     ext = ext.lstrip(".")
-    return os.path.join(base, f"{name}_{timestamp(at)}" + (f".{ext}" if ext else ""))
+    return f"{base.rstrip('/')}/{name}_{timestamp(at)}" + (f".{ext}" if ext else "")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small file at any path that Spark itself can write to (local, or a URI of a shared store): written beside its place, then moved there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = place.getFileSystem(conf)
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(place, False)
+    if not fs.rename(part, place):
+        raise OSError(f"cannot move {path}.part into place")
+    return path
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The whole of one small file."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content).decode("utf-8")
 
 
 def latest_file(spark: SparkSession, glob: str) -> str | None:
@@ -84,9 +106,7 @@ def save_chunks(chunks: DataFrame, path: str, config: dict, statistics: DataFram
     chunks.write.mode("overwrite").parquet(path)
     side = path.rstrip("/") + "_metadata.json"
     body = {"pdf_path": pdf_path, "doc_id": doc_id, "config": config, "statistics": statistics.first().asDict(), "parquet_path": path}
-    with open(side + ".part", "w", encoding="utf-8") as out:
-        json.dump(body, out, indent=2, ensure_ascii=False)
-    os.replace(side + ".part", side)
+    write_text(chunks.sparkSession, side, json.dumps(body, indent=2, ensure_ascii=False))
     return {"parquet": path, "metadata": side}
 
 
@@ -111,6 +131,13 @@ def save_adapter(spark: SparkSession, path: str, matrices: dict, config: dict) -
     """Adapter matrices as parquet, the configuration as JSON."""
     rows = [(name, i, [float(x) for x in row]) for name, m in matrices.items() for i, row in enumerate(m)]
     spark.createDataFrame(rows, "name string, row int, values array<double>").write.mode("overwrite").parquet(f"{path}/matrices")
-    with open(f"{path}/adapter_config.json", "w", encoding="utf-8") as out:
-        json.dump(config, out, indent=2)
+    write_text(spark, f"{path}/adapter_config.json", json.dumps(config, indent=2))
     return path
+
+
+def load_adapter(spark: SparkSession, path: str) -> tuple[dict[str, list[list[float]]], dict]:
+    """(matrices, configuration) as `save_adapter` wrote them; an adapter is a few rows."""
+    out: dict[str, list[list[float]]] = {}
+    for r in spark.read.parquet(f"{path}/matrices").orderBy("name", "row").collect():
+        out.setdefault(r.name, []).append(list(r["values"]))
+    return out, json.loads(read_text(spark, f"{path}/adapter_config.json"))

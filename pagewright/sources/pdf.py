@@ -15,6 +15,7 @@ from pagewright.plugins import PageParser
 
 OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+STRING = re.compile(rb"\((?:\\.|[^\\()])*\)")
 TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|\[|\]|-?\d*\.?\d+|/[^\s/<>\[\]()]+|[A-Za-z'\"*]+")
 ESCAPES = {b"n": "\n", b"r": "\n", b"t": "\t", b"b": "", b"f": "\f", b"(": "(", b")": ")", b"\\": "\\"}
 
@@ -53,7 +54,10 @@ class SimplePdfParser(PageParser):
     def page(self, objects: dict[int, bytes], body: bytes) -> tuple[str, float | None, float | None]:
         refs = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", body, re.S)
         numbers = re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs and refs[1] is not None else [refs[2]] if refs else []
-        text = "".join(self.text(self.data(objects.get(int(n), b""))) for n in numbers)
+        streams = [self.data(objects.get(int(n), b"")) for n in numbers]
+        text = "".join(map(self.text, streams))
+        if not text.strip():  # nothing by the layout operators: every string of the streams, one a line
+            text = "\n".join(self.string(t) for x in streams for t in STRING.findall(x))
         box = re.search(rb"/MediaBox\s*\[\s*(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*\]", body)
         sizes = (float(box[3]) - float(box[1]), float(box[4]) - float(box[2])) if box else (None, None)
         return text.strip("\n"), *sizes
@@ -100,36 +104,56 @@ class SimplePdfParser(PageParser):
         return "".join(out)
 
 
+class StreamPdfParser(SimplePdfParser):
+    """The second parser: every content stream with text is a page, in the order of the file, whatever the state of its page tree and header."""
+
+    def __call__(self, content: bytes) -> list[tuple[str, float | None, float | None]]:
+        out = []
+        for m in re.finditer(rb"(<<(?:(?!endstream).)*?>>)?\s*stream\r?\n(.*?)(?:\r?\nendstream|\Z)", content, re.S):
+            data = m[2]
+            if b"FlateDecode" in (m[1] or b""):
+                try:
+                    data = zlib.decompressobj().decompress(data)
+                except zlib.error:
+                    continue
+            text = self.text(data).strip("\n") if re.search(rb"\bT[jJ]\b|['\"]", data) else ""
+            if text.strip():
+                out.append((text, None, None))
+        if not out:
+            raise ValueError("no text stream")
+        return out
+
+
 def read_pdf_pages(spark: SparkSession, path: str, parser: PageParser | None = None, fallback: PageParser | None = None, strict: bool = False) -> DataFrame:
     """(doc_id, page_number, raw_text, cleaned_text, line_list, metadata, path, error), pages from 1; a file that cannot be read gives one row with its error.
 
     The fallback is asked if the parser fails or finds no page with text. With `strict`, an unreadable file or one whose pages are all blank
-    (it needs character recognition) fails the query; a missing path fails at once.
+    (it needs character recognition) fails the query, whatever columns are used of it; a missing path fails at once.
     """
-    first = parser or SimplePdfParser()
+    first, fallback = parser or SimplePdfParser(), fallback or StreamPdfParser()
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame.path, frame.content):
-                pages, error = [], None
+                pages, errors, error = [], [], None
                 for p in (first, fallback):
-                    if p is None:
-                        continue
                     try:
-                        pages = p(bytes(content))
-                        error = None
+                        found = p(bytes(content))
+                        pages = found if not pages or any(t.strip() for t, *_ in found) else pages
                     except Exception as e:  # a broken file must not end the job
-                        error = f"{type(e).__name__}: {e}"
+                        errors.append(f"{type(e).__name__}: {e}")
                     if any(t.strip() for t, *_ in pages):
                         break
+                if not pages and errors:
+                    error = "; ".join(errors)
                 if error is None and not any(t.strip() for t, *_ in pages):
                     error = "no text on any page"
+                if strict and error:  # here, and not in a column that a plan may prune
+                    raise ValueError(f"{path}: {error}")
                 rows += [(path, i, t, {k: v for k, v in (("width", w), ("height", h)) if v is not None}, error) for i, (t, w, h) in enumerate(pages, 1)] or [(path, 0, "", {}, error)]
             yield pd.DataFrame(rows, columns=["path", "page_number", "raw_text", "metadata", "error"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     pages = files.mapInPandas(parse, "path string, page_number int, raw_text string, metadata map<string,double>, error string")
-    if strict:
-        pages = pages.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error"))).otherwise(F.col("error")))
     return pages.select(file_stem(F.col("path")).alias("doc_id"), "page_number", "raw_text", F.lit("").alias("cleaned_text"), F.array().cast("array<string>").alias("line_list"), "metadata", "path", "error")

@@ -104,3 +104,14 @@ def test_chunk_ids_and_noise(spark):
 def test_extra_columns(spark):
     df = pages(spark, {"h": [["ALPHA", "text"]]}).withColumn("zone", F.lit(1)).withColumn("_n", F.lit(2))
     assert headers.strip_headers_footers(df).columns == df.columns
+
+
+def test_sections_of_a_long_document(spark):
+    """More pages than a range of the prefix sums holds, headings on few of them, pages without lines between."""
+    doc = [[f"BRAVO {p}" if p % 700 == 5 else f"line {p}", "more"] if p % 3 else [] for p in range(2200)]
+    out = sections.build_sections(pages(spark, {"long": doc, "bare": [["just words"]] * 1500})).orderBy("doc_id", "section_idx").collect()
+    long = [r for r in out if r.doc_id == "long"]
+    heads = [p for p in range(2200) if p % 700 == 5 and p % 3]
+    assert [r.title for r in long] == [f"BRAVO {p}" for p in heads] and [r.section_idx for r in long] == list(range(len(heads)))
+    assert [r.page_start for r in long] == [p + 1 for p in heads] and sum(r.text.count("more") for r in long) == sum(1 for p in range(heads[0], 2200) if p % 3)
+    assert [r.section_idx for r in out if r.doc_id == "bare"] == list(range(1500))

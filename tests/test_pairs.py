@@ -51,7 +51,8 @@ def test_generate(spark):
 
 def test_generators(spark):
     class Echo:
-        def __call__(self, prompts):
+        def __call__(self, prompts, **settings):
+            assert settings == {"max_new_tokens": 100, "temperature": 0.7, "top_p": 0.9, "device": None}
             if any("boom" in p for p in prompts):
                 raise RuntimeError("boom")
             return [p + " Who built the old mill?" for p in prompts]
@@ -163,3 +164,19 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
     e = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, 5), "x", 1.0), (datetime.datetime(2024, 1, 1, 0, 9), "x", 2.0)], "ts timestamp, event_type string, value double")
     assert windowed_timing(e).first().total == 3.0
+
+
+def test_strict_whatever_is_used(spark, tmp_path):
+    """A broken file fails a strict query that uses neither its error nor its text; without strict it gives a row."""
+    (tmp_path / "broken.pdf").write_bytes(b"no pdf at all")
+    with pytest.raises(Exception, match="broken.pdf"):
+        read_pdf_pages(spark, str(tmp_path / "broken.pdf"), strict=True).select("doc_id").count()
+        read_pdf_pages(spark, str(tmp_path / "broken.pdf"), strict=True).select("doc_id").collect()
+    assert read_pdf_pages(spark, str(tmp_path / "broken.pdf")).first().error
+
+
+def test_second_parser(spark, tmp_path):
+    """Without header and page tree the streams are read in the order of the file."""
+    (tmp_path / "torn.pdf").write_bytes(b"junk 5 0 obj << /Length 30 >> stream\nBT (First words) Tj ET\nendstream endobj stream\nBT (second part) Tj ET\nendstream")
+    got = read_pdf_pages(spark, str(tmp_path / "torn.pdf"), strict=True).orderBy("page_number").collect()
+    assert [r.raw_text for r in got] == ["First words", "second part"]

@@ -164,3 +164,37 @@ def test_tsne_parts_clusters():
     y = reduce.tsne(x, 10)
     a, b = y[:20].mean(0), y[20:].mean(0)
     assert np.linalg.norm(a - b) > y[:20].std() + y[20:].std()
+
+
+def test_batches_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * 977).alias("pair_id"))
+    got = {r.pair_id: r.batch for r in training.batch_numbers(df, 64).collect()}
+    assert all(got[i * 977] == i // 64 for i in range(5000))
+    drawn = training.batch_numbers(df, 64, seed=3).groupBy("batch").count().orderBy("batch").collect()
+    assert [r["count"] for r in drawn] == [64] * 78 + [8]
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Beyond the size that is sent to every task blocks meet slices, with the same result, labels left out where asked."""
+    monkeypatch.setattr(similarity, "SLICE_ROWS", 70)
+    monkeypatch.setattr(similarity, "AT_ONCE", 16)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], i % 3 if i else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>, label int")
+    q = df.where("row_id < 90").withColumnRenamed("row_id", "query_id")
+    few, many = (similarity.similarities(q, df, k=4, unlike="label", **o) for o in ({}, {"block": 20}))
+    key = lambda d: sorted((r.query_id, r.row_id, round(r.similarity, 9)) for r in d.collect())
+    assert key(few) == key(many) and len(key(few)) == 89 * 4
+    assert all(a % 3 != b % 3 for a, b, _ in key(many))
+
+
+def test_adapter_settings(spark, tmp_path):
+    with pytest.raises(ValueError):
+        training.AdapterConfig(target_modules=("elsewhere",))
+    rng = np.random.default_rng(1)
+    pairs = spark.createDataFrame([(i, [float(x) for x in v], [float(x) for x in v + 0.1]) for i, v in enumerate(rng.normal(size=(10, 5)))], "pair_id long, anchor array<double>, positive array<double>")
+    losses, m = training.train_adapter(pairs, training.AdapterConfig(r=2, epochs=2, batch_size=4, lora_dropout=0.5, target_modules=("anchor",)), steps_per_epoch=None, sequential=True)
+    again, _ = training.train_adapter(pairs, training.AdapterConfig(r=2, epochs=2, batch_size=4, lora_dropout=0.5, target_modules=("anchor",)), steps_per_epoch=None, sequential=True)
+    assert losses == again and len(losses) == 2
+    out = training.apply_adapter(pairs.union(spark.createDataFrame([(99, None, None)], pairs.schema)), m, {"r": 2, "lora_alpha": 4}, "anchor").orderBy("pair_id").collect()
+    assert out[-1].adapted is None and all(abs(sum(x * x for x in r.adapted) - 1) < 1e-9 for r in out[:-1])
