@@ -45,6 +45,7 @@ def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(chunk hashes, offsets into them by line) for lines that stand one behind the other in `data`, all at once.
 
     Cuts depend on nothing but the bytes around them and none is made near an end of a line, so equal lines give equal chunks whatever stands beside them.
+    A chunk's hash also tells whether it begins and whether it ends its line; so a line of one chunk is equal to another where their chunks are.
     """
     n = len(data)
     starts, ends = offsets[:-1], offsets[1:]
@@ -67,13 +68,14 @@ def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     begin = begin[np.concatenate([[True], begin[1:] != begin[:-1]])] if len(begin) else begin
     of_line = np.searchsorted(ends, begin, side="right")
     stop = np.minimum(np.append(begin[1:], n), ends[of_line]) if len(begin) else begin
-    hashes = mixed((prefix[stop] - prefix[begin]) * back[begin] + (stop - begin).astype(np.uint64))
+    edges = 2 * (begin == starts[of_line]) + (stop == ends[of_line]) if len(begin) else begin
+    hashes = mixed((prefix[stop] - prefix[begin]) * back[begin] + (4 * (stop - begin) + edges).astype(np.uint64))
     counts = np.bincount(of_line, minlength=len(starts))
     return hashes.view(np.int64), np.concatenate([[0], np.cumsum(counts)])
 
 
 def chunked(lines: DataFrame) -> DataFrame:
-    """(doc, page_id, line_no, key, letters) to the same with `chunks`, the chunk hashes of each line, for the letters."""
+    """(doc, page_id, line_no, letters) to the same with `chunks`, the chunk hashes of each line, for the letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,17 +86,18 @@ def chunked(lines: DataFrame) -> DataFrame:
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
             hashes, at = chunk_hashes(data, offsets - offsets[0])
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "page_id", "line_no", "key")), lists], names=["doc", "page_id", "line_no", "key", "chunks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "page_id", "line_no")), lists], names=["doc", "page_id", "line_no", "chunks"])
 
-    return lines.mapInArrow(run, "doc long, page_id bigint, line_no int, key binary, chunks array<long>")
+    return lines.mapInArrow(run, "doc long, page_id bigint, line_no int, chunks array<long>")
 
 
 def repeated_lines(pages: DataFrame, sections: DataFrame, least_documents: int = 3, least_share: float = 0.25) -> DataFrame:
     """(page_id, line_no) of every line of line_list that is repeated within its source.
 
     A line is repeated if its letters stand in at least `least_documents` documents and `least_share` of the source's documents that have pages.
-    Every document that holds a line holds all chunks of the line: distinct documents are counted by chunk and source, lines whose first chunk is
-    in too few documents are dropped, and what is left is counted as whole lines. Documents, sources and lines go by hashes (64 bits, lines 128).
+    Distinct documents are counted by chunk and source. A line of one chunk is repeated if its chunk is. A longer one can only be if all its chunks
+    are, the first of which is looked at before the others; what is left is counted by the sequence of its chunks, for chunks of different lines
+    may meet in one. Documents, sources and chunks go by hashes of 64 bits.
 
     A document whose sections name several folders takes the first in byte order; pages of documents without a folder take part in nothing. Null
     lines, lines without letters and null or empty lists never count; a page delivered twice counts once. Empty tables give an empty result,
@@ -110,15 +113,19 @@ def repeated_lines(pages: DataFrame, sections: DataFrame, least_documents: int =
         .select(F.xxhash64("doc_id").alias("doc"), "page_id", F.posexplode("line_list").alias("pos", "line"))
         .select("doc", "page_id", (F.col("pos") + 1).cast("int").alias("line_no"), letters_of(F.col("line")).alias("letters"))
         .where("letters <> ''")
-        .select("doc", "page_id", "line_no", F.unhex(F.md5("letters")).alias("key"), "letters")
     )
     pieces = cut(chunked(lines).join(folders, "doc"))
 
     counted = pieces.select("source", "doc", F.explode("chunks").alias("chunk")).distinct().groupBy("source", "chunk").agg(F.count("*").alias("n"))
     frequent = counted.join(needs, "source").where("n >= need").select("source", "chunk")
-    survivors = cut(pieces.select("source", "doc", "page_id", "line_no", "key", F.element_at("chunks", 1).alias("chunk")).join(frequent, ["source", "chunk"], "left_semi").drop("chunk"))
-    exact = survivors.select("source", "key", "doc").distinct().groupBy("source", "key").agg(F.count("*").alias("n")).join(needs, "source").where("n >= need").select("source", "key")
-    return survivors.join(exact, ["source", "key"], "left_semi").select("page_id", "line_no").distinct()
+    begun = cut(pieces.withColumn("chunk", F.element_at("chunks", 1)).join(frequent, ["source", "chunk"], "left_semi").drop("chunk"))
+    whole = begun.where("size(chunks) = 1").select("page_id", "line_no")
+
+    longer = begun.where("size(chunks) > 1").select("source", "doc", "page_id", "line_no", F.array_distinct(F.slice("chunks", F.lit(2), F.size("chunks") - 1)).alias("rest"), F.xxhash64("chunks").alias("sequence"))
+    others = longer.select("source", "doc", "page_id", "line_no", "sequence", F.size("rest").alias("n_rest"), F.explode("rest").alias("chunk")).distinct().join(frequent, ["source", "chunk"], "left_semi")
+    complete = cut(others.groupBy("source", "doc", "page_id", "line_no", "sequence", "n_rest").agg(F.count("*").alias("n")).where("n = n_rest").select("source", "doc", "page_id", "line_no", "sequence"))
+    sequences = complete.select("source", "sequence", "doc").distinct().groupBy("source", "sequence").agg(F.count("*").alias("n")).join(needs, "source").where("n >= need").select("source", "sequence")
+    return whole.union(complete.join(sequences, ["source", "sequence"], "left_semi").select("page_id", "line_no")).distinct()
 
 
 def clean_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
