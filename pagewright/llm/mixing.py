@@ -28,28 +28,30 @@ def boundaries(sized: DataFrame, asked: dict[str, tuple[int, int]]) -> dict[str,
     Tokens are summed by source and bucket of hashes; only the bucket in which the budget ends is refined, until it holds one document.
     """
     spark, width = sized.sparkSession, 1 << BUCKET_BITS
-    low, used, behind, alive = dict.fromkeys(asked, 0), dict.fromkeys(asked, 0), {}, set(asked)
+    low, used, behind, alive, open_ = dict.fromkeys(asked, 0), dict.fromkeys(asked, 0), {}, set(asked), set()
     for level in range(LEVELS):
         shift = BUCKET_BITS * (LEVELS - 1 - level)
         if not alive:
             break
-        bounds = F.broadcast(spark.createDataFrame([(s, low[s], asked[s][0], asked[s][1]) for s in sorted(alive)], "source string, low long, first long, cap long"))
+        bounds = F.broadcast(spark.createDataFrame([(s, low[s], asked[s][0], asked[s][1], asked[s][1] - used[s]) for s in sorted(alive)], "source string, low long, first long, cap long, room long"))
         inside = sized.join(bounds, "source").where((F.col("hash") >= F.greatest("low", "first")) & (F.col("tokens") <= F.col("cap"))).withColumn("bucket", F.shiftright(F.col("hash") - F.col("low"), shift)).where(F.col("bucket") < width)
-        found: dict[str, list[tuple[int, int, int]]] = {}
-        for r in inside.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect():
-            found.setdefault(r.source, []).append((r.bucket, r.n, r.docs))
-        for s in sorted(alive):
-            for bucket, n, docs in sorted(found.get(s, [])):
-                if used[s] + n > asked[s][1]:
-                    low[s] += bucket << shift
-                    if docs == 1:  # the document that does not fit: go on behind its bucket
-                        behind[s] = low[s] + (1 << shift)
-                        alive.discard(s)
-                    break
-                used[s] += n
-            else:
-                low[s] += width << shift
-                alive.discard(s)
+        sums = inside.groupBy("source", "bucket", "room").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))
+        # running sums over the at most 2^12 buckets of a source; of these one row a source comes back: the bucket in which its room ends
+        running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
+        ends = F.when(F.col("upto") > F.col("room"), F.struct("bucket", "docs"))
+        for r in running.groupBy("source").agg(F.min(ends).alias("end"), F.sum(F.when(ends.isNull(), F.col("n"))).alias("n")).collect():
+            used[r.source] += r.n or 0
+            if r.end is None:
+                continue
+            low[r.source] += r.end.bucket << shift
+            if r.end.docs == 1:  # the document that does not fit: go on behind its bucket
+                behind[r.source] = low[r.source] + (1 << shift)
+                alive.discard(r.source)
+            open_.add(r.source)
+        for s in sorted(alive - open_):
+            low[s] += width << shift
+        alive &= open_
+        open_.clear()
     return {s: (max(low[s], asked[s][0]), max(behind.get(s, low[s] + 1), asked[s][0]), used[s]) for s in asked}
 
 
@@ -59,8 +61,8 @@ def draw(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     Sources without tokens cannot give their share; the others' shares are scaled up in proportion, and `target_share` in `shares` stays the
     wanted one. The budget of a source is its scaled share of `total_tokens`, by default of the largest total that no source's repeats
     forbid. A source repeats all its documents as often as its budget holds them whole, and once more those whose hash lies under a threshold,
-    found by summing tokens by source and hash bucket and refining only the bucket in which the budget ends. So nothing is sorted, at most
-    sources * 2^12 sums reach the driver a level. Documents that do not fit in what is left are passed over, so a source falls short of its budget
+    found by summing tokens by source and hash bucket and refining only the bucket in which the budget ends. So nothing is sorted, one
+    row a source reaches the driver a level. Documents that do not fit in what is left are passed over, so a source falls short of its budget
     by little where it has small documents.
 
     `targets` (source, target_share, max_repeats) may have at most MAX_SOURCES rows; sources are matched whatever their spelling, shares of the
