@@ -54,6 +54,11 @@ def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repair.repaired_pages(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "doc_catalog"))
 
 
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as continuous paragraphs over its pages."""
+    return scan_repair.document_paragraphs(p4_pages(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "pairs_df")).select("pair_id_a", "pair_id_b")
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pages": p3_pages,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
+    "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,

@@ -12,11 +12,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,8 @@ SAMPLE = 3000
 EDGE = 2
 #: How much more frequent a word must be than what is taken for its misreading.
 RATIO = 8
+#: Buckets in which the frequencies of grams are kept, and page_ids that are sent to the tasks at most.
+GRAM_BUCKETS, FEW_IDS = 1 << 16, 500_000
 #: Pages on which a word must stand to be what others are misreadings of, whatever the size of the corpus.
 TARGET = 5
 
@@ -245,44 +248,107 @@ def body_lines(text: str) -> list[tuple[int, str]]:
     return [(i, y) for i, x in enumerate(text.split("\n"), 1) if (y := x.replace("\f", " ").strip())]
 
 
+def deliveries(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(pages with `weight`, number of pages): a page that was delivered n times has the weight 1 / n each time, so it counts once.
+
+    Only page_ids are grouped. Those delivered repeatedly go to the tasks as long as they are few; beyond FEW_IDS they meet the pages by a join.
+    """
+    per_page = pages.groupBy("page_id").agg(F.count("*").alias("n_delivered"))
+    again = cut(per_page.where("n_delivered > 1"))
+    n_again, extra = again.agg(F.count("*"), F.coalesce(F.sum(F.col("n_delivered") - 1), F.lit(0))).first()
+    met = pages.join(F.broadcast(again) if n_again <= FEW_IDS else again, "page_id", "left")
+    return met.withColumn("weight", F.coalesce(1 / F.col("n_delivered"), F.lit(1.0))).drop("n_delivered"), pages.count() - extra
+
+
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, n, solid): on how many pages each word stands, and on how many of them undivided."""
+    """(word, n, solid): on how many pages each word stands, and on how many of them undivided, by raw_text and weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         solid: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([solid[w] for w in total], pa.int64())], names=["word", "n", "solid"])
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64()), pa.array([solid[w] for w in total], pa.float64())], names=["word", "n", "solid"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokens_of(text or "").keys()
-                total.update(words)
-                solid.update(words & tokens_of(text, False).keys() if text and BREAK.search(text) else words)
+                whole = words & tokens_of(text, False).keys() if text and BREAK.search(text) else words
+                if weight == 1:
+                    total.update(words)
+                    solid.update(whole)
+                else:
+                    total.update(dict.fromkeys(words, weight))
+                    solid.update(dict.fromkeys(whole, weight))
             if len(total) > 200_000:  # combined before the shuffle, within a bound
                 yield rows()
                 total.clear()
                 solid.clear()
         yield rows()
 
-    return pages.select("raw_text").mapInArrow(run, "word string, n long, solid long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("solid").alias("solid"))
+    counts = pages.select("raw_text", "weight").mapInArrow(run, "word string, n double, solid double")
+    return counts.groupBy("word").agg(F.round(F.sum("n")).cast("long").alias("n"), F.round(F.sum("solid")).cast("long").alias("solid"))
+
+
+def grams_of(word: Column) -> Column:
+    """The distinct bigrams of a word with its ends marked."""
+    marked = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(marked, i, F.lit(2))))
+
+
+def least_shared(longer: int) -> int:
+    """Grams that a word and its misreading have in common, by the longer of their lengths: one misreading breaks two or three, two break up to six."""
+    return max(1, longer + 1 - (3 if longer <= 5 else 4 if longer <= 7 else 6))
+
+
+def gram_keys(words: DataFrame, rarity: np.ndarray, asked: bool) -> DataFrame:
+    """(word, n, gram, size): the grams under which a word is sought (`asked`, by the length of what is sought) or stands (by its own length).
+
+    Both sides order grams by rarity. Of two words that share `least_shared` grams or more one is among the first of either, as many as
+    may be missing and one more; so only these are joined, with the length in the key, and no pair is lost.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(rarity)  # GRAM_BUCKETS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            at, grams, sizes = [], [], []
+            for k, word in enumerate(batch.column("word").to_pylist()):
+                marked = f"^{word}$"
+                own = sorted({marked[i : i + 2] for i in range(len(marked) - 1)}, key=lambda g: (order[crc32(g.encode()) % GRAM_BUCKETS], g))
+                size = len(word)
+                if asked:
+                    for other in range(max(2, size - 2), size + 3):
+                        first = own[: max(0, len(own) - least_shared(max(size, other)) + 1)]
+                        grams += first
+                        sizes += [other] * len(first)
+                        at += [k] * len(first)
+                else:
+                    first = own[: max(0, len(own) - min(map(least_shared, range(size, size + 3))) + 1)]
+                    grams += first
+                    sizes += [size] * len(first)
+                    at += [k] * len(first)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(rows), batch.column("n").take(rows), pa.array(grams, pa.string()), pa.array(sizes, pa.int32())], names=["word", "n", "gram", "size"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, gram string, size int")
 
 
 def corrections(words: DataFrame, ranker: Boosted, n_pages: int) -> DataFrame:
-    """(word, meant): rare words that are frequent ones misread. Both meet by q-grams (bigrams with the ends marked) through an inverted join."""
-    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(2))))
-    sized = words.withColumn("size", F.length("word")).where("size between 2 and 30")
+    """(word, meant): rare words that are frequent ones misread. Both meet by their rarest q-grams and lengths through an inverted join."""
+    sized = words.where(F.length("word").between(2, 30))
+    letters = F.col("word").rlike(r"^[\p{L}-]+$")
     # a word of letters only is suspicious if it is rare, one with digits or symbols in it however frequent it is
-    rare = sized.where((F.col("n") < n_pages * COMMON_SHARE + 2) | ~F.col("word").rlike(r"^[\p{L}-]+$")).select("word", "n", "size", F.explode(grams).alias("gram"))
-    known = sized.where((F.col("n") >= TARGET) & F.col("word").rlike(r"^[\p{L}-]+$")).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("size").alias("meant_size"), F.explode(grams).alias("gram"))
-    met = rare.join(known, "gram").where((F.abs(F.col("size") - F.col("meant_size")) <= 2) & (F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("meant")))
-    shared = met.groupBy("word", "meant", "n", "m").agg(F.count("*").alias("shared"))
-    # one misreading breaks two or three grams, two break up to six
+    rare = sized.where((F.col("n") < n_pages * COMMON_SHARE + 2) | ~letters)
+    known = sized.where((F.col("n") >= TARGET) & letters)
+    rarity = np.zeros(GRAM_BUCKETS, np.int64)
+    for r in known.select(F.explode(grams_of(F.col("word"))).alias("gram")).groupBy((F.crc32("gram") % GRAM_BUCKETS).cast("int").alias("b")).agg(F.count("*").alias("c")).collect():
+        rarity[r.b] = r.c
+    standing = gram_keys(known, rarity, False).select("gram", "size", F.col("word").alias("meant"), F.col("n").alias("m"))
+    met = gram_keys(rare, rarity, True).join(standing, ["gram", "size"]).where((F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("meant"))).select("word", "meant", "n", "m").distinct()
     longer = F.greatest(F.length("word"), F.length("meant"))
     enough = F.greatest(F.lit(1), longer + 1 - F.when(longer <= 5, 3).when(longer <= 7, 4).otherwise(6))
-    candidates = shared.where(F.col("shared") >= enough)
+    candidates = met.where(F.size(F.array_intersect(grams_of(F.col("word")), grams_of(F.col("meant")))) >= enough)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,8 +501,8 @@ class Reader:
     def __init__(self, pages: DataFrame, catalog: DataFrame):
         spark: SparkSession = pages.sparkSession
         self.pages = pages.where("page_id is not null")
-        words = cut(vocabulary(self.pages))
-        n_pages = self.pages.count()
+        weighted, n_pages = deliveries(self.pages)
+        words = cut(vocabulary(weighted))
         sample = [(r.word, r.n) for r in words.where((F.col("n") >= 5) & F.col("word").rlike(r"^[\p{L}-]+$")).orderBy(F.desc("n"), "word").limit(SAMPLE).collect()]
         common = [r.word for r in words.where((F.col("n") >= n_pages * COMMON_SHARE + 2) & F.col("word").rlike(r"^[\p{L}-]+$")).select("word").collect()]
         titles = [r.title for r in catalog.where("title is not null").select("title").distinct().orderBy(F.xxhash64("title"), "title").limit(SAMPLE // 15).collect()]
@@ -477,11 +543,19 @@ def kept_lines(text: str, dropped: set[int]) -> list[tuple[int, str]]:
     return [(i, x.replace("\f", " ").strip()) for i, x in enumerate(text.split("\n"), 1) if i not in dropped]
 
 
-def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], whole: dict[int, str]) -> list[str]:
-    """The repaired paragraphs of a page: furniture dropped, divided words joined, misread words replaced; `whole` gives the joined word by line; a blank line ends a paragraph, as do items and headings."""
+ITEM = re.compile(r"(?:[-*•–]|\d+[.)])\s")
+#: Stands for the line number of the last line where its word goes on on the next page.
+PAGE_END = -1
+
+
+def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], whole: dict[int, str], behead: bool = False) -> list[str]:
+    """The repaired paragraphs of a page: furniture dropped, divided words joined, misread words replaced; `whole` gives the joined word by line,
+    under PAGE_END that of the page's last line with what follows it on the next page, where `behead` leaves out the page's first word. A
+    blank line ends a paragraph, as do items and headings."""
     kept = kept_lines(text, dropped)
     out: list[str] = []
     current, pending = "", None
+    last = max((i for i, line in kept if line), default=None)
 
     def repair(token: str) -> str:
         token = plain(token)
@@ -499,19 +573,26 @@ def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], whole: di
                 current = ""
             continue
         tokens = line.split()
+        if behead:
+            tokens, behead = tokens[1:], False
+            if not tokens and i not in whole:
+                continue
         if pending is not None:
             first = tokens.pop(0)
             left, joined = pending
             tail = first[len(joined) - len(left) :] if joined == left + first[: len(joined) - len(left)] else first[len(joined) - len(left) - 1 :]
             tokens.insert(0, joined + tail)
             pending = None
-        elif current and re.match(r"(?:[-*•–]|\d+[.)])\s", line):
+        elif current and ITEM.match(line):
             out.append(current)
             current = ""
-        if i in whole:
+        if i in whole and tokens:
             stem = tokens.pop()[:-1]
             left = stem.lstrip(STRIP_LEFT)
             pending = (stem, stem[: len(stem) - len(left)] + whole[i])
+        elif i == last and PAGE_END in whole and tokens:
+            stem = tokens.pop()[:-1]
+            tokens.append(stem[: len(stem) - len(stem.lstrip(STRIP_LEFT))] + whole[PAGE_END])
         piece = " ".join(map(repair, tokens))
         current = f"{current} {piece}".strip() if current else piece
     if pending is not None:
@@ -519,31 +600,85 @@ def paragraphs_of(text: str, dropped: set[int], meant: dict[str, str], whole: di
     return [*out, current] if current else out
 
 
+def in_document(rows: DataFrame, value: Column, forward: bool, width: int = 256) -> DataFrame:
+    """`rows` (doc_id, page_number, page_id, ...) with `beside`: `value` of the next (`forward`) or of the nearest earlier row of the document whose value is not null.
+
+    Rows are ordered within ranges of `width` page numbers, and only one row a range within a document; so a document may hold any share of the pages.
+    """
+    place = F.struct("page_number", "page_id")
+    ranged = rows.withColumn("_r", F.floor(F.col("page_number") / width)).withColumn("_v", value).withColumn("_at", place)
+    there = F.col("_v").isNotNull()
+    nearest = (F.min_by if forward else F.max_by)(F.when(there, F.col("_v")), F.when(there, F.col("_at")))
+    ends = ranged.groupBy("doc_id", "_r").agg(nearest.alias("_e"))
+    direction = F.desc if forward else F.asc
+    # always the last value so far, in one order or the other: a running frame, which costs a row no more the longer it is
+    over = lambda keys, order: F.last(keys[-1], ignorenulls=True).over(Window.partitionBy(*keys[:-1]).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1))
+    far = ends.select("doc_id", "_r", over(["doc_id", "_e"], "_r").alias("_far"))
+    near = ranged.withColumn("_near", over(["doc_id", "_r", "_v"], "_at"))
+    return near.join(far, ["doc_id", "_r"]).withColumn("beside", F.coalesce("_near", "_far")).drop("_r", "_v", "_at", "_near", "_far")
+
+
 def repaired_pages(pages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(page_id, doc_id, page_number, paragraph_no, paragraph, continues): every page once as repaired paragraphs.
+    """(page_id, doc_id, page_number, paragraph_no, paragraph, start_page_id, start_no): every page once as repaired paragraphs.
 
-    `continues` says that the page's last paragraph ends without a full stop, so it goes on in the first of the document's next page; reading a
-    document in the order of page_number and paragraph_no and joining those gives its continuous text. Pages without text give no row.
+    A paragraph that goes on from the document's page before bears the page and number of the paragraph it began with, else its own; a word
+    divided over the page end stands whole on the first of the two pages. See document_paragraphs for the joined text. Pages without text give
+    no row and do not part a paragraph; pages without a document or number continue none.
     """
     r = Reader(pages, catalog)
     fixes = r.misread().groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("meant"))
     cuts = r.furniture.groupBy("page_id").agg(F.collect_set("line_no").alias("cuts"))
+    edges = T.StructType.fromDDL(f"ends {ENDS}, left string, mark string, head string")
 
-    @F.pandas_udf(ENDS)
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(edges)
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, dropped in batches:
-            yield pd.Series([line_ends([(i, x) for i, x in kept_lines(t or "", set(d) if d is not None else set()) if x]) for t, d in zip(text, dropped)], dtype=object)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def build(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, dropped, meant, whole in batches:
-            yield pd.Series([paragraphs_of(t or "", set(d) if d is not None else set(), dict(m) if m is not None else {}, dict(w) if w is not None else {}) for t, d, m, w in zip(text, dropped, meant, whole)])
+            rows = []
+            for t, d in zip(text, dropped):
+                lines = [(i, x) for i, x in kept_lines(t or "", set(d) if d is not None else set()) if x]
+                end = lines[-1][1] if lines else ""
+                open_ = len(end) > 1 and end[-1] in MARKS and end[-2].isalpha()
+                rows.append((line_ends(lines), end[:-1].split()[-1].lstrip(STRIP_LEFT) if open_ else None, end[-1] if open_ else None, lines[0][1].split()[0] if lines else None))
+            yield pd.DataFrame(rows, columns=["ends", "left", "mark", "head"])
+
+    @F.pandas_udf(T.StructType.fromDDL("parts array<string>, item boolean"))
+    def build(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for text, dropped, meant, whole, behead in batches:
+            rows = []
+            for t, d, m, w, b in zip(text, dropped, meant, whole, behead):
+                drop = set(d) if d is not None else set()
+                lead = next((x for _, x in kept_lines(t or "", drop) if x), "")
+                rows.append((paragraphs_of(t or "", drop, dict(m) if m is not None else {}, dict(w) if w is not None else {}, bool(b)), bool(ITEM.match(lead))))
+            yield pd.DataFrame(rows, columns=["parts", "item"])
 
-    # which pieces meet at a line end depends on the furniture between them
+    # which pieces meet at a line end depends on the furniture between them, and at a page end on the next page with text
     pages_cut = r.pages.dropDuplicates(["page_id"]).join(cuts, "page_id", "left")
-    divided_at = divided_words(pages_cut.select("page_id", find("raw_text", "cuts").alias("ends")), r.words, r.joins)
-    wholes = divided_at.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "joined"))).alias("wholes"))
-    joined = pages_cut.join(fixes, "page_id", "left").join(wholes, "page_id", "left")
-    built = joined.select("page_id", "doc_id", "page_number", build.asNondeterministic()("raw_text", "cuts", "meant", "wholes").alias("parts"))
-    rows = built.select("page_id", "doc_id", "page_number", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "paragraph"))
-    return rows.select("page_id", "doc_id", "page_number", (F.col("pos") + 1).alias("paragraph_no"), "paragraph", ((F.col("pos") + 1 == F.col("n")) & ~F.col("paragraph").rlike(r"[.!?:…][\"'”’»)\]]*$")).alias("continues"))
+    outer = cut(pages_cut.select("page_id", "doc_id", "page_number", find.asNondeterministic()("raw_text", "cuts").alias("e")).select("page_id", "doc_id", "page_number", "e.*"))
+    placed = outer.where("head is not null and doc_id is not null and page_number is not null").select("doc_id", "page_number", "page_id", "left", "mark", "head")
+    following = in_document(placed, F.struct(F.col("head").alias("word"), F.col("page_id").alias("page")), True).where("left is not null and beside is not null")
+    right = F.regexp_extract("beside.word", r"^([\p{L}\p{N}][\p{L}\p{N}_!+-]*)", 1)
+    over = cut(following.select("page_id", "left", right.alias("right"), "mark", F.substring(F.col("beside.word"), F.length(right) + 1, F.length("beside.word")).alias("tail"), F.col("beside.page").alias("next_page")).where("right <> ''"))
+    at_end = over.select("page_id", F.array(F.struct(F.lit(PAGE_END).alias("line_no"), "left", "right", "mark")).alias("ends"))
+    divided_at = cut(divided_words(outer.select("page_id", "ends").union(at_end), r.words, r.joins))
+    crossing = divided_at.where(F.col("line_no") == PAGE_END).join(over.select("page_id", "tail", "next_page"), "page_id")
+    words = divided_at.where(F.col("line_no") != PAGE_END).union(crossing.select("page_id", "line_no", F.concat("joined", "tail")))
+    wholes = words.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "joined"))).alias("wholes"))
+    beheaded = crossing.select(F.col("next_page").alias("page_id"), F.lit(True).alias("behead")).distinct()
+    joined = pages_cut.join(fixes, "page_id", "left").join(wholes, "page_id", "left").join(beheaded, "page_id", "left")
+    built = cut(joined.select("page_id", "doc_id", "page_number", build.asNondeterministic()("raw_text", "cuts", "meant", "wholes", "behead").alias("b")).select("page_id", "doc_id", "page_number", "b.parts", "b.item").where("size(parts) > 0"))
+
+    # where each page's first paragraph began: behind a page whose last one is open, at the last paragraph that began anew
+    ended = F.element_at("parts", -1).rlike(r"[.!?:…][\"'”’»)\]]*$")
+    flow = built.where("doc_id is not null and page_number is not null").select("doc_id", "page_number", "page_id", F.size("parts").alias("n"), "item", ended.alias("ended"))
+    before = in_document(flow, F.col("ended"), False).withColumn("joined", ~F.col("item") & ~F.coalesce("beside", F.lit(True))).drop("beside")
+    anchor = F.when((F.col("n") > 1) | ~F.col("joined"), F.struct(F.col("page_id").alias("page"), F.col("n").alias("no")))
+    began = in_document(before, anchor, False).where("joined").select("page_id", "beside")
+    rows = built.join(began, "page_id", "left").select("page_id", "doc_id", "page_number", "beside", F.posexplode("parts").alias("pos", "paragraph"))
+    first = (F.col("pos") == 0) & F.col("beside").isNotNull()
+    return rows.select("page_id", "doc_id", "page_number", (F.col("pos") + 1).alias("paragraph_no"), "paragraph", F.when(first, F.col("beside.page")).otherwise(F.col("page_id")).alias("start_page_id"), F.when(first, F.col("beside.no")).otherwise(F.col("pos") + 1).alias("start_no"))
+
+
+def document_paragraphs(repaired: DataFrame) -> DataFrame:
+    """(doc_id, start_page_id, start_no, page_start, page_end, text): the continuous paragraphs of each document, by (page_start, start_page_id, start_no) in its order. A task holds one paragraph at a time."""
+    piece = F.struct("page_number", "page_id", "paragraph_no", "paragraph")
+    return repaired.groupBy("doc_id", "start_page_id", "start_no").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["paragraph"]), " ").alias("text"))

@@ -256,6 +256,43 @@ def test_rare_words_at_line_ends(spark, monkeypatch):
     assert (200, "hyphen_break") in {(r.page_id, r.noise_kind) for r in scan_repair.page_noise(pages, catalog).collect()}
 
 
+def test_paragraphs_over_pages(spark):
+    """A paragraph goes on over blank pages and many pages, a word divided at a page end stands whole on the first page, an item begins anew."""
+    letters = random.Random(14)
+    made = ["".join(letters.choices("abcdeghiklmnoprstu", k=8)) for _ in range(60)]
+    rows = [(1000 + p, f"x{p}", 1, "\n".join(" ".join(made[(p + k) % 60 : (p + k) % 60 + 6]) + "." for k in range(12)) + "\nThe harbour was the old market.", None) for p in range(40)]
+    rows += [(1, "d", 1, "First words here.\n\nThe old mar-", None), (2, "d", 2, "", None), (3, "d", 3, "ket, it was\nbusy and", None), (4, "d", 4, "open.\n\nThen it goes on", None), (5, "d", 5, "- an item", None), (6, "d", 6, "and more of it.", None), (6, "d", 6, "and more of it.", None)]
+    rows += [(5000 + p, "long", p, "opening words" if p else "Long ago", None) for p in range(600)] + [(7000, None, 1, "no document", None), (7001, "d", None, "no number", None)]
+    got = scan_repair.repaired_pages(spark.createDataFrame(rows, PAGES), spark.createDataFrame([], CATALOG)).cache()
+    joined = {(r.doc_id, r.start_page_id, r.start_no): (r.text, r.page_start, r.page_end) for r in scan_repair.document_paragraphs(got).where("doc_id in ('d', 'long')").collect()}
+    assert joined == {
+        ("d", 1, 1): ("First words here.", 1, 1), ("d", 1, 2): ("The old market, it was busy and open.", 1, 4), ("d", 4, 2): ("Then it goes on", 4, 4), ("d", 5, 1): ("- an item and more of it.", 5, 6),
+        ("d", 7001, 1): ("no number", None, None), ("long", 5000, 1): ("Long ago " + " ".join(["opening words"] * 599), 0, 599),
+    }
+    assert {r.page_id: r.paragraph for r in got.where("page_id in (3, 7000)").collect()} == {3: "it was busy and", 7000: "no document"}
+
+
+def test_pages_count_once(spark):
+    """A page delivered three times weighs as one."""
+    pages = spark.createDataFrame([(1, "d", 1, "alpha beta", None)] * 3 + [(2, "d", 2, "alpha", None)], PAGES)
+    weighted, n = scan_repair.deliveries(pages)
+    assert n == 2 and {r.word: (r.n, r.solid) for r in scan_repair.vocabulary(weighted).collect()} == {"alpha": (2, 2), "beta": (1, 1)}
+
+
+def test_gram_join_loses_nothing(spark):
+    """Every pair that shares enough grams at lengths two apart at most meets, as by comparing all."""
+    letters = random.Random(15)
+    known = sorted({"".join(letters.choices("abcde", k=letters.randint(2, 11))) for _ in range(150)})
+    rare = sorted({scan_repair.spoil(w, letters) for w in known} | {w[:-1] + "x" for w in known if len(w) > 2} - set(known))
+    grams = lambda w: {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
+    want = {(a, b) for a in rare for b in known if a != b and abs(len(a) - len(b)) <= 2 and len(grams(a) & grams(b)) >= scan_repair.least_shared(max(len(a), len(b)))}
+    frame = lambda words: spark.createDataFrame([(w, 1) for w in words if 2 <= len(w) <= 30], "word string, n long")
+    rarity = np.arange(scan_repair.GRAM_BUCKETS) * 7919 % 31
+    a, b = scan_repair.gram_keys(frame(rare), rarity, True), scan_repair.gram_keys(frame(known), rarity, False).withColumnRenamed("word", "meant")
+    met = {(r.word, r.meant) for r in a.join(b, ["gram", "size"]).select("word", "meant").distinct().collect()}
+    assert {x for x in want if len(x[0]) >= 2} <= met
+
+
 def test_targets_in_a_large_corpus(spark):
     """A word on five pages is what its misreading means, however many pages there are."""
     words = spark.createDataFrame([("glacier", 20), ("g1acier", 1)], "word string, n long")
