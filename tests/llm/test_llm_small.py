@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +499,24 @@ def test_kinds_of_long_lines(line, kind):
     assert len(line) >= 48 and quality.line_kind(line, frozenset(["the", "of", "in", "and", "to"])) == kind
 
 
+def test_published_rules(spark, common):
+    """Every rule that fails is recorded, whatever the kind."""
+    rows = [(1, "The mayor of the town is in the hall and the clerk is with him. " * 8), (2, "- a #\n- b ...\n- c …"), (3, None), (4, "Short and good.")]
+    got = {r.doc_id: (r.kind, set(r.failed)) for r in quality.quality_statistics(spark.createDataFrame(rows, "doc_id long, text string"), common).collect()}
+    assert got[1] == ("prose", set()) and got[4] == ("prose", {"gopher_words_50_to_100000", "gopher_two_stop_words", "fineweb_short_lines_0.67"})
+    assert got[2][0] == "list" and {"gopher_bullet_lines_0.9", "gopher_ellipsis_lines_0.3", "gopher_symbols_to_words_0.1", "gopher_mean_word_length_3_to_10"} <= got[2][1]
+    assert got[3][0] == "junk" and "gopher_words_50_to_100000" in got[3][1] and set().union(*(f for _, f in got.values())) <= set(quality.PUBLISHED)
+
+
+def test_lines_together_and_alone(common):
+    """The kinds of all lines at once are those of each line alone, on odd lines too."""
+    rng = random.Random(16)
+    bits = ["the", "of", "1", "12.5", "$3", "50%", ", ", "; ", ",", ";", " | ", "|", "\t", "  ", " ", "...", ". . . .", "-", "•", "1.", "(a)", "x", "Table 3", "{", "}", "=>", "f(x);", " > ", "»", "word", "Überall", "№", "\u00a0", "\u2003", "٣", "²", "'s", "!", "…", "def ", "<b>", "[x]"]
+    lines = [x for x in ("".join(rng.choices(bits, k=rng.randint(1, 14))).strip() for _ in range(4000)) if x]
+    known = frozenset(["the", "of", "word"])
+    assert quality.line_kinds(pa.array(lines, pa.large_string()), known).tolist() == [quality.line_kind(x, known) for x in lines]
+
+
 def test_statistics_against_plain(spark, common):
     text = "The mayor is in the hall.\nIt is 12 o'clock.\n- item"
     r = quality.quality_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string"), common).first()
