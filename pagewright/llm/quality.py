@@ -301,9 +301,11 @@ def verdict(s: Column) -> Column:
         (s.mean_word_length + s.digit_share == 0, F.lit("junk"), "no_letters_or_digits"),
         (s.damage_share > t["max_damage_share"], F.lit("junk"), "damaged_encoding"),
         ((s.symbol_share > t["max_symbol_share"]) & (built <= t["larger_part"]), F.lit("junk"), "symbols"),
+        # rows of a table may be numbers and rules alone, items of a list hold words
+        ((s.n_words == 0) & (s.table_part <= t["larger_part"]), F.lit("junk"), "no_words"),
+        ((s.long_token_share > t["max_long_token_share"]) & (s.table_part <= t["larger_part"]), F.lit("junk"), "unbroken_characters"),
         (structured, shape, "larger_part_in_rows"),
         (s.code_part > t["larger_part"], F.lit("junk"), "code"),
-        (s.long_token_share > t["max_long_token_share"], F.lit("junk"), "unbroken_characters"),
         (s.pronounceable_share < t["min_pronounceable_share"], F.lit("junk"), "unpronounceable"),
         (s.case_regular_share < t["min_case_regular_share"], F.lit("junk"), "mixed_case_inside_words"),
         ((s.top_word_share > t["max_top_word_share"]) & (s.n_words >= 8), F.lit("junk"), "repeated_word"),

@@ -476,7 +476,7 @@ def test_mixing(spark):
 @pytest.mark.parametrize(
     "text, kind",
     [
-        (None, "junk"), ("", "junk"), (" \n ", "junk"), ("....", "junk"), ("%$#@ &*( ~~ ■■ ▒▒ §§ {} []", "junk"), ("Ã©Ã¨ b�n l� r�v� Ã©tÃ© Ã¨", "junk"), ("word " * 200, "junk"), ("var a=function(e){return e.b[1]||0};\n" * 5, "junk"),
+        (None, "junk"), ("", "junk"), (" \n ", "junk"), ("....", "junk"), ("00", "junk"), ("ab" * 30 + "....0", "junk"), ("%$#@ &*( ~~ ■■ ▒▒ §§ {} []", "junk"), ("Ã©Ã¨ b�n l� r�v� Ã©tÃ© Ã¨", "junk"), ("word " * 200, "junk"), ("var a=function(e){return e.b[1]||0};\n" * 5, "junk"),
         ("- one thing\n- another thing\n- a third thing", "list"), ("1. the first\n2. the second\n3. the third", "list"), ("1.1 Intro ........ 3\n1.2 More ........ 7", "list"), ("Lead in to the list.\n" + "\n".join(f"[x] item {i}" for i in range(9)), "list"),
         ("a,b,c\n" + "\n".join(f"x{i},{i},{i}.5" for i in range(6)), "table"), ("| a | b |\n| --- | --- |\n| 1 | 2 |", "table"), ("1 2.5 3\n4 5.5 6\n7 8.5 9", "table"), ("name\tage\nann\t3\nbob\t5", "table"),
         ("The mayor of the town is in the hall and the clerk is in the yard. It is late.", "prose"), ("The mayor of the town is in the hall and the clerk is near to the yard of the mill. It is late in the day.\n- one\n- two", "prose"), ("The hall is in the town. " * 8000, "prose"),
