@@ -27,35 +27,64 @@ ASKING = {
     "it": "che cosa chi dove perché come quale quali quando mostra spiega tra fra modo legame unisce".split(),
 }
 
-# Refusal grammar. A passage refuses if its first sentence does, by one of the clauses of REFUSING, and every further sentence refuses as well
-# or is a COURTESY of the one who refuses.
-TASK = r"(?:answer|respond|reply|help|assist|provide|give|discuss|comply|fulfil+|process|complete|summari[sz]e|generate|say|tell|comment|write|share|continue|do|offer|find|produce|create|explain|describe|engage|support|supply|speak|talk|elaborate|address|recommend|advise)"
-UNABLE = (
-    r"(?:can(?:no|')t|can ?not|could not|couldn't|will not|won't|would not|wouldn't|may not|must not|do not|don't|am not|are not|is not|isn't|was not|were not|am unable|are unable|is unable|was unable|"
-    r"must decline|have to decline|need to decline|will have to decline|decline|refuse|have to refuse|would rather not|prefer not|'d rather not|regret|lack|fail)"
+# Refusal grammar. A sentence is parted into clauses; it refuses if its first clause does, or a later one that draws the conclusion ("so I cannot
+# answer"). A passage refuses if its first sentence does (or its first two together) and every further one refuses as well or is a COURTESY.
+# A clause refuses by who speaks (SELF), or what there is to go by (SOURCE), that this is negated, and that it is about answering (SPEECH).
+SPEECH = (
+    r"(?:answer|respond|reply|help|assist|provide|give|discuss|comply|fulfil+|process|complete|summari[sz]e|generate|say|tell|comment|write|share|continue|offer|produce|create|explain|describe|engage|support|supply|speak|talk|elaborate|address|"
+    r"recommend|advise|opine|speculate|judge|disclose|reveal|weigh in|shed (?:any |much |more )?light|(?:get|go|look|dig|delve) into|touch(?: on)?|take (?:this|that|it|a position|sides)|be of (?:any |much )?(?:help|use|assistance)|do (?:this|that|so|it)|guess|confirm|verify|determine|know|find|see|make out)"
 )
+SPEAKING = r"(?:answering|responding|replying|helping|assisting|providing|giving|discussing|commenting|sharing|speaking|talking|elaborating|addressing|advising|speculating|getting into|going into|weighing in|saying|telling|doing (?:this|that|so))"
+SELF = r"(?:i|we|(?:this|the|your) (?:[\w-]+ )?(?:assistant|model|system|ai|bot))"
+NOT = r"(?:can(?:no|')t|can ?not|could not|couldn't|will not|won't|would not|wouldn't|may not|must not|should not|shouldn't|do not|don't|did not|didn't|am not|'m not|are not|aren't|'re not|is not|isn't|was not|wasn't|were not|weren't|never|have not|haven't)"
+UNABLE = rf"(?:{NOT}|(?:am|'m|are|'re|is|was|were|would be|remain) (?:quite |simply |just |currently )?(?:unable|powerless|forbidden|barred|prevented)|lack|lacks|fail|regret|'d rather not|would rather not|(?:'d |would )?prefer not|choose not|opt not|(?:am|'m|are|'re) in no position)"
+READY = r"(?:at liberty|able|free|willing|comfortable|prepared|in a position|equipped|qualified|allowed|permitted|authori[sz]ed|inclined|supposed|meant|the right (?:one|person)|ready|happy|going|built|made|trained|designed)"
+DECLINE = r"(?:decline|refuse|pass(?: on)?|abstain|refrain|demur|bow out|opt out|say no|sit this (?:one )?out|hold off|beg off|turn (?:this|that|it|you|your request|the request) (?:one )?down|leave (?:it|this|that) (?:unanswered|open|to others)|stay (?:out of|away from|clear of)|keep (?:out of|away from|clear of)|steer clear|(?:keep|remain|stay) silent|disappoint)"
+HAVE_TO = r"(?:(?:must|have to|need to|want to|wish to|am forced to|are forced to|'m forced to|am obliged to|shall|will|'ll|would|'d|am going to|'m going to|are going to|'re going to|will have to|'ll have to|would have to|am going to have to|'m going to have to|'re going to have to|choose to|prefer to|ask to) (?:like to |have to )?)"
+THEME = r"(?:question|request|query|prompt|topic|task|answer|information|details?|reply|response|subject|matter)"
+SOURCE = r"(?:(?:the|this|that|my|our|your) (?:[\w-]+ )?(?:text|passage|document|context|section|source|excerpt|page|chunk|material|information|data|notes?|article)s?)(?: (?:at hand|here|above|below|provided|given|available|i have|i was given|that i have|supplied))?"
+KNOWLEDGE = r"(?:contexts?|information|data|details?|evidence|material|answers?|knowledge|content|record|mention|opinions?|views?|idea|means|basis|access|clue|grounds|facts?|way of (?:knowing|telling|saying|answering)|way to (?:know|tell|say|answer))"
+RULES = r"(?:guidelines?|polic(?:y|ies)|rules?|instructions?|terms|programming|training|principles|remit|scope)"
 SORRY = (
-    r"(?:(?:i am|i'm|we are|we're) (?:very |really |so |truly |terribly )?(?:sorry|afraid)|(?:so |very )?sorry|(?:my |our |please accept my )?apologies|i apologi[sz]e|unfortunately|regrettably|sadly|i regret(?: to say)?|"
-    r"as an? (?:[\w-]+ ){0,4}(?:assistant|model|ai|system|program|bot)|at this (?:time|point|moment))"
+    r"(?:(?:i am|i'm|we are|we're) (?:very |really |so |truly |terribly )?(?:sorry|afraid)|(?:so |very )?sorry|(?:my |our |please accept my )?apologies|i apologi[sz]e|unfortunately|regrettably|sadly|alas|i regret(?: to say)?|kindly note|"
+    r"as an? (?:[\w-]+ ){0,4}(?:assistant|model|ai|system|program|bot)|at this (?:time|point|moment)|honestly|frankly|thanks?(?: you)?(?: for asking)?|no)"
 )
-SELF = r"(?:i|we|(?:this|the|your) (?:[\w-]+ )?(?:assistant|model|system|ai|bot))"
-THEME = r"(?:question|request|query|prompt|topic|task|answer|information|details?|reply|response)"
-TEXT = r"(?:the|this|that) (?:given |provided |above )?(?:text|passage|document|context|section|source|excerpt|page|chunk|material)"
+HERE = r"(?:\s+(?:about|on|regarding|concerning|for|to|in|available|here|given|provided|that|which|from|as to|of (?:this|that|it|knowing))\b|\s*$)"
 REFUSING = re.compile(
-    rf"^(?:{SORRY}[,.;:!]*\s+(?:but\s+|that\s+|for\s+)?)*(?:"
-    rf"{SELF}\s*{UNABLE}\b[^.!?]{{0,40}}?\b{TASK}\b"
-    rf"|it(?: is|'s| was| would| will| may| might)? ?(?:not|never|hardly|im|un|in)(?: be)? ?(?:possible|appropriate|permitted|allowed|right|safe|advisable|proper|able|acceptable|suitable|wise)\b"
-    rf"|it (?:is|was|would be) (?:impossible|inappropriate|not possible|not appropriate|beyond|outside)\b"
-    rf"|{SELF}\s+(?:do not|don't|did not|didn't|cannot|can't) (?:know|have|find|see|hold|possess)\b|{SELF} (?:have|has|had|hold|find|found|see|know|possess) (?:no|nothing|insufficient|not enough|too little)\b|{SELF} lacks?\b"
-    rf"|there (?:is|are|was|were|'s) (?:no|not enough|insufficient|not sufficient|too little|nothing|not any)\b[^.!?]{{0,30}}\b(?:context|information|data|details?|evidence|text|material|answer|known|said|about|content)\b"
-    rf"|(?:this|the|your|that|such an?) {THEME}[^.!?]{{0,60}}\b(?:cannot|can't|can not|could not|couldn't|will not|won't|is not|was not|isn't|falls outside|is outside|lies outside|is beyond|goes beyond|violates)\b"
-    rf"|(?:the |your |this |that )?{THEME} (?:was |is |has been |had to be )?(?:declined|refused|denied|rejected|withheld|blocked|unavailable|impossible)\b|no (?:answer|reply|response|information|details?) (?:is|are|can|could|was|for|about|available|possible)\b"
-    rf"|{TEXT}[^.!?]{{0,20}}\b(?:does not|doesn't|did not|contains? no|gives? no|provides? no|has no|offers? no|says nothing|is not enough|lacks)\b[^.!?]{{0,60}}"
-    rf"|(?:my|our) (?:guidelines?|polic(?:y|ies)|rules?|instructions?)[^.!?]{{0,40}}\b(?:not|never|forbids?|prevents?|prohibits?|disallows?)\b"
-    rf"|(?:unable|not able|cannot|can't|can not|won't be able|declin(?:e|ing)|refus(?:e|ing)) (?:to )?{TASK}\b|(?:that|this) is (?:not something|something) (?:i|we) (?:can(?:no|')t|can|am unable|won't)\b|{SELF}['a-z ]{{0,12}} rather not\b|insufficient (?:context|information)\b|not enough (?:context|information)\b"
+    rf"^(?:{SORRY}\b[,.;:!]*\s+(?:but\s+|that\s+|for\s+|to\s+)?)*(?:"
+    # the speaker cannot, may not, will not answer, or is not ready to
+    rf"{SELF}\s*{UNABLE}(?: (?:to|be|been|able|really|simply|just|currently|at this time|in good conscience|ever|even|possibly|feel|quite|here|actually|get|have))*? (?:{SPEECH}\b|{SPEAKING}\b)"
+    rf"|{SELF}(?: feel|'m feeling)?\s*{UNABLE}(?: (?:feel|really|quite|at all|currently|exactly|the least))* {READY}(?: (?:to|with|about|enough|for|in|of))*(?:\s*$| {SPEECH}\b| {SPEAKING}\b| (?:this|that|it)\b)"
+    rf"|{SELF} (?:am|'m|are|'re|is)? ?(?:hardly|no longer|in no way|nowhere near) {READY}(?: to)?(?:\s*$| {SPEECH}\b)"
+    rf"|(?:will|won't|'ll) not be {SPEAKING}|{SELF} won't be {SPEAKING}"
+    rf"|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?(?:respectfully |politely |kindly |regretfully )?{DECLINE}\b"
+    rf"|(?:unable|not able|cannot|can't|can not|won't be able|declin(?:e|ing)|refus(?:e|ing)) (?:to )?(?:{SPEECH})\b|(?:respectfully|politely) declin(?:e|ing)\b"
+    # the speaker has nothing to go by
+    rf"|{SELF}(?: currently| simply| just)? (?:(?:do|did) not|don't|didn't|cannot|can't|could not|couldn't) (?:currently |really |actually |yet )?(?:know|have|find|see|hold|possess|get)\b(?! to\b)[^.!?]{{0,40}}?(?:{KNOWLEDGE}|{THEME}|any|enough|anything|it|this|that)?"
+    rf"|{SELF}(?:'ve| have| has| had| hold| find| found| see| possess| was given| were given| got)(?: been given| got)? (?:no|insufficient|not enough|too little|little|not sufficient)(?: [\w-]+){{0,2}}? {KNOWLEDGE}\b"
+    rf"|{SELF}(?:'ve| have| has| had| find| found| see| know| possess) nothing(?: (?:to|on|about|here|that|of|relevant|useful|in)\b|\s*$)|{SELF} know nothing\b|{SELF} lacks? (?:the |any |enough |sufficient )?(?:[\w-]+ )?{KNOWLEDGE}"
+    rf"|{SELF} (?:was|were|wasn't|weren't|have|haven't)(?: not| been)* given enough\b"
+    rf"|there (?:is|are|was|were|'s|isn't|aren't) (?:simply |just |currently )?(?:no|not enough|insufficient|not sufficient|too little|not any|any|not)(?: [\w-]+){{0,2}}? {KNOWLEDGE}{HERE}|there (?:is|was|'s) nothing(?: (?:in|on|about|here|that|to go|given|said|known)\b|\s*$)"
+    rf"|{SOURCE} (?:simply |just |unfortunately )?(?:(?:does not|doesn't|do not|don't|did not|didn't|never) (?:\w+ly )?(?:say|mention|state|contain|give|provide|cover|address|discuss|specify|tell|include|answer|explain|describe|offer|hold|name|reveal|indicate|support|allow|go into|touch|deal|have|supply|help|let)\b(?![^.!?]*\bbut\b)"
+    rf"|(?:contains?|gives?|provides?|has|have|offers?|holds?) (?:no|nothing|too little|not enough|insufficient)\b|says? nothing\b|is silent\b|lacks?\b|(?:is|are) (?:not enough|insufficient|not sufficient|inadequate|too (?:short|thin|sparse|vague|limited|little))\b)"
+    rf"|(?:insufficient|not enough|too little) (?:context|information|detail|data)\b|no (?:answer|reply|response|information|details?)(?: (?:from me|here)\b| (?:is|are|was|can be|could be|will be|has been)(?: \w+)? ?(?:available|possible|given|provided|offered|found|forthcoming)?(?: here| for this| to this| in (?:the|this)[^.!?]*| on this| about this| (?:from|with|by|on|based on)(?: the basis of)? {SOURCE}[^.!?]{{0,30}})?\s*$| (?:for|about|available|possible)\b)"
+    # what is asked cannot be answered, or lies beyond the speaker
+    rf"|(?:this|the|your|that|such an?|what you ask)(?: (?:kind|sort|type) of)? ?{THEME}?(?: [\w-]+){{0,3}} (?:cannot|can't|can not|could not|couldn't|will not|won't|must not|may not) (?:be )?(?:answered|processed|fulfil+ed|completed|addressed|handled|resolved|determined|given|honou?red|met|discussed|granted|provided|shared|disclosed|served|supported|continue|go ahead|proceed)\b"
+    rf"|(?:this|the|your|that|such an?) {THEME}[^.!?]{{0,60}}\b(?:falls outside|is outside|lies outside|is beyond|goes beyond|lies beyond|violates|goes against|(?:is|was)(?: not|n't) (?:something|one|a (?:topic|subject|matter)) (?:i|we)|is off[- ]limits|isn't (?:something|one))\b"
+    rf"|(?:the |your |this |that )?{THEME} (?:was |is |has been |had to be |must be |will be )?(?:declined|refused|denied|rejected|withheld|blocked|unavailable|impossible|not available|off[- ]limits)(?:\s*$| (?:as|because|since|due|under|here|at this|for (?:safety|policy|this|that|these|legal|privacy)|on (?:safety|policy|these|legal|those))\b)"
+    rf"|(?:that|this|it|these|those)(?: one| {THEME})?(?:'s| is| are| was| falls| lies| goes| sits| remains)? (?:rather |well |far |somewhat |a bit |simply |just )?(?:(?:above|beyond|past|over|outside|out of|outside of) (?:my|our|what (?:i|we|this)|the scope|me\b|us\b)|over my head|off[- ]limits|not (?:my|our) (?:place|call|area|field|department))"
+    rf"|(?:that|this|it)(?: one| {THEME})?(?:'s| is| isn't| was| wasn't) (?:not |hardly |never )?(?:something|anything|a (?:matter|question|topic|subject|thing|request)|one)(?: (?:on|about|for|to|with|in))?(?: (?:that|which|whom))? (?:i|we)(?:'m| am|'re| are| can| could| feel| will)?(?: not| never|n't|'t| prefer not| cannot| can't| won't)* ?(?:to )?(?:{READY}|{SPEECH}|{DECLINE}|{NOT})\b"
+    rf"|it(?: is|'s| was| would| will| may| might)? ?(?:not|never|hardly|im|un|in)(?: be)? ?(?:possible|appropriate|permitted|allowed|right|safe|advisable|proper|able|acceptable|suitable|wise)(?: for (?:me|us|this \w+))?(?:\s*$| to (?:{SPEECH})\b)"
+    rf"|(?:{SPEAKING}|to {SPEECH})(?: [\w-]+){{0,5}} (?:would|will|might|could|may|is|goes) (?:not )?(?:go|be|breach|violate|break|cross|exceed|against|beyond|outside|inappropriate|unwise|wrong)\b"
+    rf"|(?:that|this|it) (?:is|remains) (?:strictly |highly )?(?:confidential|classified|privileged|restricted|private)\b(?=\s*$|.*\b(?:{SELF})\b)"
+    # the rules of the speaker, no comment, or another subject
+    rf"|(?:my|our|the) {RULES}[^.!?]{{0,30}} (?:do not|don't|does not|doesn't|will not|won't|cannot|can't|never|forbids?|prevents?|prohibits?|disallows?|bars?|keeps?|stops?) ?(?:let|allow|permit|me|us|this|that|it|such|{SPEAKING})\b"
+    rf"|no comment\b|(?:my|our) (?:lips are sealed|hands are tied)\b|(?:let's|let us|please|kindly|can we|could we|why don't we|perhaps we (?:can|could|should))(?: \w+)? (?:talk about|move on|speak about|discuss|pick|choose|change|turn to|switch to|try)(?: to)? (?:something|another|a different|other|the (?:subject|topic))\b"
     r"|es tut mir leid|(?:leider )?(?:kann|darf) ich [^.!?]{0,60}nicht|ich (?:kann|darf|habe|weiß) [^.!?]{0,60}(?:nicht|keine)|je (?:ne |n')[^.!?]{0,40}pas|(?:je suis )?désolé|il (?:ne m'est pas|m'est im)possible|lo siento|no (?:puedo|es posible|tengo|dispongo)|mi dispiace|(?:purtroppo )?non (?:posso|è possibile|ho|dispongo|sono in grado)"
     r")"
 )
+CLAUSE = re.compile(r"\s*(?:,|;|:| - | – |—)\s*(?:(?:so|and|hence|therefore|thus|which is why|meaning)\s+)?")
+CONCLUSION = re.compile(rf"(?:\bso|\band|\bhence|\btherefore|\bthus|[;:—–]) (?:{SELF}\s*{UNABLE}(?: (?:to|be|been|really|simply|just))* (?:{SPEECH}|{READY}|{SPEAKING})\b|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?{DECLINE}\b|no (?:answer|reply|response) (?:is|can)|(?:this|that|it)(?: one)? {SELF} {NOT})[^,;]{{0,60}}$|[;,] this (?:one|topic) {SELF} {NOT}")
 COURTESY = re.compile(
     r"^(?:is there (?:something|anything)|let me know|please\b|try\b|this falls|that falls|you (?:may|can|could|might|should|would)\b|feel free|thank|i hope|(?:i am|i'm) (?:sorry|happy|glad)|sorry|apologies|how (?:else|can|may)|what else|"
     r"(?:would|do|could|can|shall|may) (?:you|i|we)\b|if you\b|perhaps\b|maybe\b|instead\b|consult|ask\b|contact|see the|refer|i (?:can|could|would|'d)\b)|\b(?:my|our|the|these|its) (?:guidelines?|polic(?:y|ies)|rules?|scope|instructions?)\b"
@@ -80,15 +109,22 @@ def is_empty(passage: str | None) -> bool:
     return len(bare) <= 40 and " ".join(re.sub(r"[^\w/ ]+", " ", bare.casefold()).split()) in PLACEHOLDERS
 
 
+def refuses(sentence: str) -> bool:
+    """Whether a sentence declines, by how it begins or by the conclusion it draws."""
+    bare = sentence.rstrip(" .!?")
+    first = CLAUSE.split(bare, maxsplit=1)[0]
+    return bool(REFUSING.match(bare) or REFUSING.match(first) or CONCLUSION.search(bare))
+
+
 def is_refusal(passage: str) -> bool:
     """The passage as a whole declines, by the refusal grammar; one that goes on with an answer does not."""
     text = " ".join(passage.replace("’", "'").casefold().split()).strip(" \"'“”«»*_()[]")
     for mark in ("answer:", "a:", "response:", "assistant:"):
         text = text.removeprefix(mark).lstrip()
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
-    if not sentences or not REFUSING.match(sentences[0]) and not (len(sentences) > 1 and REFUSING.match(" ".join(sentences[:2]))):
+    if not sentences or not refuses(sentences[0]) and not (len(sentences) > 1 and refuses(" ".join(sentences[:2]))):
         return False
-    return all(COURTESY.search(x) or REFUSING.match(x) for x in sentences[1:])
+    return all(COURTESY.search(x) or refuses(x) for x in sentences[1:])
 
 
 def tiled(passage: list[str], query: list[str], least: int = 3) -> list[bool]:
@@ -181,20 +217,57 @@ def language_of(text: str, known: Evidence, question: bool) -> str | None:
     return lang if most >= 3 and most >= 0.1 * len(words) and most >= 1.3 * second else None
 
 
+# Markup that has to be closed; other names in angle brackets are text, and items, rows, cells and paragraphs end with what holds them.
+PAIRED = frozenset("a abbr article b blockquote body caption center cite code del details div dl em fieldset figure font form h1 h2 h3 h4 h5 h6 header html i ins kbd label main mark nav ol pre q s samp section small span strike strong sub summary sup table tbody tfoot thead tt u ul var".split())
+DANGLING = re.compile(r"(?:[,:;(\-–]|\b(?:and|or|the|of|such as|a|an|to|in|with|for|by|from|is|are))$")
+BARE_ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|\(?[a-z][.)])\s*$")
+
+
+def list_breaks_off(lines: list[str]) -> bool | None:
+    """Whether the list at the end of a passage breaks off; None if it does not end in a list of two items or more.
+
+    Items are pushed by their indent, and what stands deeper ends before an item further out. The last item may go without a full stop if its
+    forerunners on its level do.
+    """
+    levels: list[tuple[int, list[str]]] = []
+    for line in lines:
+        indent = len(line) - len(line.lstrip())
+        if ITEM.match(line) or BARE_ITEM.match(line):
+            while levels and levels[-1][0] > indent:
+                levels.pop()
+            if not levels or levels[-1][0] < indent:
+                levels.append((indent, []))
+            levels[-1][1].append(line.strip())
+        elif levels and indent > levels[-1][0]:
+            levels[-1][1][-1] += " " + line.strip()  # an item goes on
+        else:
+            levels = []
+    if not levels or len(levels) == 1 and len(levels[0][1]) < 2:
+        return None
+    *earlier, last = levels[-1][1]
+    if BARE_ITEM.match(last) or DANGLING.search(last):
+        return True
+    return bool(earlier) and all(ENDED.search(x) for x in earlier) and not ENDED.search(last)
+
+
 def is_truncated(passage: str) -> bool:
-    """A pushdown parse of fences, tags, brackets and quotations: the passage breaks off if it ends inside a fence or tag, if something opened
-    in the last sentence is left open, or if the last sentence has no end. List items and closed blocks may end without a full stop."""
+    """A pushdown parse of fences, markup, brackets, quotations and lists: the passage breaks off if it ends inside a fence, a tag or markup that has
+    to be closed, if something opened in the last sentence is left open, if its last list breaks off, or if the last sentence has no end."""
     text = passage.strip()
     body = NOTE.sub("", text)
+    lines = [x for x in text.splitlines() if x.strip()]
+    bare = re.sub(r"(?:</[a-zA-Z][^<>]*>|\s)+$", "", text)
     if body and ENDED.search(body):
         end = len(body)
     elif CLOSED_BLOCK.search(text):
         end = len(text)
-    elif ENDED.search(text):
+    elif ENDED.search(text) or ENDED.search(bare):
         end = len(text)
     else:
-        lines = [x for x in text.splitlines() if x.strip()]
-        return not (len(lines) >= 2 and ITEM.match(lines[-1]) and ITEM.match(lines[-2]) and not re.search(r"[,:;(\-–]$|\b(?:and|or|the|of|such as)$", text))
+        broken = list_breaks_off(lines)
+        if broken is None or broken:
+            return True
+        end = len(text)
     stack: list[tuple[str, int]] = []
     sentence_end = 0
     for m in TOKEN.finditer(text, 0, end):
@@ -218,7 +291,16 @@ def is_truncated(passage: str) -> bool:
             sentence_end = m.end()
         elif t[0] == "<" and not t.endswith(">"):
             return True
-    return any(want in ("```", "~~~") or at >= sentence_end > 0 for want, at in stack)
+        elif t[0] == "<":
+            name = re.match(r"</?([a-zA-Z][\w-]*)", t)[1].lower()
+            if name not in PAIRED or t.endswith("/>"):
+                continue
+            if t[1] != "/":
+                stack.append((f"</{name}>", m.start()))
+            elif f"</{name}>" in (want for want, _ in stack):
+                while stack.pop()[0] != f"</{name}>":
+                    pass
+    return any(want in ("```", "~~~") or want[0] == "<" or at >= sentence_end > 0 for want, at in stack)
 
 
 class Judge:

@@ -392,6 +392,24 @@ def test_defects(query, passage, defect):
     assert pair_defects.Judge({k: frozenset(v) for k, v in lists.items()})(query, passage) == defect
 
 
+def test_refusals_in_other_words():
+    """Wordings that stand in none of the tables: those that decline, and sound answers with words of refusal in them."""
+    declining = ["That one's above my pay grade, so I'll have to pass on it.", "This is not a matter on which I am at liberty to speak.", "I'd prefer not to get into that.", "The material at hand is silent on the matter, so I cannot answer.", "No comment.", "I won't be answering that.", "My instructions do not let me answer that."]
+    sound = ["I cannot stress enough that the boiler must be vented first.", "There is no information loss, because the code is lossless.", "The request was denied by the council in 1911.", "It is not possible to divide by zero in this field.", "No answer was found for centuries, until Wiles proved it in 1994.", "I am not able to walk through walls, but neutrinos are."]
+    assert all(map(pair_defects.is_refusal, declining)) and not any(map(pair_defects.is_refusal, sound))
+
+
+@pytest.mark.parametrize(
+    "passage, broken",
+    [
+        ("This is a <b>bold claim that ends.", True), ("<ul><li>One item.<li>Two items.", True), ("<ul><li>One.</li><li>Two.</li></ul>", False), ("<p>Fine.<p>Also fine.", False), ("x <y> and done.", False), ("<b>Done.</b>", False),
+        ("Steps:\n1. First thing.\n2. Second thing.\n3. Third", True), ("Steps:\n1. First\n2. Second\n3. Third", False), ("Steps:\n- one\n  - deeper\n  - deeper too\n-", True), ("Steps:\n- one\n- two of the", True),
+    ],
+)
+def test_markup_and_lists(passage, broken):
+    assert pair_defects.is_truncated(passage) == broken
+
+
 def test_defects_of_long_passages():
     query = "Who met the old council?"
     assert pair_defects.is_copy(query, f"{query} " * 60) and pair_defects.is_copy(query, f"You asked: {query * 9}")
