@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ SKETCH_BITS, BLOCKS = 20, 64
 SHARED = 6
 
 
-def plain_words(text: Column) -> Column:
+def plain_words(texts: pa.Array) -> pa.Array:
     """The runs of letters and digits, lower case, joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{N}]+", " "), " ")
 
 
 def query_key(text: str | None) -> str | None:
@@ -37,10 +38,33 @@ def query_key(text: str | None) -> str | None:
     return re.sub(r"[\W_]+", "", "".join(c for c in flat if not unicodedata.combining(c))) or None
 
 
-@F.pandas_udf(T.StringType())
-def query_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(query_key)
+def word_keys(records: DataFrame, least_words: int) -> DataFrame:
+    """(pair_id, side, key, q): a 128-bit key of the words of each passage of enough words, null for others, and the query's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = plain_words(batch.column("passage"))
+            enough = pc.fill_null(pc.greater_equal(pc.count_substring(words, " "), least_words - 1), False).to_pylist()
+            keys = [xxhash.xxh3_128_digest(w.encode()) if ok and w else None for w, ok in zip(words.to_pylist(), enough)]
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), batch.column("side"), pa.array(keys, pa.binary()), pa.array([query_key(q) for q in batch.column("query").to_pylist()], pa.string())], names=["pair_id", "side", "key", "q"])
+
+    kind = dict(records.dtypes)["pair_id"]
+    return records.select("pair_id", "side", "passage", "query").mapInArrow(run, f"pair_id {kind}, side string, key binary, q string")
+
+
+def word_classes(records: DataFrame, least_words: int) -> DataFrame:
+    """(key, words, pair_id, side) of the passages of enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = plain_words(batch.column("passage"))
+            enough = pc.and_(pc.fill_null(pc.greater_equal(pc.count_substring(words, " "), least_words - 1), False), pc.fill_null(pc.greater(pc.binary_length(words), 0), False))
+            words, rows = words.filter(enough), batch.filter(enough)
+            keys = [xxhash.xxh3_128_digest(w.encode()) for w in words.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), words.cast(pa.string()), rows.column("pair_id"), rows.column("side")], names=["key", "words", "pair_id", "side"])
+
+    kind = dict(records.dtypes)["pair_id"]
+    return records.select("pair_id", "side", "passage").mapInArrow(run, f"key binary, words string, pair_id {kind}, side string")
 
 
 class Shingler:
@@ -165,18 +189,18 @@ def cross_split_pairs(pairs: DataFrame, train: str = "train", held_out: tuple[st
     dropped. Empty tables give an empty result; further columns are ignored.
     """
     side = F.when(F.col("split_name") == train, "t").when(F.col("split_name").isin(*held_out), "h")
-    records = pairs.where("pair_id is not null").select("pair_id", side.alias("side"), plain_words(F.col("passage")).alias("words"), "query").where("side is not null")
-    # equal word sequences have equal 128-bit keys; the words themselves are shuffled once, combined by key before
-    long = records.where(F.char_length("words") - F.char_length(F.replace("words", F.lit(" "))) + 1 >= least_words).select(F.unhex(F.md5("words")).alias("key"), "words", "pair_id", "side")
-    classes = cut(long.groupBy("key").agg(F.min("pair_id").alias("class"), F.first("words").alias("words"), F.max(F.col("side") == "t").alias("trained"), F.max(F.col("side") == "h").alias("held")))
-    members = cut(long.select("key", "pair_id", "side").join(classes.select("key", "class"), "key").select("class", "pair_id", "side").distinct())
+    records = pairs.where("pair_id is not null").select("pair_id", side.alias("side"), "passage", "query").where("side is not null")
+    # equal word sequences have equal keys; what is kept of the records are these, the words are shuffled once, combined by key before
+    keyed = cut(word_keys(records, least_words))
+    classes = cut(word_classes(records, least_words).groupBy("key").agg(F.min("pair_id").alias("class"), F.first("words").alias("words"), F.max(F.col("side") == "t").alias("trained"), F.max(F.col("side") == "h").alias("held")))
+    members = cut(keyed.where("key is not null").select("key", "pair_id", "side").join(classes.select("key", "class"), "key").select("class", "pair_id", "side").distinct())
     near = near_classes(classes, least_overlap)
     links = near.union(near.select("c2", "c1")).union(classes.where("trained and held").select("class", "class"))
     trained = members.where("side = 't'").select(F.col("class").alias("c1"), F.col("pair_id").alias("t"))
     kept = members.where("side = 'h'").select(F.col("class").alias("c2"), F.col("pair_id").alias("h"))
     by_passage = links.join(trained, "c1").join(kept, "c2").select("t", "h", F.lit(False).alias("same_query"), F.lit(True).alias("near_passage"))
 
-    asked = records.select("pair_id", "side", query_keys("query").alias("q")).where("q is not null").distinct()
+    asked = keyed.where("q is not null").select("pair_id", "side", "q").distinct()
     by_query = (
         asked.where("side = 't'").select("q", F.col("pair_id").alias("t")).join(asked.where("side = 'h'").select("q", F.col("pair_id").alias("h")), "q")
         .select("t", "h", F.lit(True).alias("same_query"), F.lit(False).alias("near_passage"))
