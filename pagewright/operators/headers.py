@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import split_lines
+from pagewright.functions.text import split_lines, strip_ws
+
+
+def non_empty_pages(pages: DataFrame, text: str = "raw_text") -> DataFrame:
+    """The pages whose text holds more than white space."""
+    return pages.where(strip_ws(F.coalesce(F.col(text), F.lit(""))) != "")
 
 
 def lines_or_text(pages: DataFrame) -> Column:

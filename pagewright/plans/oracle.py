@@ -231,4 +231,7 @@ SELECT pair_id, CAST(pos AS INTEGER) AS pos, x AS question FROM e WHERE pos < 3"
     "saved_chunks": f"{CHUNKS} SELECT 'a.pdf' AS pdf_path, 96 AS max_tokens, count(*) AS num_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens, count(*) AS rows FROM full_",
     "saved_embeddings": "SELECT doc_id, chunk_id, section_id, page_start, token_count, char_count, CAST(len(embedding) AS INTEGER) AS dim FROM (SELECT DISTINCT ON (vec_id) * FROM chunk_embeddings WHERE embedding IS NOT NULL)",
     "saved_questions": f"WITH {SPLIT} SELECT unnest(['full_parquet', 'full_csv', 'train_csv', 'val_csv']) AS file, unnest([count(*), count(*), count(*) FILTER (sp = 'train'), count(*) FILTER (sp = 'val')]) AS n FROM spl",
+    "line_questions": rf"WITH {DOC}, l AS (SELECT doc_id, section_idx, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: contains(x, '?') OR regexp_matches(x, '^(?:What|How|Why|When|Where)')), lambda x: regexp_replace(x, '^[\d.)\-*]\s*', '')), lambda x: length(x) > 10) AS q FROM dsec) SELECT doc_id, section_idx, CAST(unnest(range(0, len(q))) AS INTEGER) AS pos, unnest(q) AS question FROM l",
+    "prompts": f"WITH {DOC} SELECT doc_id, section_idx, md5('Read this:' || chr(10) || substr(text, 1, 2000) || chr(10) || 'Questions:') AS prompt FROM dsec WHERE text IS NOT NULL",
+    "non_empty_pages": f"SELECT page_id FROM (SELECT DISTINCT ON (page_id) page_id, raw_text FROM pdf_pages) WHERE {strip('coalesce(raw_text, chr(32))')} <> ''",
 }

@@ -172,6 +172,11 @@ def file_stems(s, d):
     return table(s, d, "doc_sections").select("source_pdf").distinct().select("source_pdf", tx.file_stem(F.col("source_pdf")).alias("stem"))
 
 
+@query
+def non_empty_pages(s, d):
+    return headers.non_empty_pages(table(s, d, "pdf_pages").select("page_id", "raw_text").dropDuplicates(["page_id"])).select("page_id")
+
+
 # -- analytics
 
 
@@ -253,6 +258,18 @@ def parse_questions(s, d):
     return p.select("pair_id", F.posexplode(tx.parse_questions(answer, 3)).alias("pos", "question"))
 
 
+@query
+def line_questions(s, d):
+    return doc_sections(s, d).select("doc_id", "section_idx", F.posexplode(tx.line_questions(F.col("text"))).alias("pos", "question"))
+
+
+@query
+def prompts(s, d):
+    """What a model would be asked for each section."""
+    asked = tx.prompt("Read this:\n%s\nQuestions:", F.col("text"))
+    return doc_sections(s, d).where("text is not null").select("doc_id", "section_idx", F.md5(asked).alias("prompt"))
+
+
 @query
 def build_pairs(s, d):
     c = section_chunks(s, d)

@@ -21,6 +21,7 @@ def build_session(app: str = "pagewright", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
