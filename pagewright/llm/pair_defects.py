@@ -40,7 +40,7 @@ NOT = r"(?:can(?:no|')t|can ?not|could not|couldn't|will not|won't|would not|wou
 UNABLE = rf"(?:{NOT}|(?:am|'m|are|'re|is|was|were|would be|remain) (?:quite |simply |just |currently )?(?:unable|powerless|forbidden|barred|prevented)|lack|lacks|fail|regret|'d rather not|would rather not|(?:'d |would )?prefer not|choose not|opt not|(?:am|'m|are|'re) in no position)"
 READY = r"(?:at liberty|able|free|willing|comfortable|prepared|in a position|equipped|qualified|allowed|permitted|authori[sz]ed|inclined|supposed|meant|the right (?:one|person)|ready|happy|going|built|made|trained|designed)"
 DECLINE = r"(?:decline|refuse|pass(?: on)?|abstain|refrain|demur|bow out|opt out|say no|sit this (?:one )?out|hold off|beg off|turn (?:this|that|it|you|your request|the request) (?:one )?down|leave (?:it|this|that) (?:unanswered|open|to others)|stay (?:out of|away from|clear of)|keep (?:out of|away from|clear of)|steer clear|(?:keep|remain|stay) silent|disappoint)"
-HAVE_TO = r"(?:(?:must|have to|need to|want to|wish to|am forced to|are forced to|'m forced to|am obliged to|shall|will|'ll|would|'d|am going to|'m going to|are going to|'re going to|will have to|'ll have to|would have to|am going to have to|'m going to have to|'re going to have to|choose to|prefer to|ask to) (?:like to |have to )?)"
+HAVE_TO = r"(?:(?:would rather|'d rather|would sooner|'d sooner|had better|must|have to|need to|want to|wish to|am forced to|are forced to|'m forced to|am obliged to|shall|will|'ll|would|'d|am going to|'m going to|are going to|'re going to|will have to|'ll have to|would have to|am going to have to|'m going to have to|'re going to have to|choose to|prefer to|ask to) (?:like to |have to )?)"
 THEME = r"(?:question|request|query|prompt|topic|task|answer|information|details?|reply|response|subject|matter)"
 SOURCE = r"(?:(?:the|this|that|my|our|your) (?:[\w-]+ )?(?:text|passage|document|context|section|source|excerpt|page|chunk|material|information|data|notes?|article)s?)(?: (?:at hand|here|above|below|provided|given|available|i have|i was given|that i have|supplied))?"
 KNOWLEDGE = r"(?:contexts?|information|data|details?|evidence|material|answers?|knowledge|content|record|mention|opinions?|views?|idea|means|basis|access|clue|grounds|facts?|way of (?:knowing|telling|saying|answering)|way to (?:know|tell|say|answer))"
@@ -83,6 +83,7 @@ REFUSING = re.compile(
     r"|es tut mir leid|(?:leider )?(?:kann|darf) ich [^.!?]{0,60}nicht|ich (?:kann|darf|habe|weiß) [^.!?]{0,60}(?:nicht|keine)|je (?:ne |n')[^.!?]{0,40}pas|(?:je suis )?désolé|il (?:ne m'est pas|m'est im)possible|lo siento|no (?:puedo|es posible|tengo|dispongo)|mi dispiace|(?:purtroppo )?non (?:posso|è possibile|ho|dispongo|sono in grado)"
     r")"
 )
+APOLOGY = re.compile(rf"{SORRY}\b")
 CLAUSE = re.compile(r"\s*(?:,|;|:| - | – |—)\s*(?:(?:so|and|hence|therefore|thus|which is why|meaning)\s+)?")
 CONCLUSION = re.compile(rf"(?:\bso|\band|\bhence|\btherefore|\bthus|[;:—–]) (?:{SELF}\s*{UNABLE}(?: (?:to|be|been|really|simply|just))* (?:{SPEECH}|{READY}|{SPEAKING})\b|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?{DECLINE}\b|no (?:answer|reply|response) (?:is|can)|(?:this|that|it)(?: one)? {SELF} {NOT})[^,;]{{0,60}}$|[;,] this (?:one|topic) {SELF} {NOT}")
 COURTESY = re.compile(
@@ -94,6 +95,7 @@ LEAD_INS = frozenset("answer the question is you asked q a query response here a
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "‹": "›"}
 TOKEN = re.compile(r"```|~~~|</?[a-zA-Z][^<>]*>|<[a-zA-Z/][^<>]*$|[()\[\]{}“”«»„‹›\"]|[.!?…。！？]+(?=[\s\"'”’»)\]]|$)")
 NOTE = re.compile(r"(?:\s*(?:\[[^\[\]]{1,60}\]|\([^()]{1,80}\)|[¹²³⁴⁵⁶⁷⁸⁹⁰*†‡]+))+\s*$")
+NOTE_ENDS = frozenset("])¹²³⁴⁵⁶⁷⁸⁹⁰*†‡")
 ENDED = re.compile(r"[.!?…。！？][\"'”’»›)\]}*_]*$")
 CLOSED_BLOCK = re.compile(r"(?:```|~~~|</[a-zA-Z]+>|\|)\s*$")
 ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
@@ -103,6 +105,8 @@ def is_empty(passage: str | None) -> bool:
     """Nothing, nothing visible, markup without text, or a mere placeholder."""
     if passage is None:
         return True
+    if "<" not in passage and "&" not in passage and sum(map(len, WORDS.findall(passage, 0, 200))) > 40:
+        return False  # without markup these letters and digits alone are longer than any placeholder
     bare = MARKUP.sub(" ", INVISIBLE.sub(" ", passage)).strip()
     if not WORDS.search(bare):
         return True
@@ -112,8 +116,10 @@ def is_empty(passage: str | None) -> bool:
 def refuses(sentence: str) -> bool:
     """Whether a sentence declines, by how it begins or by the conclusion it draws."""
     bare = sentence.rstrip(" .!?")
-    first = CLAUSE.split(bare, maxsplit=1)[0]
-    return bool(REFUSING.match(bare) or REFUSING.match(first) or CONCLUSION.search(bare))
+    if REFUSING.match(bare):
+        return True
+    end = CLAUSE.search(bare)
+    return end is not None and bool(REFUSING.match(bare[: end.start()]) or CONCLUSION.search(bare))
 
 
 def is_refusal(passage: str) -> bool:
@@ -122,7 +128,7 @@ def is_refusal(passage: str) -> bool:
     for mark in ("answer:", "a:", "response:", "assistant:"):
         text = text.removeprefix(mark).lstrip()
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
-    if not sentences or not refuses(sentences[0]) and not (len(sentences) > 1 and refuses(" ".join(sentences[:2]))):
+    if not sentences or not refuses(sentences[0]) and not (len(sentences) > 1 and APOLOGY.match(sentences[0]) and refuses(" ".join(sentences[:2]))):
         return False
     return all(COURTESY.search(x) or refuses(x) for x in sentences[1:])
 
@@ -254,17 +260,15 @@ def is_truncated(passage: str) -> bool:
     """A pushdown parse of fences, markup, brackets, quotations and lists: the passage breaks off if it ends inside a fence, a tag or markup that has
     to be closed, if something opened in the last sentence is left open, if its last list breaks off, or if the last sentence has no end."""
     text = passage.strip()
-    body = NOTE.sub("", text)
-    lines = [x for x in text.splitlines() if x.strip()]
-    bare = re.sub(r"(?:</[a-zA-Z][^<>]*>|\s)+$", "", text)
+    body = NOTE.sub("", text) if text[-1:] in NOTE_ENDS else text
     if body and ENDED.search(body):
         end = len(body)
     elif CLOSED_BLOCK.search(text):
         end = len(text)
-    elif ENDED.search(text) or ENDED.search(bare):
+    elif ENDED.search(text) or text.endswith(">") and ENDED.search(re.sub(r"(?:</[a-zA-Z][^<>]*>\s*)+$", "", text).rstrip()):
         end = len(text)
     else:
-        broken = list_breaks_off(lines)
+        broken = list_breaks_off([x for x in text.splitlines() if x.strip()])
         if broken is None or broken:
             return True
         end = len(text)
