@@ -180,3 +180,50 @@ def test_second_parser(spark, tmp_path):
     (tmp_path / "torn.pdf").write_bytes(b"junk 5 0 obj << /Length 30 >> stream\nBT (First words) Tj ET\nendstream endobj stream\nBT (second part) Tj ET\nendstream")
     got = read_pdf_pages(spark, str(tmp_path / "torn.pdf"), strict=True).orderBy("page_number").collect()
     assert [r.raw_text for r in got] == ["First words", "second part"]
+
+
+def test_search_with_documents(spark):
+    from pagewright.operators import search
+
+    docs = spark.createDataFrame([("a", "the harbour wall"), ("b", "the old mill"), ("c", None), ("d", "the harbour wall")], "row_id string, document string")
+    got = [(r["rank"], r.row_id, r.document) for r in search.search("harbour wall", docs, top_k=3).collect()]
+    assert got[:2] == [(1, "a", "the harbour wall"), (2, "d", "the harbour wall")] and got[2][1] in "bc" and len(got) == 3
+    many = search.search_batch(spark.createDataFrame([(1, "old mill"), (2, None)], "query_id int, query string"), docs, top_k=1)
+    assert {(r.query_id, r.row_id) for r in many.collect()} >= {(1, "b")}
+    assert search.search("x", docs.where("false")).count() == 0
+    rows = spark.createDataFrame([("a", 2, "second"), ("a", 1, "first"), ("b", 1, "other"), (None, 1, "none")], "chunk_id string, n int, text string")
+    ids = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "chunk_id string")
+    assert [(r.chunk_id, r.n, r.text) for r in search.lookup(rows, ids, "chunk_id", "n").collect()] == [("a", 1, "first")]
+
+
+def test_indexes_at_hand(spark):
+    from pagewright.operators import index
+
+    assert index.available_index("no_module_of_this_name:search") is None
+    assert index.available_index("no_module_of_this_name:search", "math:nothing", "flat") is not None
+    with pytest.raises(ValueError):
+        index.available_index("other")
+
+
+def test_environment(spark):
+    got = {r.component: r.version for r in analytics.environment_report(spark).collect()}
+    assert got["spark"] == spark.version and got["pyarrow"]
+
+
+def test_token_batches(spark):
+    from pagewright.operators import training
+
+    df = spark.createDataFrame([(0, 1, "a b c", None), (0, 2, "d", "x y"), (1, 3, "", "z")], "batch int, pair_id int, anchor string, positive string")
+    got = {r.pair_id: r for r in training.batch_tokens(df, most=2).collect()}
+    assert got[1].anchor_tokens == ["a", "b"] and got[2].anchor_tokens == ["d", ""] and got[2].anchor_mask == [1, 0]
+    assert got[1].positive_mask == [0, 0] and got[3].anchor_tokens == [] and got[3].positive_tokens == ["z"]
+
+
+def test_small_files(spark, tmp_path):
+    path = files.write_text(spark, f"file://{tmp_path}/side.json", '{"größe": 1}')
+    assert files.read_text(spark, path) == '{"größe": 1}' and not os.path.exists(f"{tmp_path}/side.json.part")
+    files.save_adapter(spark, f"file://{tmp_path}/adapter", {"down": [[1.0, 2.0]], "up": [[3.0], [4.0]]}, {"r": 1, "lora_alpha": 2})
+    assert files.load_adapter(spark, f"file://{tmp_path}/adapter") == ({"down": [[1.0, 2.0]], "up": [[3.0], [4.0]]}, {"r": 1, "lora_alpha": 2})
+    with TimeBlock("step", f"file://{tmp_path}/log"):
+        pass
+    assert files.read_timing(spark, f"file://{tmp_path}/log").first().function_name == "step"
