@@ -32,8 +32,10 @@ ASKING = {
 # A clause refuses by who speaks (SELF), or what there is to go by (SOURCE), that this is negated, and that it is about answering (SPEECH).
 SPEECH = (
     r"(?:answer|respond|reply|help|assist|provide|give|discuss|comply|fulfil+|process|complete|summari[sz]e|generate|say|tell|comment|write|share|continue|offer|produce|create|explain|describe|engage|support|supply|speak|talk|elaborate|address|"
-    r"recommend|advise|opine|speculate|judge|disclose|reveal|weigh in|shed (?:any |much |more )?light|(?:get|go|look|dig|delve) into|touch(?: on)?|take (?:this|that|it|a position|sides)|be of (?:any |much )?(?:help|use|assistance)|do (?:this|that|so|it)|guess|confirm|verify|determine|know|find|see|make out)"
+    r"recommend|advise|opine|speculate|judge|disclose|reveal|weigh in|shed (?:any |much |more )?light|(?:get|go|look|dig|delve) into|touch(?: on)?|take (?:this|that|it|a position|sides)|be of (?:any |much )?(?:help|use|assistance)|do (?:this|that|so|it)|skip|supply|tell|guess|confirm|verify)"
 )
+# To know or find is about answering only where nothing, a pronoun, a question or the answer itself is what is sought.
+SEEK = r"(?:know|find|see|determine|make out|say|locate|recall)(?:\s*$|,| (?:that|this|it|any|anything|enough|what|whether|if|how|why|who|where|when|which|for (?:sure|certain)|in the|from the|the (?:answer|information|details?|reason|exact)|much|more)\b)"
 SPEAKING = r"(?:answering|responding|replying|helping|assisting|providing|giving|discussing|commenting|sharing|speaking|talking|elaborating|addressing|advising|speculating|getting into|going into|weighing in|saying|telling|doing (?:this|that|so))"
 SELF = r"(?:i|we|(?:this|the|your) (?:[\w-]+ )?(?:assistant|model|system|ai|bot))"
 NOT = r"(?:can(?:no|')t|can ?not|could not|couldn't|will not|won't|would not|wouldn't|may not|must not|should not|shouldn't|do not|don't|did not|didn't|am not|'m not|are not|aren't|'re not|is not|isn't|was not|wasn't|were not|weren't|never|have not|haven't)"
@@ -46,27 +48,28 @@ SOURCE = r"(?:(?:the|this|that|my|our|your) (?:[\w-]+ )?(?:text|passage|document
 KNOWLEDGE = r"(?:contexts?|information|data|details?|evidence|material|answers?|knowledge|content|record|mention|opinions?|views?|idea|means|basis|access|clue|grounds|facts?|way of (?:knowing|telling|saying|answering)|way to (?:know|tell|say|answer))"
 RULES = r"(?:guidelines?|polic(?:y|ies)|rules?|instructions?|terms|programming|training|principles|remit|scope)"
 SORRY = (
-    r"(?:(?:i am|i'm|we are|we're) (?:very |really |so |truly |terribly )?(?:sorry|afraid)|(?:so |very )?sorry|(?:my |our |please accept my )?apologies|i apologi[sz]e|unfortunately|regrettably|sadly|alas|i regret(?: to say)?|kindly note|"
+    r"(?:(?:i am|i'm|we are|we're) (?:very |really |so |truly |terribly )?(?:sorry|afraid)|(?:so |very )?sorry|(?:my |our |please accept my )?apologies|i apologi[sz]e|unfortunately|regrettably|sadly|alas|(?:i|we) regret(?: to say)?|kindly note|"
     r"as an? (?:[\w-]+ ){0,4}(?:assistant|model|ai|system|program|bot)|at this (?:time|point|moment)|honestly|frankly|thanks?(?: you)?(?: for asking)?|no)"
 )
 HERE = r"(?:\s+(?:about|on|regarding|concerning|for|to|in|available|here|given|provided|that|which|from|as to|of (?:this|that|it|knowing))\b|\s*$)"
 REFUSING = re.compile(
     rf"^(?:{SORRY}\b[,.;:!]*\s+(?:but\s+|that\s+|for\s+|to\s+)?)*(?:"
     # the speaker cannot, may not, will not answer, or is not ready to
-    rf"{SELF}\s*{UNABLE}(?: (?:to|be|been|able|really|simply|just|currently|at this time|in good conscience|ever|even|possibly|feel|quite|here|actually|get|have))*? (?:{SPEECH}\b|{SPEAKING}\b)"
+    rf"{SELF}\s*{UNABLE}(?: (?:to|be|been|able|really|simply|just|currently|at this time|in good conscience|ever|even|possibly|feel|quite|here|actually|get|have))*? (?:{SPEECH}\b|{SPEAKING}\b|{SEEK}|the (?:one|right one|person) to\b)"
     rf"|{SELF}(?: feel|'m feeling)?\s*{UNABLE}(?: (?:feel|really|quite|at all|currently|exactly|the least))* {READY}(?: (?:to|with|about|enough|for|in|of))*(?:\s*$| {SPEECH}\b| {SPEAKING}\b| (?:this|that|it)\b)"
     rf"|{SELF} (?:am|'m|are|'re|is)? ?(?:hardly|no longer|in no way|nowhere near) {READY}(?: to)?(?:\s*$| {SPEECH}\b)"
     rf"|(?:will|won't|'ll) not be {SPEAKING}|{SELF} won't be {SPEAKING}"
-    rf"|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?(?:respectfully |politely |kindly |regretfully )?{DECLINE}\b"
+    rf"|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?(?:respectfully |politely |kindly |regretfully )?{DECLINE}\b(?! to (?!(?:{SPEECH}|take part|comply|go|be)\b))"
+    rf"|{SELF} (?:have|'ve|has|had) been (?:told|asked|instructed|ordered|advised) not to\b|{SELF} {HAVE_TO}skip (?:this|that|it)\b|(?:that|this|it) is (?:something|a [\w]+) (?:i|we) (?:would|'d) rather (?:not|leave)\b"
     rf"|(?:unable|not able|cannot|can't|can not|won't be able|declin(?:e|ing)|refus(?:e|ing)) (?:to )?(?:{SPEECH})\b|(?:respectfully|politely) declin(?:e|ing)\b"
     # the speaker has nothing to go by
-    rf"|{SELF}(?: currently| simply| just)? (?:(?:do|did) not|don't|didn't|cannot|can't|could not|couldn't) (?:currently |really |actually |yet )?(?:know|have|find|see|hold|possess|get)\b(?! to\b)[^.!?]{{0,40}}?(?:{KNOWLEDGE}|{THEME}|any|enough|anything|it|this|that)?"
+    rf"|{SELF}(?: currently| simply| just)? (?:(?:do|did) not|don't|didn't|cannot|can't|could not|couldn't) (?:currently |really |actually |yet )?(?:{SEEK}|(?:have|find|see|hold|possess|get)\b(?! to\b)[^.!?,;]{{0,40}}?\b(?:{KNOWLEDGE}|{THEME}|any|enough|anything)\b)"
     rf"|{SELF}(?:'ve| have| has| had| hold| find| found| see| possess| was given| were given| got)(?: been given| got)? (?:no|insufficient|not enough|too little|little|not sufficient)(?: [\w-]+){{0,2}}? {KNOWLEDGE}\b"
     rf"|{SELF}(?:'ve| have| has| had| find| found| see| know| possess) nothing(?: (?:to|on|about|here|that|of|relevant|useful|in)\b|\s*$)|{SELF} know nothing\b|{SELF} lacks? (?:the |any |enough |sufficient )?(?:[\w-]+ )?{KNOWLEDGE}"
     rf"|{SELF} (?:was|were|wasn't|weren't|have|haven't)(?: not| been)* given enough\b"
     rf"|there (?:is|are|was|were|'s|isn't|aren't) (?:simply |just |currently )?(?:no|not enough|insufficient|not sufficient|too little|not any|any|not)(?: [\w-]+){{0,2}}? {KNOWLEDGE}{HERE}|there (?:is|was|'s) nothing(?: (?:in|on|about|here|that|to go|given|said|known)\b|\s*$)"
     rf"|{SOURCE} (?:simply |just |unfortunately )?(?:(?:does not|doesn't|do not|don't|did not|didn't|never) (?:\w+ly )?(?:say|mention|state|contain|give|provide|cover|address|discuss|specify|tell|include|answer|explain|describe|offer|hold|name|reveal|indicate|support|allow|go into|touch|deal|have|supply|help|let)\b(?![^.!?]*\bbut\b)"
-    rf"|(?:contains?|gives?|provides?|has|have|offers?|holds?) (?:no|nothing|too little|not enough|insufficient)\b|says? nothing\b|is silent\b|lacks?\b|(?:is|are) (?:not enough|insufficient|not sufficient|inadequate|too (?:short|thin|sparse|vague|limited|little))\b)"
+    rf"|(?:contains?|gives?|provides?|has|have|offers?|holds?) (?:no|nothing|too little|not enough|insufficient)\b|says? nothing\b|makes? no mention\b|is silent(?:\s*$| on\b| about\b| as to\b)|lacks?\b|(?:is|are) (?:not enough|insufficient|not sufficient|inadequate|too (?:short|thin|sparse|vague|limited|little))(?:\s*$| to\b))|nothing in {SOURCE} (?:addresses|answers|mentions|says|tells|covers|explains|states|speaks)\b"
     rf"|(?:insufficient|not enough|too little) (?:context|information|detail|data)\b|no (?:answer|reply|response|information|details?)(?: (?:from me|here)\b| (?:is|are|was|can be|could be|will be|has been)(?: \w+)? ?(?:available|possible|given|provided|offered|found|forthcoming)?(?: here| for this| to this| in (?:the|this)[^.!?]*| on this| about this| (?:from|with|by|on|based on)(?: the basis of)? {SOURCE}[^.!?]{{0,30}})?\s*$| (?:for|about|available|possible)\b)"
     # what is asked cannot be answered, or lies beyond the speaker
     rf"|(?:this|the|your|that|such an?|what you ask)(?: (?:kind|sort|type) of)? ?{THEME}?(?: [\w-]+){{0,3}} (?:cannot|can't|can not|could not|couldn't|will not|won't|must not|may not) (?:be )?(?:answered|processed|fulfil+ed|completed|addressed|handled|resolved|determined|given|honou?red|met|discussed|granted|provided|shared|disclosed|served|supported|continue|go ahead|proceed)\b"
@@ -78,14 +81,14 @@ REFUSING = re.compile(
     rf"|(?:{SPEAKING}|to {SPEECH})(?: [\w-]+){{0,5}} (?:would|will|might|could|may|is|goes) (?:not )?(?:go|be|breach|violate|break|cross|exceed|against|beyond|outside|inappropriate|unwise|wrong)\b"
     rf"|(?:that|this|it) (?:is|remains) (?:strictly |highly )?(?:confidential|classified|privileged|restricted|private)\b(?=\s*$|.*\b(?:{SELF})\b)"
     # the rules of the speaker, no comment, or another subject
-    rf"|(?:my|our|the) {RULES}[^.!?]{{0,30}} (?:do not|don't|does not|doesn't|will not|won't|cannot|can't|never|forbids?|prevents?|prohibits?|disallows?|bars?|keeps?|stops?) ?(?:let|allow|permit|me|us|this|that|it|such|{SPEAKING})\b"
+    rf"|(?:my|our) {RULES}[^.!?]{{0,30}} (?:do not|don't|does not|doesn't|will not|won't|cannot|can't|never) (?:let|allow|permit)\b|(?:my|our|the) {RULES}[^.!?]{{0,30}} (?:(?:do not|don't|does not|doesn't|will not|won't|cannot|can't|never) (?:let|allow|permit)|forbids?|prevents?|prohibits?|disallows?|bars?|keeps?|stops?) (?:me|us|this|that|it|such|{SPEAKING})\b"
     rf"|no comment\b|(?:my|our) (?:lips are sealed|hands are tied)\b|(?:let's|let us|please|kindly|can we|could we|why don't we|perhaps we (?:can|could|should))(?: \w+)? (?:talk about|move on|speak about|discuss|pick|choose|change|turn to|switch to|try)(?: to)? (?:something|another|a different|other|the (?:subject|topic))\b"
     r"|es tut mir leid|(?:leider )?(?:kann|darf) ich [^.!?]{0,60}nicht|ich (?:kann|darf|habe|weiß) [^.!?]{0,60}(?:nicht|keine)|je (?:ne |n')[^.!?]{0,40}pas|(?:je suis )?désolé|il (?:ne m'est pas|m'est im)possible|lo siento|no (?:puedo|es posible|tengo|dispongo)|mi dispiace|(?:purtroppo )?non (?:posso|è possibile|ho|dispongo|sono in grado)"
     r")"
 )
 APOLOGY = re.compile(rf"{SORRY}\b")
 CLAUSE = re.compile(r"\s*(?:,|;|:| - | – |—)\s*(?:(?:so|and|hence|therefore|thus|which is why|meaning)\s+)?")
-CONCLUSION = re.compile(rf"(?:\bso|\band|\bhence|\btherefore|\bthus|[;:—–]) (?:{SELF}\s*{UNABLE}(?: (?:to|be|been|really|simply|just))* (?:{SPEECH}|{READY}|{SPEAKING})\b|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?{DECLINE}\b|no (?:answer|reply|response) (?:is|can)|(?:this|that|it)(?: one)? {SELF} {NOT})[^,;]{{0,60}}$|[;,] this (?:one|topic) {SELF} {NOT}")
+CONCLUSION = re.compile(rf"(?:\bso|\band|\bhence|\btherefore|\bthus|[;:—–]) (?:{SELF}\s*{UNABLE}(?: (?:to|be|been|really|simply|just))* (?:{SPEECH}|{READY}|{SPEAKING})\b|{SELF}(?:'m| am|'re| are)? ?{HAVE_TO}?{DECLINE}\b|no (?:answer|reply|response) (?:is|can)|(?:this|that|it)(?: one)? {SELF} {NOT})[^,;]{{0,60}}$|\bbecause {SELF}\s*{UNABLE} {SEEK}$|[;,] this (?:one|topic) {SELF} {NOT}")
 COURTESY = re.compile(
     r"^(?:is there (?:something|anything)|let me know|please\b|try\b|this falls|that falls|you (?:may|can|could|might|should|would)\b|feel free|thank|i hope|(?:i am|i'm) (?:sorry|happy|glad)|sorry|apologies|how (?:else|can|may)|what else|"
     r"(?:would|do|could|can|shall|may) (?:you|i|we)\b|if you\b|perhaps\b|maybe\b|instead\b|consult|ask\b|contact|see the|refer|i (?:can|could|would|'d)\b)|\b(?:my|our|the|these|its) (?:guidelines?|polic(?:y|ies)|rules?|scope|instructions?)\b"
