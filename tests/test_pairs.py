@@ -227,3 +227,9 @@ def test_small_files(spark, tmp_path):
     with TimeBlock("step", f"file://{tmp_path}/log"):
         pass
     assert files.read_timing(spark, f"file://{tmp_path}/log").first().function_name == "step"
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  ahead", "behind \n"), (2, 'a "b"\nc', " ")], "n int, query string, passage string")
+    got = files.read_csv(spark, files.write_csv(df, str(tmp_path / "w")), "n int, query string, passage string")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
